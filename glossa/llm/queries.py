@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, sharding
+from . import decontaminate, langid, neardup, sentences, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.dedup_sentences(docs)
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,6 +33,6 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_minhash_neardup, op10_jump_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_ppm_language, op6_decontaminate, op8_sentence_dedup, op9_minhash_neardup, op10_jump_sharding)}
 
 ORACLES: dict[str, str] = {}
