@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, neardup, sentences, sharding
+from . import decontaminate, html, langid, neardup, packing, sentences, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -33,6 +43,6 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_ppm_language, op6_decontaminate, op8_sentence_dedup, op9_minhash_neardup, op10_jump_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_karmarkar_karp_packing, op2_html_extraction, op3_ppm_language, op6_decontaminate, op8_sentence_dedup, op9_minhash_neardup, op10_jump_sharding)}
 
 ORACLES: dict[str, str] = {}
