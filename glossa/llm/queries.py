@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, licenses, neardup, packing, search, sentences, sharding
+from . import decontaminate, html, langid, licenses, neardup, packing, search, sentences, sharding, suffix
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,6 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_karmarkar_karp_packing, op2_html_extraction, op3_ppm_language, op4_license_scan, op6_decontaminate, op7_bm25_search, op8_sentence_dedup, op9_minhash_neardup, op10_jump_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_karmarkar_karp_packing, op2_html_extraction, op3_ppm_language, op4_license_scan, op5_suffix_dedup, op6_decontaminate, op7_bm25_search, op8_sentence_dedup, op9_minhash_neardup, op10_jump_sharding)}
 
 ORACLES: dict[str, str] = {}
