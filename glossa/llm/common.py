@@ -154,15 +154,21 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, d
 
 
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    """Count and digest of a set of edges; stars that a round leaves unchanged are final."""
+    r = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(0))).first()
+    return int(r[0]), int(r[1])
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, component) of every vertex of edges(a, b): the least id that is reachable.
 
     Alternating large-star and small-star steps (each halves the depth of trees),
     written after each round; a hub's edges are combined before they are shuffled.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = materialize(e, name)
-    while True:
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    mark = _mark(e)
+    while mark[0]:
         # large star: every neighbour above u gets the least of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -170,10 +176,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         # small star: u and its lesser neighbours get the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = materialize(small, name)
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
+        e = materialize(small, name)
+        if (new := _mark(e)) == mark:
             break
-        e = new
+        mark = new
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component"))
     ).groupBy("id").agg(F.min("component").alias("component"))

@@ -19,6 +19,7 @@ HOT_LEAST = 9  # hot values that a document must retain to be compared through h
 BLOCK = 512
 SLACK = 0.42  # the estimate must reach the least similarity less this much: over five standard errors at K values
 
+_least_hot = f"cast(least({HOT_LEAST}, ceil(n_shingles * {PERCENT} / 100)) as int)"
 _SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>"
 
 
@@ -81,25 +82,74 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _block_pairs(key, pdf):
-    """Pairs of one block pair of a hot list that lie in different components and may be similar."""
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for part, texts in slices(rows, 1):
+            h, d = shingles(Words(texts), WORDS)
+            cut = np.searchsorted(d, np.arange(len(texts) + 1))
+            sets = [np.unique(h[cut[i] : cut[i + 1]]).view(np.int64) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shared"])
+
+
+def _overlaps(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """Sizes of the intersections of the first `cut` sets (rows) with the others (columns), or with themselves
+    if there are no others. Frequent values are counted by matrix products, the others value by value."""
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    rows = cut
+    cols = len(sets) - cut or cut
+    off = cut if len(sets) > cut else 0
+    out = np.zeros((rows, cols), np.float32)
+    if not len(doc):
+        return out
+    _, inv, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(inv, kind="stable")
+    doc, inv = doc[order], inv[order]
+    often = np.flatnonzero(df > 16)
+    for lo in range(0, len(often), 4096):
+        slot = np.full(len(df), -1)
+        slot[often[lo : lo + 4096]] = np.arange(len(often[lo : lo + 4096]))
+        at = slot[inv]
+        some = at >= 0
+        m = np.zeros((len(sets), len(often[lo : lo + 4096])), np.float32)
+        m[doc[some], at[some]] = 1
+        out += m[:cut] @ m[off:].T
+    start = np.concatenate(([0], np.cumsum(df)))
+    for f in range(2, 17):
+        own = np.flatnonzero(df == f)
+        for lo in range(0, len(own), 4096):
+            d = doc[start[own[lo : lo + 4096], None] + np.arange(f)]
+            x, y = np.repeat(d, f, 1).ravel(), np.tile(d, (1, f)).ravel()
+            ok = (x < cut) & (y >= off)
+            np.add.at(out, (x[ok], y[ok] - off), 1)
+    return out
+
+
+def _block_links(key, pdf):
+    """A spanning forest of the exact links between two blocks of a hot list: no more edges than documents."""
     import pandas as pd
 
     _, i, j = key
     left, right = pdf[pdf.own == i], pdf[pdf.own == j]
-    out = []
-    sl = [np.asarray(x, np.int64) for x in left.sketch]
-    sr = sl if i == j else [np.asarray(x, np.int64) for x in right.sketch]
-    la, lc, ln = left.doc_id.to_numpy(), left.component.to_numpy(), left.n_shingles.to_numpy()
-    ra, rc, rn = right.doc_id.to_numpy(), right.component.to_numpy(), right.n_shingles.to_numpy()
-    for x in range(len(sl)):
-        size = (100 * np.minimum(ln[x], rn) >= PERCENT * np.maximum(ln[x], rn)) & (rc != lc[x])
-        if i == j:
-            size &= ra > la[x]
-        for y in np.flatnonzero(size):
-            if (e := _estimate(sl[x], sr[y])) >= PERCENT / 100 - SLACK:
-                out.append((min(la[x], ra[y]), max(la[x], ra[y]), e))
-    return pd.DataFrame(out, columns=["a", "b", "est"]).astype({"a": "int64", "b": "int64", "est": "float64"})
+    both = left if i == j else pd.concat((left, right))
+    ids, n = both.doc_id.to_numpy(), both.n_shingles.to_numpy(np.float64)
+    cut, off = len(left), 0 if i == j else len(left)
+    both_n = _overlaps([np.asarray(x, np.int64) for x in both.shared], cut)
+    union = n[:cut, None] + n[None, off:] - both_n
+    link = np.zeros((len(ids), len(ids)), bool)
+    link[:cut, off:] = 100 * both_n.astype(np.float64) >= PERCENT * union
+    link |= link.T
+    new, out = np.ones(len(ids), bool), []
+    for root in range(len(ids)):
+        stack = [root] if new[root] else []
+        new[root] = False
+        while stack:
+            x = stack.pop()
+            to = np.flatnonzero(link[x] & new)
+            new[to] = False
+            stack += to.tolist()
+            out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in to]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _ask(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -115,14 +165,14 @@ def _ask(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _confirm(cand: DataFrame, texts: DataFrame, known: DataFrame | None) -> DataFrame:
+def _confirm(cand: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among candidate pairs (a, b, est) that decide the components.
 
     First the best partner of each document is asked, then the best pair between any two components
     left, then whatever still lies between different components. A pair inside one component can
     change nothing and is never read.
     """
-    links = known
+    links = None
     for turn in range(3):
         left = cand
         if links is not None:
@@ -130,7 +180,7 @@ def _confirm(cand: DataFrame, texts: DataFrame, known: DataFrame | None) -> Data
             label = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
             left = left.join(label("a"), "a", "left").join(label("b"), "b", "left")
             left = left.withColumns({f"c{s}": F.coalesce(f"c{s}", s) for s in "ab"}).where("ca <> cb")
-        if turn == 0 and links is None:
+        if turn == 0:
             up = cand.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
             down = cand.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
             ask = up.select("a", "b").unionByName(down.select("a", "b")).distinct()
@@ -143,6 +193,33 @@ def _confirm(cand: DataFrame, texts: DataFrame, known: DataFrame | None) -> Data
     return links
 
 
+def _dense_links(dense: DataFrame, base: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between documents whose sketches mostly hold values of long lists (families of near copies).
+
+    Their full sets are read. A document with more than a quarter of values that no other of them has can't be
+    linked to any. The others are compared, block by block, in the lists of their hot values: first those of the
+    least value only, then those of so many values that no pair with HOT_LEAST in common is missed, as far as a list
+    still holds several components. Each block pair returns a spanning forest of its exact links.
+    """
+    sets = materialize(base.join(dense.select("doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shared array<long>"), "neardup-sets")
+    value = sets.select("doc_id", F.explode("shared").alias("s"))
+    known = value.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s")
+    shared = value.join(known, "s", "left_semi").groupBy("doc_id").agg(F.collect_list("s").alias("shared"))
+    live = materialize(dense.join(shared, "doc_id").where(f"100 * size(shared) >= {PERCENT} * n_shingles"), "neardup-live")
+    found = None
+    for depth in (1, K):
+        keys = live.select("doc_id", F.explode(F.expr(f"slice(hot, 1, least({depth}, size(hot) - {_least_hot} + 1))")).alias("v"))
+        comp = materialize(components(links if found is None else links.unionByName(found)), "neardup-cc").select(F.col("id").alias("doc_id"), "component")
+        keys = keys.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        split = keys.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("v", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+        rows = keys.select("v", "doc_id").join(split, "v").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("v", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+        rows = rows.join(live.select("doc_id", "n_shingles", "shared"), "doc_id")
+        part = materialize(rows.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long").distinct(), "neardup-links")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document (see link_documents for the rules).
 
@@ -168,33 +245,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rare = rare.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
     rare = rare.where(fits("x.n_shingles", "y.n_shingles")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).where("a < b").distinct()
 
-    # hot values: only documents whose sketches hold enough of them can be similar through hot values alone
-    hot = listed.where(F.col("df") > DENSE)
-    dense = hot.groupBy("doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("c")).where(f"c >= least({HOT_LEAST}, ceil(n_shingles * {PERCENT} / 100))").select("doc_id")
-    hot = materialize(hot.join(dense, "doc_id", "left_semi").select("v", "doc_id", "n_shingles"), "neardup-hot")
-    pivots = hot.groupBy("v").agg(F.min(F.struct("n_shingles", "doc_id")).alias("lo"), F.max(F.struct("n_shingles", "doc_id")).alias("hi"), F.min(F.struct("doc_id", "n_shingles")).alias("p"))
-    star = hot.join(pivots, "v").select("doc_id", "n_shingles", F.explode(F.array(F.struct("p.doc_id", "p.n_shingles"), F.struct("lo.doc_id", "lo.n_shingles"), F.struct("hi.doc_id", "hi.n_shingles"))).alias("p"))
-    star = star.where(fits("n_shingles", "p.n_shingles")).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).where("a < b").distinct()
-
     texts = base.withColumnRenamed("doc_id", "id")
-    cand = materialize(with_estimate(rare.unionByName(star).distinct()), "neardup-pairs")
-    links = _confirm(cand, texts, None)
-
-    comp = materialize(components(links), "neardup-cc")
-    label = comp.select(F.col("id").alias("doc_id"), "component")
-    parts = hot.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = parts.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("v", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    split = materialize(split, "neardup-split")
-    if not split.isEmpty():
-        rest = parts.join(split, "v").join(reps.select(F.col("rep").alias("doc_id"), "sketch"), "doc_id")
-        rest = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        rest = rest.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")})
-        more = rest.groupBy("v", "i", "j").applyInPandas(_block_pairs, "a long, b long, est double").groupBy("a", "b").agg(F.first("est").alias("est"))
-        more = materialize(more.join(cand, ["a", "b"], "left_anti"), "neardup-rest")
-        if not more.isEmpty():
-            links = _confirm(more, texts, links)
-            comp = materialize(components(links), "neardup-cc")
-            label = comp.select(F.col("id").alias("doc_id"), "component")
+    cand = materialize(with_estimate(rare), "neardup-pairs")
+    links = _confirm(cand, texts)
+
+    hot = listed.where(F.col("df") > DENSE)
+    dense = hot.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.sort_array(F.collect_list("v")).alias("hot")).where(f"size(hot) >= {_least_hot}")
+    dense = materialize(dense, "neardup-dense")
+    if not dense.isEmpty():
+        links = links.unionByName(_dense_links(dense, base, links))
+    label = materialize(components(links), "neardup-cc").select(F.col("id").alias("doc_id"), "component")
     named = reps.select("digest", "rep").join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.join(named.withColumn("some", F.lit(True)), (sk.digest == named.digest) & (sk.n_shingles > 0), "left")
     return out.select(sk.doc_id, sk.n_shingles, F.coalesce("component", sk.doc_id).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
