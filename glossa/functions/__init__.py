@@ -1,0 +1 @@
+"""Functions: configuration, byte-string expressions and text rendering."""

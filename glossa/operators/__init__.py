@@ -1,0 +1 @@
+"""Operators: building a dictionary and querying it in batches."""

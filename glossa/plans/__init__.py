@@ -1,0 +1 @@
+"""Plans: staged tables, global ranks and the dictionary object."""

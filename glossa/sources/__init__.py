@@ -1,0 +1 @@
+"""Sources and sinks: key sets and stored dictionaries."""
