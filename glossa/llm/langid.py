@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, slices
 
@@ -171,3 +172,25 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, model: Model | None = None) -> DataFrame:
+    """docs without the rows whose language is undetermined or whose score is below `least`. All columns stay as they are."""
+    model = model or train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    rows = plain.withColumn("__text", F.col(names[docs.columns.index("text")]).cast("string"))
+    schema = T.StructType([*plain.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    scored = rows.mapInArrow(_passing(shared), schema)
+    return scored.where((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score").toDF(*docs.columns)
+
+
+def _passing(shared):
+    score = _scorer(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in score(batches):
+            yield out.rename_columns([*out.schema.names[:-2], "__lang", "__score"])
+
+    return run

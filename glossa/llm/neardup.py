@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Words, components, materialize, shingles, slices
@@ -258,3 +259,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = reps.select("digest", "rep").join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.join(named.withColumn("some", F.lit(True)), (sk.digest == named.digest) & (sk.n_shingles > 0), "left")
     return out.select(sk.doc_id, sk.n_shingles, F.coalesce("component", sk.doc_id).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates, the one of least doc_id; all columns stay.
+
+    Rows without doc_id stay. Of rows that share a doc_id, one stays: the one of least text.
+    """
+    found = near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
+    ids = materialize(found.withColumnRenamed("doc_id", "__kept_id"), "neardup-kept")
+    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col("__kept_id"))
+    names = docs.columns
+    single = kept.where("__n = 1").select(*names)
+    by = W.partitionBy("doc_id").orderBy("text")
+    several = kept.where("__n > 1").withColumn("__row", F.row_number().over(by)).where("__row = 1").select(*names)
+    return single.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()))
