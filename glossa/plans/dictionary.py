@@ -135,7 +135,7 @@ class Dictionary:
 
     def total_size(self) -> int:
         """The optimiser's estimate of the tables' bytes."""
-        return sum(int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for t in (self.keys, self.nodes, self.locus))
+        return sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in (self.keys, self.nodes, self.locus))
 
     def io_size(self) -> int:
         """Bytes of the stored files; ValueError for a dictionary that was not saved."""
