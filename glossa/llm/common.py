@@ -114,6 +114,12 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
 
+def rows_of(batch, step: int = 256) -> Iterator[tuple]:
+    """Rows of an Arrow batch as Python tuples, converted a few at a time."""
+    for lo in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(lo, step).columns))
+
+
 def slices(rows: Iterable[tuple], text_at: int, limit: int = SLICE) -> Iterator[tuple[list[tuple], list[bytes]]]:
     """Rows and their encoded texts (null: empty) in runs of about `limit` bytes; a row is never cut."""
     part, texts, size = [], [], 0

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, slices
+from .common import Words, materialize, rows_of, slices
 
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_BYTES = 5000, 16 << 20  # of one shard; a document is never cut
 QUERY_BYTES = 16 << 20  # text of the queries that are broadcast at a time
-BLOCK = 6  # 64 documents share a block maximum
+BLOCK = 3  # 8 documents share a block maximum
 EPS = 1e-6  # scores are compared after rounding to 6 decimals
 
 _PUNCT = np.zeros(256, bool)
@@ -46,7 +46,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for batch in batches:
-            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield from rows_of(batch)
 
     ids: list[int] = []
     lens: list[np.ndarray] = []
