@@ -60,7 +60,7 @@ LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _POW = {"b": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

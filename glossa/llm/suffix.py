@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_hash, slices, span_hash
+from .common import materialize, prefix_hash, rows_of, slices, span_hash
 
 LENGTH = 200  # bytes of a repeated string
 GRAM = 40  # bytes of an anchor; every window of LENGTH bytes has one
 SIDES = 2  # anchors are told apart by where in the window they lie
-SHARD = 4 << 20  # bytes that are sorted together, as far as anchors can be kept apart
+SHARD = 1 << 20  # bytes that are sorted together, as far as anchors can be kept apart
 MEMORY = 8 << 20  # entries of a queue, or names of a reduced text, that are held in memory
 
 _RUNS = "rid long, lo int, hi int, key long, content long"
@@ -381,7 +381,7 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in slices(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), 1):
+        for part, texts in slices(rows_of(batch), 1):
             doc, lo, hi, key, content, first = _anchors(texts)
             if len(doc):
                 rid = np.array([r[0] for r in part], np.int64)[doc]
