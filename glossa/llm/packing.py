@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize
 
 WINDOW = 4096
-PIECE = 1024  # the part of a document beyond whole windows is cut into pieces of so many tokens
+PIECE = 512  # the part of a document beyond whole windows is cut into pieces of so many tokens
 BLOCK = 2048  # mean number of short pieces that are differenced together
-CACHE = 600_000  # words of a worker's cache
+CACHE = 1_000_000  # words and parts of words that a worker keeps, about 200 MB
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -35,36 +38,54 @@ _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[
 
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizers file that lower-cases and
-    splits into words; words are encoded once and kept."""
+    splits at white space and between letters, digits and signs. Words and their parts are encoded once and kept."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-        cut = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        raw = ids.tobytes()
-        for k, w in enumerate(words):
-            self.known[w] = raw[4 * cut[k] : 4 * cut[k + 1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if _PLAIN.search(t) or "<|" in t else _PARTS.findall(t.lower()) for t in texts]
-        new = list(dict.fromkeys(w for p in parts if p for w in p if w not in self.known))
-        if len(new) > CACHE // 2:
-            return [b"".join(self.encode([t])) if len(texts) > 1 else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(dict.fromkeys(w for p in parts if p for w in p))
-            self._learn(new)
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+        self.bare = Tokenizer.from_file(path)  # for parts that are split and in lower case already
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}  # parts of words too
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        whole = {w for w in words if w.isalpha()}
+        split = [(w, (w[:-1], w[-1]) if w[-1] in ".,!" and w[:-1].isalpha() else _PARTS.findall(w)) for w in words - whole]
+        new = list(whole.union(*(ps for _, ps in split)).difference(self.words))
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            e = self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            last = np.flatnonzero(self.ends[np.array(e.ids, np.int64)]) + 1
+            if len(last) != len(some):  # not a vocabulary that marks the ends of words
+                e = self.bare.encode(" ".join(some), add_special_tokens=False)
+                last = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some)), "right")
+            cut = [0, *(4 * last).tolist()]
+            raw = np.array(e.ids, "<u4").tobytes()
+            self.words.update(zip(some, [raw[s:t] for s, t in zip(cut, cut[1:])]))
+        get = self.words.__getitem__
+        self.words.update([(w, b"".join(map(get, ps))) for w, ps in split])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [None if _PLAIN.search(t) or "<|" in t else t.lower().split() for t in texts]
+        found = [None if words is None else list(map(self.words.get, words)) for words in split]
+        holes = [[] if r is None else list(compress(range(len(r)), map(not_, r))) for r in found]
+        new = {words[i] for words, at in zip(split, holes) for i in at}
+        if len(new) > CACHE // 4:
+            return [self.encode_all([t])[0] for t in texts] if len(texts) > 1 else [self._whole(texts[0])]
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+        self._learn(new)
+        for words, r, at in zip(split, found, holes):
+            for i in at:
+                r[i] = self.words[words[i]]
+        return [self._whole(t) if r is None else b"".join(r) for t, r in zip(texts, found)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -73,12 +94,13 @@ _ENCODERS: dict[str, Encoder] = {}
 def _cutter(path: str, end_id: int, window: int, piece: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        gc.disable()  # nothing here makes cycles, and collections walk the caches
         end, n = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for part, _ in slices(rows, 1):
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
                 out: list[tuple] = []
-                for (doc_id, _), ids in zip(part, encoder.encode([t or "" for _, t in part])):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all([t or "" for t in part.column(1).to_pylist()])):
                     ids += end
                     total = len(ids) // 4
                     whole = total - total % window
