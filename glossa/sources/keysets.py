@@ -23,6 +23,11 @@ def keyset(df: DataFrame, key: str, weight: str | float = 1.0) -> DataFrame:
     return df.select(_binary(F.col(key)).alias("key"), w.alias("weight")).where(F.col("key").isNotNull())
 
 
+def at(keys: DataFrame, position: str, index: int) -> DataFrame:
+    """The keys at a position, by a column that the caller keeps beside them."""
+    return keys.where(F.col(position) == index)
+
+
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """(key, weight) of lines `key` or `key<TAB>weight`.
 

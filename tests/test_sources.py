@@ -27,6 +27,8 @@ def test_bags(spark):
     more = keysets.append(bag, bag)
     row = keysets.statistics(more).first()
     assert (row.num_keys, row.total_length) == (6, 6)
+    placed = spark.createDataFrame([(0, bytearray(b"x")), (1, bytearray(b"y"))], "i long, key binary")
+    assert [bytes(r.key) for r in keysets.at(placed, "i", 1).collect()] == [b"y"] and keysets.at(placed, "i", 2).isEmpty()
     nulls = spark.createDataFrame([(None, 1.0), ("k", None)], "k string, w double")
     assert [(bytes(r.key), r.weight) for r in keysets.keyset(nulls, "k", "w").collect()] == [(b"k", 1.0)]
 
