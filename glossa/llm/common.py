@@ -25,21 +25,52 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+BATCH = "8m"
+#: Frees the shuffle files of a query when it has ended.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What df's own query has shuffled is deleted when it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     _WRITTEN.setdefault(id(spark), []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to BATCH: texts of a batch are held several times over in a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more."""
+    for t in tables:
+        spark = t.sparkSession
+        _delete(spark, t._written)
+        _WRITTEN[id(spark)].remove(t._written)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete every table that materialize() wrote in this session. Results that still read them end."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in _WRITTEN.pop(id(spark), []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,7 +198,7 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(id, component) of every vertex of edges(a, b): the least id that is reachable.
+    """(id, component) of every vertex of edges(a, b), written: the least id that is reachable.
 
     Alternating large-star and small-star steps (each halves the depth of trees),
     written after each round; a hub's edges are combined before they are shuffled.
@@ -182,10 +213,12 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         # small star: u and its lesser neighbours get the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = materialize(small, name)
+        last, e = e, materialize(small, name)
+        discard(last)
         if (new := _mark(e)) == mark:
             break
         mark = new
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    ).groupBy("id").agg(F.min("component").alias("component"))
+    ends = e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    out = materialize(ends.groupBy("id").agg(F.min("component").alias("component")), name)
+    discard(e)
+    return out

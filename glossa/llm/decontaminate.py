@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices
+from .common import Words, mix, rows_of, slices, small_batches
 
 # Fixed masks: # is compared, - is ignored.
 MASKS = ("###-#--#-##", "##-##-#--#-#", "#-#-###--##")
@@ -90,7 +90,7 @@ def _finder(index):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            rows = rows_of(batch)
             for part, texts in slices(rows, 1):
                 w = Words(texts)
                 best: dict[tuple, tuple] = {}
@@ -118,6 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a whole; items of fewer than LEAST words, null and empty texts match nothing. The benchmark is indexed and
     broadcast in blocks of about BLOCK_BYTES, however many it takes; every block meets all documents.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0

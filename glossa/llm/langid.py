@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, slices
+from .common import LOWER, slices, small_batches
 
 ORDER = 3
 SYMBOLS = 96  # bytes with a symbol of their own, one symbol stands for all others
@@ -168,6 +168,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     learned. score is the share of the best language's probability among all, at equal priors. A null doc_id counts
     as the empty text for the fold. Rows that repeat are predicted each on its own.
     """
+    small_batches(docs.sparkSession)
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -176,6 +177,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5, model: Model | None = None) -> DataFrame:
     """docs without the rows whose language is undetermined or whose score is below `least`. All columns stay as they are."""
+    small_batches(docs.sparkSession)
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"__c{i}" for i in range(len(docs.columns))]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices
+from .common import Words, mix, rows_of, slices, small_batches
 
 UNKNOWN = "unknown"
 BITS = 18  # hashed features
@@ -276,7 +276,7 @@ def _scanner(model):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            rows = rows_of(batch)
             for part, texts in slices(rows, 1):
                 if found := m.scan(texts):
                     cols = list(zip(*found))
@@ -305,6 +305,7 @@ def scan_licenses(docs: DataFrame, model: Classifier | None = None) -> DataFrame
     template of its family confirms with a share of CONFIRM counts as unknown. A line is a paragraph; longer lines are judged in overlapping windows. Null and empty texts give no row, nor do
     paragraphs judged unknown. Repeated rows give their rows again.
     """
+    small_batches(docs.sparkSession)
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

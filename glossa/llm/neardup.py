@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, components, materialize, shingles, slices
+from .common import Words, components, discard, materialize, rows_of, shingles, slices, small_batches
 
 WORDS = 5
 PERCENT = 75  # least similarity in hundredths
@@ -28,7 +28,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        rows = rows_of(batch)
         for part, texts in slices(rows, 1):
             w = Words(texts)
             h, d = shingles(w, WORDS)
@@ -64,7 +64,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, ta, tb) to (a, b) of those whose full shingle sets are similar enough."""
     for batch in batches:
         a, b = [], []
-        rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
+        rows = rows_of(batch)
         flat = ((x[0], x[1], t) for x in rows for t in x[2:])
         hold = None
         for part, texts in slices(flat, 2):
@@ -85,7 +85,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        rows = rows_of(batch)
         for part, texts in slices(rows, 1):
             h, d = shingles(Words(texts), WORDS)
             cut = np.searchsorted(d, np.arange(len(texts) + 1))
@@ -175,11 +175,12 @@ def _confirm(cand: DataFrame, texts: DataFrame) -> DataFrame:
     """
     links = None
     for turn in range(3):
-        left = cand
+        left, done = cand, []
         if links is not None:
-            comp = materialize(components(links), "neardup-cc")
+            comp = components(links)
             label = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
             left = left.join(label("a"), "a", "left").join(label("b"), "b", "left")
+            done = [comp]
             left = left.withColumns({f"c{s}": F.coalesce(f"c{s}", s) for s in "ab"}).where("ca <> cb")
         if turn == 0:
             up = cand.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
@@ -190,6 +191,7 @@ def _confirm(cand: DataFrame, texts: DataFrame) -> DataFrame:
         else:
             ask = left.select("a", "b")
         found = materialize(_ask(ask, texts), "neardup-links")
+        discard(*done)
         links = found if links is None else links.unionByName(found)
     return links
 
@@ -210,14 +212,16 @@ def _dense_links(dense: DataFrame, base: DataFrame, links: DataFrame) -> DataFra
     found = None
     for depth in (1, K):
         keys = live.select("doc_id", F.explode(F.expr(f"slice(hot, 1, least({depth}, size(hot) - {_least_hot} + 1))")).alias("v"))
-        comp = materialize(components(links if found is None else links.unionByName(found)), "neardup-cc").select(F.col("id").alias("doc_id"), "component")
-        keys = keys.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        comp = components(links if found is None else links.unionByName(found))
+        keys = keys.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         split = keys.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("v", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
         rows = keys.select("v", "doc_id").join(split, "v").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("v", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
         rows = rows.join(live.select("doc_id", "n_shingles", "shared"), "doc_id")
         part = materialize(rows.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long").distinct(), "neardup-links")
+        discard(comp)
         found = part if found is None else found.unionByName(part)
+    discard(sets, live)
     return found
 
 
@@ -228,13 +232,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a row of its own that is kept, with null component_id.
     Documents of equal shingle sets form one class by a 128-bit digest before anything is compared.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = materialize(base.mapInArrow(_sketches, _SKETCH), "neardup-sketch")
     classes = sk.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = materialize(classes, "neardup-reps")
     posts = reps.select(F.col("rep").alias("doc_id"), F.col("n").alias("n_shingles"), F.explode("sketch").alias("v"))
     lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lists = materialize(lists, "neardup-values")  # a join of two scans can be split where a value is frequent
     listed = materialize(posts.join(lists, "v"), "neardup-lists")
+    discard(lists)
     sketch_of = reps.select(F.col("rep").alias("id"), "sketch")
 
     def with_estimate(pairs: DataFrame) -> DataFrame:
@@ -255,7 +262,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dense = materialize(dense, "neardup-dense")
     if not dense.isEmpty():
         links = links.unionByName(_dense_links(dense, base, links))
-    label = materialize(components(links), "neardup-cc").select(F.col("id").alias("doc_id"), "component")
+    label = components(links).select(F.col("id").alias("doc_id"), "component")
+    discard(listed, cand, dense)
     named = reps.select("digest", "rep").join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.join(named.withColumn("some", F.lit(True)), (sk.digest == named.digest) & (sk.n_shingles > 0), "left")
     return out.select(sk.doc_id, sk.n_shingles, F.coalesce("component", sk.doc_id).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, rows_of, slices
+from .common import Words, materialize, rows_of, slices, small_batches
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -213,6 +213,7 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     Queries are broadcast in blocks of about QUERY_BYTES of text; each block meets all shards. A task carries a query's
     best scores from shard to shard as the threshold and returns one row for each query.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     index = build_index(docs)
     n, words = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()

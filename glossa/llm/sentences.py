@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mix, slices
+from .common import Words, discard, materialize, mix, rows_of, slices, small_batches
 
 SENTENCES = 3  # least sentences of a run
 LEAST = 24  # least words of a run
-LONGEST = 16  # a longer sentence counts as several
+LONGEST = 16  # a sentence is cut after so many words, before words whose last byte is a multiple of CUT,
+CUT = 4
+PIECE = 64  # and at every PIECE-th word
 
 _SPAN = "doc_id long, start int, h1 long, h2 long"
 
 
 def _units(w: Words) -> np.ndarray:
-    """First word of every sentence: after . ! or ?, after a line break, and after LONGEST words of one sentence."""
+    """First word of every sentence: after . ! or ?, after a line break, and within long sentences.
+
+    The cuts of a long sentence follow its words, so that a passage is cut alike wherever it stands in one.
+    """
     n = len(w.hash)
     if not n:
         return np.zeros(0, np.int64)
@@ -30,7 +35,8 @@ def _units(w: Words) -> np.ndarray:
     new[1:] = (last == 46) | (last == 33) | (last == 63) | (lines[w.start[1:]] > lines[w.end[:-1]])
     new[w.first[:-1][np.diff(w.first) > 0]] = True
     at = np.arange(n)
-    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % LONGEST == 0
+    since = at - np.maximum.accumulate(np.where(new, at, 0))
+    new |= (since >= LONGEST) & (w.buf[w.end - 1] % CUT == 0) | (since % PIECE == 0)
     return np.flatnonzero(new)
 
 
@@ -74,7 +80,7 @@ def _odd(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        rows = rows_of(batch)
         for part, texts in slices(rows, 1):
             w = Words(texts)
             start, _, h1, h2 = _runs(w)
@@ -86,14 +92,18 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, h1) of every run of sentences that is not the first of its kind, start in words.
+    """(doc_id, start, h1) of every run of sentences that is not the first of its kind, start in words; written.
 
     First is the least (doc_id, start); the hash of a run has 128 bits. Counting combines on the map side,
     so a line that a third of all documents hold is one row of each task.
     """
     spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_spans, _SPAN)
     kinds = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return spans.join(kinds, ["h1", "h2"]).where(~(F.struct("doc_id", "start").eqNullSafe(F.col("least")))).select("doc_id", "start", "h1")
+    kinds = materialize(kinds, "sentences-kinds")  # a join of two scans can be split where a hash is frequent
+    flagged = spans.join(kinds, ["h1", "h2"]).where(~(F.struct("doc_id", "start").eqNullSafe(F.col("least")))).select("doc_id", "start", "h1")
+    out = materialize(flagged, "sentences-spans")
+    discard(kinds)
+    return out
 
 
 def _remover(text_at: int, names: list[str]):
@@ -144,6 +154,7 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
     one place: of equal rows each keeps what the first keeps. An empty table gives an empty table.
     """
     added = ("n_sentences_removed", "n_words_removed")
+    small_batches(docs.sparkSession)
     docs = docs.drop(*added)
     flags = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "h1")).alias("spans")).withColumnRenamed("doc_id", "__flag_id")
     names = [f"__c{i}" for i in range(len(docs.columns))]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_hash, rows_of, slices, span_hash
+from .common import discard, materialize, prefix_hash, rows_of, slices, small_batches, span_hash
 
 LENGTH = 200  # bytes of a repeated string
 GRAM = 40  # bytes of an anchor; every window of LENGTH bytes has one
@@ -456,11 +456,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by key, whose suffix arrays (see suffix_array) show the windows that occur again. Rows are known by a 64-bit hash of
     doc_id and text until the end.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     runs = base.select("rid", "text").mapInArrow(_runs, _RUNS)
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
+    keys = materialize(keys, "suffix-keys")  # a join of two scans can be split where a key is frequent
     again = materialize(runs.join(keys, "key"), "suffix-runs")
+    discard(keys)
     mixed = again.where("mixed")
     kinds = materialize(mixed.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one")), "suffix-kinds")
     wanted = kinds.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("key", "content", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("wanted"))
@@ -473,5 +476,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = materialize(sorted_.join(once, ["key", "content"], "left_semi"), "suffix-found")
     whole = again.where("not mixed").select("rid", "lo", "hi").unionByName(mixed.join(kinds.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("rid", "lo", "hi"))
     single = found.join(kinds.select("key", "content", "one"), ["key", "content"]).select(F.col("one.rid").alias("rid"), (F.col("one.lo") + F.col("x")).alias("lo"), (F.col("one.lo") + F.col("y")).alias("hi"))
-    spans = whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = materialize(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    discard(again, kinds, segments, found)
     return base.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -1,7 +1,7 @@
 import random
 import re
 
-from glossa.llm.sentences import LEAST, LONGEST, SENTENCES, dedup_sentences
+from glossa.llm.sentences import CUT, LEAST, LONGEST, PIECE, SENTENCES, dedup_sentences
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -17,7 +17,7 @@ def brute(data: dict) -> dict:
             if i == 0 or b[ws[i - 1][1] - 1 : ws[i - 1][1]] in (b".", b"!", b"?") or b"\n" in b[ws[i - 1][1] : s]:
                 starts.append(i)
                 last = i
-            elif (i - last) % LONGEST == 0:
+            elif i - last >= LONGEST and ws[i][2][-1] % CUT == 0 or (i - last) % PIECE == 0:
                 starts.append(i)
         edge = starts + [len(ws)]
         for i, s in enumerate(starts):
@@ -47,10 +47,13 @@ def test_passages(spark):
     passage = " ".join(sentence() for _ in range(8))
     rows = {i: " ".join([sentence() for _ in range(5)] + ([passage] if i % 2 else []) + [sentence() for _ in range(5)]) for i in range(20)}
     rows[30] = passage + " " + passage
+    plain = " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(70))  # no sentence ends, in the middle of sentences
+    rows[40], rows[41] = (" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n)) + f" {plain} and so on" for n in (5, 9))
     df = spark.createDataFrame([(d, t, "x") for d, t in rows.items()], "doc_id long, text string, n_sentences_removed string")
     out = {r.doc_id: r for r in dedup_sentences(df).collect()}
     assert {d: (r.text, r.n_words_removed) for d, r in out.items()} == brute({d: t.encode() for d, t in rows.items()})
     assert out[1].text == rows[1] and out[0].text == rows[0] and passage not in out[3].text
+    assert out[40].n_words_removed == 0 and out[41].n_words_removed > 30
     assert out[3].n_sentences_removed >= 8 and out[2].n_sentences_removed == 0
 
 
