@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +69,9 @@ class Dictionary:
 
     # -- querying
 
+    @cached_property
     def key_lengths(self) -> list[int] | None:
-        """The byte lengths of keys, or None if there are more than LENGTHS of them."""
+        """The byte lengths of keys, or None if there are more than LENGTHS of them. Read once."""
         rows = self.keys.select(F.octet_length("key").alias("n")).distinct().limit(LENGTHS + 1).collect()
         return sorted(r[0] for r in rows) if len(rows) <= LENGTHS else None
 
@@ -86,10 +88,10 @@ class Dictionary:
         return _search.reverse_lookup(ids, self.keys, mode)
 
     def common_prefix_search(self, queries: DataFrame, limit: int = 0, keep_missing: bool = False) -> DataFrame:
-        return _search.common_prefix_search(queries, self.keys, limit, self.key_lengths(), keep_missing)
+        return _search.common_prefix_search(queries, self.keys, limit, self.key_lengths, keep_missing)
 
     def longest_prefix(self, queries: DataFrame) -> DataFrame:
-        return _search.longest_prefix(queries, self.keys, self.key_lengths())
+        return _search.longest_prefix(queries, self.keys, self.key_lengths)
 
     def predictive_search(self, queries: DataFrame, limit: int = 0, keep_missing: bool = False) -> DataFrame:
         return _search.predictive_search(queries, self.keys, self.locus, limit, keep_missing)

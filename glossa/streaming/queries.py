@@ -26,7 +26,7 @@ def predictive_count_stream(stream: DataFrame, dictionary: Dictionary, column: s
 
 def common_prefix_stream(stream: DataFrame, dictionary: Dictionary, column: str = "value") -> DataFrame:
     """A row for every key that is a prefix of the stream's query: query, key_length, key_id, key."""
-    lengths = dictionary.key_lengths()
+    lengths = dictionary.key_lengths
     q = _queries(stream, column)
     size = F.octet_length("query")
     at = F.sequence(F.lit(0), size) if lengths is None else F.filter(F.array(*[F.lit(n) for n in lengths or [-1]]), lambda n: (n >= 0) & (n <= size))
