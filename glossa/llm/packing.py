@@ -13,15 +13,17 @@ from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 WINDOW = 4096
 PIECE = 512  # the part of a document beyond whole windows is cut into pieces of so many tokens
 BLOCK = 2048  # mean number of short pieces that are differenced together
-CACHE = 1_000_000  # words and parts of words that a worker keeps, about 200 MB
+STEP = 2000  # documents that are encoded together
+CACHE = 2_000_000  # words and parts of words that a worker keeps, at most about 400 MB
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -72,20 +74,38 @@ class Encoder:
         get = self.words.__getitem__
         self.words.update([(w, b"".join(map(get, ps))) for w, ps in split])
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [None if _PLAIN.search(t) or "<|" in t else t.lower().split() for t in texts]
-        found = [None if words is None else list(map(self.words.get, words)) for words in split]
-        holes = [[] if r is None else list(compress(range(len(r)), map(not_, r))) for r in found]
-        new = {words[i] for words, at in zip(split, holes) for i in at}
-        if len(new) > CACHE // 4:
-            return [self.encode_all([t])[0] for t in texts] if len(texts) > 1 else [self._whole(texts[0])]
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
+    def _room(self, more: int) -> None:
+        """Before the cache overflows its longer words go, which are the rarer ones, and if that isn't enough all."""
+        if len(self.words) + more > CACHE:
+            self.words = {w: b for w, b in self.words.items() if len(w) < 8}
+            if len(self.words) + more > CACHE // 2:
+                self.words = {}
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """ids of each text (null: none). Distinct words of all texts are looked up once."""
+        plain = [t is not None and not _PLAIN.search(t) and "<|" not in t for t in texts.to_pylist()]
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(plain, pa.bool_()), texts, "")))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.words.get, words))
+        holes = list(compress(range(len(found)), map(not_, found)))
+        new = {words[i] for i in holes} - {""}
+        if len(new) > CACHE // 4 and len(texts) > 1:
+            half = len(texts) // 2
+            return self.encode_all(texts.slice(0, half)) + self.encode_all(texts.slice(half))
+        self._room(len(new))
         self._learn(new)
-        for words, r, at in zip(split, found, holes):
-            for i in at:
-                r[i] = self.words[words[i]]
-        return [self._whole(t) if r is None else b"".join(r) for t, r in zip(texts, found)]
+        for i in holes:
+            found[i] = self.words.get(words[i], b"")  # the empty word at the edge of a text
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), "<u4")
+        index = coded.indices.to_numpy()
+        n = size[index]
+        end = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[index] - end + n, n) + np.arange(n.sum())]
+        offsets = split.offsets.to_numpy()
+        cut = np.concatenate(([0], end))[offsets - offsets[0]].tolist()
+        return [ids[x:y].tobytes() if ok else b"" if t is None else self._whole(t) for ok, t, x, y in zip(plain, texts.to_pylist(), cut, cut[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -97,10 +117,10 @@ def _cutter(path: str, end_id: int, window: int, piece: int):
         gc.disable()  # nothing here makes cycles, and collections walk the caches
         end, n = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
+            for lo in range(0, batch.num_rows, STEP):
+                part = batch.slice(lo, STEP)
                 out: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all([t or "" for t in part.column(1).to_pylist()])):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1))):
                     ids += end
                     total = len(ids) // 4
                     whole = total - total % window
@@ -197,6 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window
     tokens. Pieces fall into blocks of about BLOCK by hash, and each block is differenced into near-equal windows.
     Repeated rows give pieces of their own. doc_id may be null; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cutter(tokenizer_path, end_id, window, min(piece, window)), _PIECES)
     pieces = materialize(pieces, "packing")
     blocks = max(1, -(-pieces.where(F.col("length") < window).count() // BLOCK))

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -98,7 +99,7 @@ def test_encoder_equals_the_tokenizer():
     samples += ["Don't we'll I'M 'S''s", "<|endoftext|> a", "a" * 3000, "", "İstanbul ΣΑΣ ŉ ſ", "½ ² ª º"]
     for lo in range(0, len(samples), 37):
         part = samples[lo : lo + 37]
-        assert e.encode_all(part) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
+        assert e.encode_all(pa.array(part)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
 
 
 def test_small_cache(monkeypatch):
@@ -108,4 +109,4 @@ def test_small_cache(monkeypatch):
     e, t = Encoder(PATH), Tokenizer.from_file(PATH)
     for k in range(30):
         part = [f"word{k} other{k % 3} and, the {k}", "the and"]
-        assert e.encode_all(part) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
+        assert e.encode_all(pa.array(part)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
