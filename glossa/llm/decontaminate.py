@@ -14,12 +14,13 @@ from .common import Words, mix, rows_of, slices, small_batches
 # Fixed masks: # is compared, - is ignored.
 MASKS = ("###-#--#-##", "##-##-#--#-#", "#-#-###--##")
 LEAST = 5  # benchmark items of fewer words are never looked for
-OVERLAP = 13  # least words of an overlap, or half the item if that is more, or the whole item if it is shorter
-MISMATCH = 3.0  # what a substitution costs when a match earns 1: overlaps keep at least 3 of 4 words
+OVERLAP = 13  # least words of an overlap, or the whole item if it is shorter
+MISMATCH = 3.0  # what a substitution, or a word put in or left out, costs when a match earns 1
+GAP = 4  # diagonals that lie so near are added up
 BLOCK_BYTES = 8 << 20  # text of the benchmark that is broadcast at a time
 BITS = 23
 
-_HIT = "doc_id long, item_id long, start long, end long, matched long, item_words long"
+_HIT = "doc_id long, item_id long, start long, end long, matched long, item_words long, share double"
 
 
 def _seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -86,6 +87,62 @@ def _best(match: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(score[: end + 1])), end
 
 
+def _align(text: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int, int, int, int]:
+    """The best local alignment of an item with the diagonals low to high of a text, and those up to GAP beside them.
+
+    Item words that are aligned, start and end in the text, words that match. A cell (i, d) is word i of the item at
+    place i + d of the text; each row holds score, start, matches and aligned words of the best way to its cells.
+    """
+    diag = np.arange(low - GAP, high + GAP + 1)
+    slope = MISMATCH * np.arange(len(diag))
+    row = np.zeros((4, len(diag)))
+    best = (0.0, 0, 0, 0, 0)
+    for i, word in enumerate(item):
+        at = i + diag
+        inside = (at >= 0) & (at < len(text))
+        same = inside & (text[np.clip(at, 0, len(text) - 1)] == word)
+        fresh = row[0] <= 0
+        pair = np.where(fresh, 0.0, row)
+        pair[1, fresh] = at[fresh]
+        pair[0] += np.where(same, 1.0, -MISMATCH)
+        pair[0, ~inside] = -np.inf
+        pair[2] += same
+        pair[3] += 1
+        # the item's word is left out: the text's place stays
+        out = row[0, 1:] - MISMATCH > pair[0, :-1]
+        pair[:, :-1][:, out] = row[:, 1:][:, out]
+        pair[0, :-1][out] -= MISMATCH
+        # words are put in: the item's word stays
+        level = pair[0] + slope
+        top = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level >= top, np.arange(len(diag)), 0))
+        put = top - slope > pair[0]
+        pair[1:, put] = pair[1:, source[put]]
+        pair[0] = np.maximum(pair[0], top - slope)
+        row = pair
+        k = int(np.argmax(row[0]))
+        if row[0, k] > best[0]:
+            best = (float(row[0, k]), int(row[3, k]), int(row[1, k]), int(at[k]) + 1, int(row[2, k]))
+    return best[1:]
+
+
+def _overlap(text: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int, int]:
+    """The longest overlap: item words aligned, start less than zero, end, matches. Diagonals ascend."""
+    cut = [k for k in range(1, len(diagonals)) if diagonals[k] - diagonals[k - 1] > 2 * GAP]
+    found = []
+    for a, b in zip([0, *cut], [*cut, len(diagonals)]):
+        for d in diagonals[a:b]:
+            lo, hi = max(d, 0), min(d + len(item), len(text))
+            match = text[lo:hi] == item[lo - d : hi - d]
+            if len(match) == len(item) and match.all():
+                found.append((len(item), -lo, hi, len(item)))
+                break
+        else:
+            n, s, e, m = _align(text, item, diagonals[a], diagonals[b - 1])
+            found.append((n, -s, e, m))
+    return max(found)
+
+
 def _finder(index):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
@@ -93,28 +150,29 @@ def _finder(index):
             rows = rows_of(batch)
             for part, texts in slices(rows, 1):
                 w = Words(texts)
-                best: dict[tuple, tuple] = {}
+                places: dict[tuple, list] = {}
                 for doc, item, place in ix.hits(w).tolist():
-                    words, first, last = ix.words[item], int(w.first[doc]), int(w.first[doc + 1])
-                    lo, hi = max(place, first), min(place + len(words), last)
-                    match = w.hash[lo:hi] == words[lo - place : hi - place]
-                    s, e = _best(match)
-                    if e - s >= min(len(words), max(OVERLAP, -(-len(words) // 2))):
-                        row = (e - s, -(lo - first + s), int(match[s:e].sum()))
-                        best[doc, item] = max(best.get((doc, item), row), row)
-                if best:
-                    out = [(part[d][0], ix.ids[i], -b, n - b, m, len(ix.words[i])) for (d, i), (n, b, m) in sorted(best.items())]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "item_id", "start", "end", "matched", "item_words"])
+                    places.setdefault((doc, item), []).append(place - int(w.first[doc]))
+                out = []
+                for (doc, item), diagonals in places.items():
+                    words = ix.words[item]
+                    n, b, e, m = _overlap(w.hash[w.first[doc] : w.first[doc + 1]], words, diagonals)
+                    if n >= min(len(words), OVERLAP):
+                        out.append((part[doc][0], ix.ids[item], -b, e, m, len(words), n / len(words)))
+                if out:
+                    types = (*[pa.int64()] * 6, pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=[x.split()[0] for x in _HIT.split(", ")])
 
     return find
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end, matched, item_words): the longest overlap of each document with each item.
+    """(doc_id, item_id, start, end, matched, item_words, share): the longest overlap of each document with each item.
 
-    Words are those of Words (A-Z lower-cased); start and end count the document's words. An overlap is a stretch
-    of words on one diagonal in which substitutions cost three matches; it holds OVERLAP words, half the item if
-    that is more, or the whole item if it is shorter. Items shorter than the longest mask are also looked for as
+    Words are those of Words (A-Z lower-cased); start and end count the document's words; share is that of the item's
+    words that are aligned. An overlap is a stretch of words in which a substitution, or a word put in or left out
+    between neighbouring diagonals, costs three matches; it holds OVERLAP words of the item, however long the item is,
+    or the whole item if it is shorter. Items shorter than the longest mask are also looked for as
     a whole; items of fewer than LEAST words, null and empty texts match nothing. The benchmark is indexed and
     broadcast in blocks of about BLOCK_BYTES, however many it takes; every block meets all documents.
     """

@@ -38,6 +38,18 @@ def test_substitutions_and_partial_overlaps(spark):
     assert all(0 < r.matched <= r.end - r.start <= r.item_words == 40 and r.start >= 30 for r in rows)
 
 
+def test_parts_of_long_items_and_words_put_in_or_left_out(spark):
+    rnd = random.Random(2)
+    sizes = [59, 400, 40, 40, 24, 59]
+    items = [words(rnd, n) for n in sizes]
+    a, b, c, d, e, f = items
+    parts = [a[20:45], b[100:250], [*c[:13], "new", *c[13:26], "new", *c[26:]], [*d[:13], *d[14:27], *d[28:]], [*e[:12], "put", "in", *e[12:]], f[20:32]]
+    docs = [(i, " ".join(words(rnd, 30) + v + words(rnd, 30))) for i, v in enumerate(parts)]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    rows = {r.doc_id: (r.item_id, r.start, r.end, r.matched, round(r.share * r.item_words)) for r in got.collect()}
+    assert rows == {0: (0, 30, 55, 25, 25), 1: (1, 30, 180, 150, 150), 2: (2, 30, 72, 40, 40), 3: (3, 30, 68, 38, 38), 4: (4, 30, 56, 24, 24)}  # 12 words are too few
+
+
 def test_short_items_and_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five"), (2, "one two"), (3, None), (4, ""), (5, "a b c d e f g h i")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "zero ONE two three four five six"), (2, "one two three four six"), (3, "x a b c d e f g h i"), (4, None), (5, "one two")], "doc_id long, text string")
