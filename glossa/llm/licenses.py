@@ -14,7 +14,8 @@ from .common import Words, mix, rows_of, slices, small_batches
 UNKNOWN = "unknown"
 BITS = 18  # hashed features
 GRAMS = 3
-WINDOW, STEP = 60, 40  # longer paragraphs are judged in windows of words
+WINDOW, STEP = 60, 40  # longer lines are judged in windows of words
+ACROSS = 15  # words between the windows of a line that run on into the next lines of its paragraph
 SAMPLE = 400  # documents of least hash whose paragraphs teach the unknown class
 SAMPLE_WORDS = 4000  # words of each
 PROBABILITY = 0.5
@@ -101,7 +102,11 @@ _FOUND = "doc_id long, first_word long, n_words long, family string, probability
 
 
 class Paragraphs:
-    """Paragraphs (lines; longer ones in windows) and their words without punctuation at the edges."""
+    """Lines (longer ones in windows), then windows that run across line breaks, and words without edge punctuation.
+
+    A paragraph is a run of lines that are not blank. From each of its lines' first word, and every ACROSS words on, a
+    window of up to WINDOW words runs on to the paragraph's end, unless the line holds all of it.
+    """
 
     def __init__(self, texts: list[bytes]):
         w = Words([_bare(t) for t in texts])
@@ -116,6 +121,18 @@ class Paragraphs:
         k = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
         self.first = np.repeat(first, steps) + k * STEP
         self.last = np.minimum(np.repeat(last, steps), self.first + WINDOW)
+        self.lines = len(self.first)  # the windows from here on run across line breaks
+        if n:
+            blank = np.ones(len(first), bool)
+            blank[1:] = (lines[w.start[first[1:]]] > lines[w.end[first[1:] - 1]] + 1) | (w.doc[first[1:]] != w.doc[first[1:] - 1])
+            head = np.flatnonzero(blank)
+            end = np.append(first[head[1:]], n)[np.cumsum(blank) - 1]
+            steps = -(-(last - first) // ACROSS)
+            k = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+            start = np.repeat(first, steps) + k * ACROSS
+            stop = np.minimum(np.repeat(end, steps), start + WINDOW)
+            over = stop > np.repeat(last, steps)
+            self.first, self.last = np.append(self.first, start[over]), np.append(self.last, stop[over])
 
     def grams(self) -> list[np.ndarray]:
         """For each n the hash of the n words from every place."""
@@ -249,11 +266,15 @@ class Classifier:
         best = q.argmax(1)
         pair = p.grams()[1]
         out = []
+        taken = np.zeros(len(p.words.hash) + 1, bool)
         for i in np.flatnonzero((best > 0) & (q.max(1) >= PROBABILITY)):  # few paragraphs
             a, b = int(p.first[maybe[i]]), int(p.last[maybe[i]])
-            own = set(pair[a : b - 1].tolist())
+            across = maybe[i] >= p.lines  # after all lines: what a line or an earlier window has shown counts no more
+            pairs = pair[a : b - 1]
+            own = set((pairs[~(taken[a : b - 1] & taken[a + 1 : b])] if across else pairs).tolist())
             share = max(self._share(t, own) for t in self.template[best[i]])
             if share >= CONFIRM:
+                taken[a:b] = True
                 d = int(p.words.doc[a])
                 out.append((d, a - int(p.words.first[d]), b - a, self.families[best[i]], float(q[i, best[i]]), share))
         return out
@@ -302,7 +323,9 @@ def scan_licenses(docs: DataFrame, model: Classifier | None = None) -> DataFrame
 
     doc_id, first_word and n_words (words between white space and edge punctuation), family, probability (calibrated),
     template_share (best share of a template's rarity-weighted word pairs found in the paragraph). A prediction that no
-    template of its family confirms with a share of CONFIRM counts as unknown. A line is a paragraph; longer lines are judged in overlapping windows. Null and empty texts give no row, nor do
+    template of its family confirms with a share of CONFIRM counts as unknown. Each line is judged, longer ones in
+    overlapping windows, and so are windows across the line breaks of a paragraph (lines up to a blank one), which
+    count by the words that no line has shown to be a notice. Null and empty texts give no row, nor do
     paragraphs judged unknown. Repeated rows give their rows again.
     """
     small_batches(docs.sparkSession)

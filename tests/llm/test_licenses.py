@@ -46,6 +46,48 @@ def test_long_lines_are_judged_in_windows(model):
     assert {f[3] for f in model.scan([line])} == {"mit"}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+ISC = """Copyright (c) 2020, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+@pytest.mark.parametrize("family, notice", [("mit", MIT), ("isc", ISC), ("bsd", BSD), ("gpl", GPL)])
+def test_notices_wrapped_over_lines(model, family, notice):
+    one = lambda text: {f[3] for f in model.scan([text.encode()])}
+    assert one(notice) == {family}
+    assert one("".join(f" * {x}\n" for x in notice.splitlines())) == {family}
+    assert one("A line of other text that stands before the notice itself\n" + notice + "and one more line of text that follows\n") == {family}
+    assert one(notice.replace("\n", "\r\n")) == {family}
+    assert one("\n\n".join(x for t in notice.split() for x in (t, ""))) == set()  # words of their own paragraphs
+
+
 def test_awkward_rows(awkward, nothing):
     assert scan_licenses(awkward).count() == 0
     assert scan_licenses(nothing, Classifier([])).count() == 0
