@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ FURNITURE = frozenset(
 )
 UNLESS = frozenset("has with no without article entry post story".split())  # with-sidebar, entry-header
 MAIN_WORDS = frozenset("article-body articlebody article-content entry-content post-content post-body story-body main-content".split())
-COPY = 0.6  # pages that share more of their undecided text are copies: nothing is deleted
+COPY = 0.6  # pages that share more of their undecided text, or of a marked main part, are copies: nothing is deleted
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -157,21 +158,35 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
-    """The main part if markup shows one; else the lines that the neighbour does not share, or all of a copy's.
+def main_text(own: list[tuple[str, bool]], *others: list[tuple[str, bool]] | None) -> str:
+    """The lines that differ from the neighbours', the nearest first; all of a copy's.
 
-    Lines of the main part stay though the neighbour has them: an article may quote, or be published twice.
+    Of a page without a marked main part goes what the nearest shares. Of a marked one all lines outside the main part
+    go, and those inside that two neighbours share, unless they are most of it: an article may quote another, or be
+    published twice.
     """
-    if any(m for _, m in own):
-        return " ".join(t for t, m in own if m)
-    texts = [t for t, _ in own]
-    gone = shared(texts, [t for t, _ in other]) if other else set()
+    near = [x for x in others if x]
+    marked = any(m for _, m in own)
+    texts = [t for t, m in own if m or not marked]
+    if marked:
+        gone = _both(texts, near[:2]) if len(near) > 1 else set()
+    else:
+        gone = shared(texts, [t for t, _ in near[0]]) if near else set()
     size = sum(map(len, texts))
     if sum(len(texts[i]) for i in gone) > COPY * size:
         gone = set()
     return " ".join(t for i, t in enumerate(texts) if i not in gone)
 
 
+def _both(texts: list[str], near: list[list[tuple[str, bool]]]) -> set[int]:
+    """Places of the lines that each neighbour shares: with its main part, or all of it if none is marked."""
+    gone = set(range(len(texts)))
+    for x in near:
+        marked = any(m for _, m in x)
+        gone &= shared(texts, [t for t, m in x if m or not marked])
+    return gone
+
+
 def _near(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b):
@@ -182,30 +197,31 @@ def _near(a: str, b: str) -> int:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of host and path; each is paired with the nearer of the row before and the row after."""
+    """Rows in the order of host and path; each is compared with the two nearest of two rows before and two after."""
 
     def rows():
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 yield from zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns))
+        yield from (None, None)
 
-    def text_of(before, row, after):
-        near = [(_near(row[3], x[3]), x) for x in (before, after) if x is not None and x[2] == row[2]]
-        return main_text(row[4], max(near, key=lambda p: p[0])[1][4] if near else None)
+    def text_of(row, beside):
+        near = sorted((x for x in beside if x is not None and x[2] == row[2]), key=lambda x: -_near(row[3], x[3]))
+        return main_text(row[4], *(x[4] for x in near[:2]))
 
     done: list[tuple] = []
     size = 0
-    before = row = None
-    for after in ((*r[:4], lines(r[4])) for r in rows()):
-        if row is not None:
-            done.append((row[0], row[1], text_of(before, row, after)))
-            size += len(done[-1][2])
-        before, row = row, after
+    held: deque = deque([None] * 4, 5)
+    for r in rows():
+        held.append(r and (*r[:4], lines(r[4])))
+        row = held[2]
+        if row is None:
+            continue
+        done.append((row[0], row[1], text_of(row, (held[1], held[3], held[0], held[4]))))
+        size += len(done[-1][2])
         if size > 1 << 21 or len(done) >= 2000:
             yield _pages(done)
             done, size = [], 0
-    if row is not None:
-        done.append((row[0], row[1], text_of(before, row, None)))
     if done:
         yield _pages(done)
 
@@ -219,7 +235,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Pages are dealt out by ranges of (host, path, page_id), so a host of any number of pages spreads, and each is
-    compared with a neighbour in that order on the same host. Null html is empty, an empty page has an empty text;
+    compared with its two nearest neighbours in that order on the same host. Null html is empty, an empty page has an empty text;
     a page alone on its host is judged by markup only. A null url counts as the empty host. Repeated rows each give
     a row. Columns other than page_id, url and html are not read.
     """

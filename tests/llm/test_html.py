@@ -2,7 +2,9 @@ import html
 import random
 import re
 
-from glossa.llm.html import extract_pages, lines, main_text, shared
+import pyarrow as pa
+
+from glossa.llm.html import _extract, extract_pages, lines, main_text, shared
 
 from .conftest import SF
 
@@ -65,6 +67,19 @@ def test_pages_without_marked_main_part_are_differenced():
     assert text(a, a) == text(a)  # a copy loses nothing
 
 
+def test_lines_that_two_neighbours_share_go_from_marked_pages():
+    page = lambda *body: "<body><nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in body) + "</article></body>"
+    own = [(f"Story {i}.", f"It goes on with words of its own, {i} of them, for a while.") for i in range(4)]
+    a, b, c, d = (page("Share this page", x, y, "Subscribe now") for x, y in own)
+    assert text(a, b) == text(a)  # an article may quote another
+    assert main_text(lines(a), lines(b), lines(c)) == " ".join(own[0])
+    assert main_text(lines(a), lines(a), lines(b)) == " ".join(own[0])  # published twice
+    assert main_text(lines(a), lines(a), lines(a)) == text(a)
+    rows = pa.RecordBatch.from_pylist([{"page_id": i, "url": "", "host": "h", "path": f"/{i}", "html": x} for i, x in enumerate((a, b, c, d))])
+    got = [x for out in _extract(iter([rows])) for x in out.column(2).to_pylist()]
+    assert got == [" ".join(x) for x in own]
+
+
 def test_driver_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
