@@ -28,7 +28,8 @@ FURNITURE = frozenset(
 )
 UNLESS = frozenset("has with no without article entry post story".split())  # with-sidebar, entry-header
 MAIN_WORDS = frozenset("article-body articlebody article-content entry-content post-content post-body story-body main-content".split())
-COPY = 0.6  # pages that share more of their undecided text, or of a marked main part, are copies: nothing is deleted
+COPY = 0.6  # a neighbour that shares more of the lines which another neighbour lacks is a copy; see main_text
+SAMPLE = 100  # addresses sampled for each range of pages, at most twice as many
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -161,19 +162,29 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 def main_text(own: list[tuple[str, bool]], *others: list[tuple[str, bool]] | None) -> str:
     """The lines that differ from the neighbours', the nearest first; all of a copy's.
 
-    Of a page without a marked main part goes what the nearest shares. Of a marked one all lines outside the main part
-    go, and those inside that two neighbours share, unless they are most of it: an article may quote another, or be
-    published twice.
+    Of a page without a marked main part goes what the nearest shares, or the second if the nearest is a copy: one
+    that has the lines which set the page apart from the second. Of a marked one all lines outside the main part go,
+    and those inside that two neighbours share, unless they are most of it: an article may quote another, or be
+    published twice. With one neighbour only, a page that shares most of its text is a copy.
     """
-    near = [x for x in others if x]
+    near = [x for x in others if x][:2]
     marked = any(m for _, m in own)
     texts = [t for t, m in own if m or not marked]
+
+    def size(places: set[int]) -> int:
+        return sum(len(texts[i]) for i in places)
+
+    every = set(range(len(texts)))
+    if not marked and len(near) > 1:
+        a, b = (shared(texts, [t for t, _ in x]) for x in near)
+        copy = size((every - b) & a) > COPY * size(every - b) or a == every
+        gone = a if not copy else b if b != every else set()
+        return " ".join(t for i, t in enumerate(texts) if i not in gone)
     if marked:
-        gone = _both(texts, near[:2]) if len(near) > 1 else set()
+        gone = _both(texts, near) if len(near) > 1 else set()
     else:
         gone = shared(texts, [t for t, _ in near[0]]) if near else set()
-    size = sum(map(len, texts))
-    if sum(len(texts[i]) for i in gone) > COPY * size:
+    if size(gone) > COPY * size(every):
         gone = set()
     return " ".join(t for i, t in enumerate(texts) if i not in gone)
 
@@ -197,7 +208,10 @@ def _near(a: str, b: str) -> int:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of host and path; each is compared with the two nearest of two rows before and two after."""
+    """Rows in the order of part, host and path; each is compared with the two nearest of two rows before and two after.
+
+    Equal pages are nearest last. Rows that a part has from those beside it are compared with, and give no row.
+    """
 
     def rows():
         for batch in batches:
@@ -206,16 +220,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (None, None)
 
     def text_of(row, beside):
-        near = sorted((x for x in beside if x is not None and x[2] == row[2]), key=lambda x: -_near(row[3], x[3]))
+        near = sorted((x for x in beside if x is not None and x[2] == row[2] and x[5:] == row[5:]), key=lambda x: (x[4] == row[4], -_near(row[3], x[3])))
         return main_text(row[4], *(x[4] for x in near[:2]))
 
     done: list[tuple] = []
     size = 0
     held: deque = deque([None] * 4, 5)
+    own: deque = deque([False] * 4, 5)
     for r in rows():
-        held.append(r and (*r[:4], lines(r[4])))
+        held.append(r and (*r[:4], lines(r[4]), r[5]))
+        own.append(r is not None and r[6])
         row = held[2]
-        if row is None:
+        if not own[2]:
             continue
         done.append((row[0], row[1], text_of(row, (held[1], held[3], held[0], held[4]))))
         size += len(done[-1][2])
@@ -231,11 +247,42 @@ def _pages(done: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _ranges(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """rows with the number of their range of keys, and (key, beside): the ranges that a key at an edge is carried to.
+
+    Only keys are read: a sample of them for the bounds, and of every range the two least and the two greatest.
+    """
+    keys = rows.select("key")
+    step = max(1, keys.count() // (SAMPLE * n))
+    sample = sorted(tuple(r) for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).groupBy("key").count().collect())
+    size, seen, bounds = sum(c for _, c in sample), 0, []
+    for x, c in sample:
+        if seen * n // max(1, size) > len(bounds):
+            bounds.append(x)
+        seen += c
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    ends: dict[str, int] = {}
+    for _ in range(2):
+        left = keys.where(~F.col("key").isin(list(ends))) if ends else keys
+        for r in left.groupBy(part.alias("part")).agg(F.min("key"), F.max("key")).collect():
+            ends |= {r[1]: r[0], r[2]: r[0]}
+    edges = sorted(ends)
+    beside: dict[str, list[int]] = {}
+    for k in range(1, len(edges)):
+        if ends[edges[k - 1]] != ends[edges[k]]:
+            for keys_, to in ((edges[max(0, k - 2) : k], ends[edges[k]]), (edges[k : k + 2], ends[edges[k - 1]])):
+                for x in keys_:
+                    beside.setdefault(x, []).append(to)
+    carried = rows.sparkSession.createDataFrame([(x, sorted(set(to) - {ends[x]})) for x, to in beside.items()], "key string, beside array<int>")
+    return rows.withColumn("part", part), carried
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Pages are dealt out by ranges of (host, path, page_id), so a host of any number of pages spreads, and each is
-    compared with its two nearest neighbours in that order on the same host. Null html is empty, an empty page has an empty text;
+    Pages are dealt out by ranges of (host, path, page_id), so a host of any number of pages spreads; the two keys at
+    each edge of a range go to the next range as well, so that each page is compared with its two nearest neighbours in
+    that order on the same host, however many ranges there are. Null html is empty, an empty page has an empty text;
     a page alone on its host is judged by markup only. A null url counts as the empty host. Repeated rows each give
     a row. Columns other than page_id, url and html are not read.
     """
@@ -243,7 +290,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     u = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(u, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", "")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
+    key = F.concat_ws("\x01", "host", "path", F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, " "))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html")).withColumn("key", key)
     n = spread(pages.sparkSession, 8)
-    near = rows.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return near.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    rows, carried = _ranges(rows, n)
+    own = F.array(F.struct(F.col("part").alias("to"), F.lit(True).alias("own")))
+    more = F.transform(F.coalesce("beside", F.array().cast("array<int>")), lambda p: F.struct(p.alias("to"), F.lit(False).alias("own")))
+    dealt = rows.join(F.broadcast(carried), "key", "left").select("page_id", "url", "host", "path", "html", "key", F.explode(F.concat(own, more)).alias("x"))
+    near = dealt.select("page_id", "url", "host", "path", "html", F.col("x.to").alias("to"), F.col("x.own").alias("own"), "key").repartitionById(n, F.col("to")).sortWithinPartitions("to", "key")
+    return near.drop("key").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

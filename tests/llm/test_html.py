@@ -75,7 +75,7 @@ def test_lines_that_two_neighbours_share_go_from_marked_pages():
     assert main_text(lines(a), lines(b), lines(c)) == " ".join(own[0])
     assert main_text(lines(a), lines(a), lines(b)) == " ".join(own[0])  # published twice
     assert main_text(lines(a), lines(a), lines(a)) == text(a)
-    rows = pa.RecordBatch.from_pylist([{"page_id": i, "url": "", "host": "h", "path": f"/{i}", "html": x} for i, x in enumerate((a, b, c, d))])
+    rows = pa.RecordBatch.from_pylist([{"page_id": i, "url": "", "host": "h", "path": f"/{i}", "html": x, "to": 0, "own": True} for i, x in enumerate((a, b, c, d))])
     got = [x for out in _extract(iter([rows])) for x in out.column(2).to_pylist()]
     assert got == [" ".join(x) for x in own]
 
@@ -101,3 +101,24 @@ def test_neighbours_across_partitions_and_nulls(spark):
     assert sum(got[i] == f"Own text number {i} with words." for i in plain) >= 55  # a lone first or last row of a partition keeps its menu
     assert all(got[i] in (f"Own text number {i} with words.", f"Menu of the site Own text number {i} with words.") for i in plain)
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_copies_are_told_by_a_second_neighbour():
+    page = lambda body: "<body>" + "".join(f"<div>A long line of the menu, number {i}, on every page.</div>" for i in range(9)) + f"<div>{body}</div></body>"
+    a, b, c = (lines(page(x)) for x in ("One short story.", "Two is another.", "And a third."))
+    assert main_text(a, b, c) == "One short story."  # shared lines are most of the text
+    assert main_text(a, a, b) == "One short story."  # the nearest is a copy
+    assert main_text(a, a, a) == main_text(a, a) == " ".join(t for t, _ in a)
+
+
+def test_every_page_meets_its_neighbours_however_many_ranges(spark):
+    rows = [(i, f"http://h{i // 20}.example/{i:03d}", f"<body><div>Menu of the site</div><div>Own text number {i} with words.</div></body>") for i in range(63)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 40, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.page_id: r.text for r in extract_pages(df).collect()}
+            assert got == {i: f"Own text number {i} with words." for i in range(63)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
