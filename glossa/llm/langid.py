@@ -14,39 +14,63 @@ from pyspark.sql import types as T
 from .common import LOWER, slices, small_batches
 
 ORDER = 3
-SYMBOLS = 96  # bytes with a symbol of their own, one symbol stands for all others
-LEAST = 4  # a context of the longest orders needs so many occurrences in some language
-TABLE_BYTES = 32 << 20  # bound of the broadcast table of code lengths
-TRAIN_DOCS = 400  # documents for each language, those of least hash
-TRAIN_BYTES = 16_000  # bytes of one training document
+LEAST = 4  # a context of the longest order needs so many occurrences in some language
+ALPHABET = 230  # byte values that are left when A-Z are lower-cased
+TABLE_BYTES = 8 << 20  # of code lengths for each language, and
+TABLE_LANGS = 16  # for so many languages at most: bounds the broadcast table
+TRAIN_DOCS = 400  # whole documents for each language, those of least hash
 MAX_LANGS = 512
 
+_PAD = b"\n" * ORDER
+_COUNTS = "lang string, gram long, n long"
+
+
+def _grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte of a lower-cased text with the ORDER bytes before it, as a number in base 256, and how often it occurs."""
+    s = LOWER[np.frombuffer(_PAD + text, np.uint8)]
+    return np.unique(_codes(s, ORDER + 1, 256), return_counts=True)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to (lang, gram, n)."""
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            grams, n = _grams(text.encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(grams), np.int64))), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
 
 class Model:
-    """Code lengths in bits of every symbol in every context of the languages' trees.
+    """Code lengths in bits of every byte in every context of the languages' trees.
 
-    counts are held by language for contexts of 0 to ORDER bytes. The probability of a symbol is PPM's with
-    escape method C and exclusions: seen symbols get n / (total + kinds), an escape gets kinds / (total + kinds)
+    counts are held by language for contexts of 0 to ORDER bytes. The probability of a byte is PPM's with
+    escape method C and exclusions: seen bytes get n / (total + kinds), an escape gets kinds / (total + kinds)
     and leads to the context without its oldest byte; below order 0 the bytes not yet excluded are equal.
+    Each byte that occurs in training has a symbol of its own; one more stands for each of the others, which are
+    alike in every context, so that the code lengths are exact for any text.
     """
 
-    def __init__(self, texts: dict[str, list[bytes]]):
-        self.langs = sorted(texts)
-        joined = {k: LOWER[np.frombuffer(b"\n" * ORDER + (b"\n" * ORDER).join(v) + b"\n", np.uint8)] for k, v in texts.items()}
-        seen = sum((np.bincount(x, minlength=256) for x in joined.values()), np.zeros(256, np.int64))
-        own = [b for b in np.argsort(-seen, kind="stable")[: SYMBOLS - 1] if seen[b]]
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """counts: for each language the grams of its texts (see _grams) and how often they occur."""
+        self.langs = sorted(counts)
+        seen = np.unique(np.concatenate([counts[k][0] for k in self.langs]) & 255) if counts else np.zeros(0, np.int64)
+        own = np.union1d(seen, [10])
         self.n = n = len(own) + 1
         self.symbol = np.zeros(256, np.int64)
         self.symbol[own] = np.arange(1, n)
         self.symbol = self.symbol[LOWER]
-        seq = {k: self.symbol[x] for k, x in joined.items()}
+        seq = {}  # grams in base n, with their counts
+        for k, (grams, times) in counts.items():
+            code = np.zeros(len(grams), np.int64)
+            for i in range(ORDER, -1, -1):
+                code = code * n + self.symbol[(grams >> 8 * i) & 255]
+            seq[k] = code, times
         # contexts kept at each order: codes in base n, the oldest byte first
         keep = [np.zeros(1, np.int64)]
-        budget = max(n * 2, TABLE_BYTES // (4 * n * max(1, len(self.langs))))
+        budget = max(n * 2, TABLE_BYTES * min(len(self.langs), TABLE_LANGS) // (4 * n * max(1, len(self.langs))))
         for k in range(1, ORDER + 1):
             most = np.zeros(n**k, np.int64)
-            for s in seq.values():
-                np.maximum(most, np.bincount(_codes(s, k, n)[: len(s) - k], minlength=n**k), out=most)
+            for code, times in seq.values():
+                np.maximum(most, np.bincount(code // n % n**k, weights=times, minlength=n**k).astype(np.int64), out=most)
             found = np.flatnonzero(most >= (1 if k < ORDER else LEAST))
             room = max(0, budget - sum(map(len, keep)))
             if len(found) > room:
@@ -56,36 +80,45 @@ class Model:
         total = int(base[-1])
         # the longest kept suffix of every history of ORDER symbols
         self.node = np.zeros(n**ORDER, np.int32)
-        every = np.arange(n**ORDER)
         short = []  # for each order, code -> node
         for k in range(ORDER + 1):
             m = np.full(n**k, -1, np.int32)
             m[keep[k]] = base[k] + np.arange(len(keep[k]))
             short.append(m)
-            to = m[every % n**k]
+            to = np.tile(m, n ** (ORDER - k))
             self.node[to >= 0] = to[to >= 0]
         self.cost = np.zeros((total * n, len(self.langs)), np.float32)
         for j, lang in enumerate(self.langs):
-            s = seq[lang]
-            counts = np.zeros((total, n), np.float64)
+            code, times = seq[lang]
+            seen_in = np.zeros((total, n), np.float64)
             for k in range(ORDER + 1):
-                nodes = short[k][_codes(s, k, n)[: len(s) - k]]
+                nodes = short[k][code // n % n**k]
                 ok = nodes >= 0
-                counts += np.bincount(nodes[ok].astype(np.int64) * n + s[k:][ok], minlength=total * n).reshape(total, n)
+                seen_in += np.bincount(nodes[ok].astype(np.int64) * n + code[ok] % n, weights=times[ok], minlength=total * n).reshape(total, n)
             for k in range(ORDER + 1):
                 p = np.zeros((len(keep[k]), n))
                 escape = np.ones((len(keep[k]), 1))
                 excluded = np.zeros_like(p, bool)
                 for o in range(k, -1, -1):
                     at = short[o][keep[k] % n**o]
-                    c = np.where(excluded, 0, counts[at]) * (at >= 0)[:, None]
+                    c = np.where(excluded, 0, seen_in[at]) * (at >= 0)[:, None]
                     total_c, kinds = c.sum(1, keepdims=True), np.count_nonzero(c, 1)[:, None]
                     some = np.maximum(total_c + kinds, 1)
                     p = np.where(c > 0, escape * c / some, p)
                     escape = np.where(total_c > 0, escape * kinds / some, escape)
                     excluded |= c > 0
-                p = np.where(excluded, p, escape / (257 - excluded.sum(1, keepdims=True)))
-                self.cost[base[k] * n : base[k + 1] * n, j] = -np.log2(np.maximum(p, 1e-12)).ravel()
+                p = np.where(excluded, p, escape / np.maximum(ALPHABET - excluded.sum(1, keepdims=True), 1))
+                self.cost[base[k] * n : base[k + 1] * n, j] = -np.log2(np.maximum(p, 1e-300)).ravel()
+
+    @classmethod
+    def of_texts(cls, texts: dict[str, list[bytes]]) -> Model:
+        """From the texts of each language themselves; for small sets and tests."""
+        counts = {}
+        for lang, own in texts.items():
+            grams, n = (np.concatenate(x) for x in zip(*map(_grams, own)))
+            kinds, at = np.unique(grams, return_inverse=True)
+            counts[lang] = kinds, np.bincount(at, weights=n).astype(np.int64)
+        return cls(counts)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language, every byte counted."""
@@ -94,8 +127,7 @@ class Model:
         some = np.flatnonzero(lens > 0)
         if not len(some) or not self.langs:
             return out
-        pad = b"\n" * ORDER
-        s = self.symbol[np.frombuffer(b"".join(pad + texts[i] for i in some), np.uint8)]
+        s = self.symbol[np.frombuffer(b"".join(_PAD + texts[i] for i in some), np.uint8)]
         cell = self.node[_codes(s, ORDER, self.n)[: len(s) - ORDER]].astype(np.int64) * self.n + s[ORDER:]
         first = np.cumsum(lens[some] + ORDER) - (lens[some] + ORDER)
         edge = np.stack((first, first + lens[some]), 1).ravel()
@@ -144,21 +176,24 @@ def _held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame) -> Model:
     """A model of the non-null lang values of documents that are not held out.
 
-    The sample is bounded: for each language the TRAIN_DOCS documents of least hash of doc_id, TRAIN_BYTES of each.
+    The sample is bounded: for each language the TRAIN_DOCS different documents of least hash of doc_id and text, whole.
+    Rows whose hash lies above twice the share that is needed are left out first, so no task sees more than a bounded
+    number of a language's rows. Contexts are counted on Spark; the driver gets the counts of different grams.
     """
     pool = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out())
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = pool.select("lang", "doc_id").withColumn("r", F.row_number().over(by)).where(F.col("r") <= TRAIN_DOCS).select(F.col("doc_id").alias("t_id"), F.col("lang").alias("t_lang"))
-    n_langs = pool.select("lang").distinct().limit(MAX_LANGS + 1).count()
-    if n_langs > MAX_LANGS:
+    sizes = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    # TRAIN_DOCS rows of each of at most MAX_LANGS languages
-    rows = pool.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("lang") == F.col("t_lang")))
-    rows = rows.select("lang", "doc_id", F.substring("text", 1, TRAIN_BYTES).alias("text")).orderBy("lang", "doc_id", "text")
-    texts: dict[str, list[bytes]] = {}
-    for r in rows.toLocalIterator():
-        texts.setdefault(r[0], []).append(r[2].encode("utf-8", "surrogatepass")[:TRAIN_BYTES])
-    return Model(texts)
+    if not sizes:
+        return Model({})
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, 2 * TRAIN_DOCS / r[1]))])
+    h = F.xxhash64("doc_id", "text")
+    few = pool.withColumn("h", h).where(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)).dropDuplicates(["lang", "h"])
+    by = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h")
+    chosen = few.withColumn("r", F.row_number().over(by)).where(F.col("r") <= TRAIN_DOCS).select("lang", "text")
+    found = chosen.mapInArrow(_counted, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = found.column("lang").to_numpy(), found.column("gram").to_numpy(), found.column("n").to_numpy()
+    return Model({k: (gram[lang == k], n[lang == k]) for k in sorted(set(lang))})
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
