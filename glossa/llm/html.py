@@ -1,4 +1,4 @@
-"""Main text of web pages: markup roles and differencing of pages with neighbouring addresses."""
+"""Main text of web pages: differencing of pages with neighbouring addresses, and the roles that markup names."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del".split())
 CLOSED_BY_BLOCK = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6".split())
 ENDS_A_PARAGRAPH = frozenset("div section article main p ul ol table footer nav".split())
-# Words in class, id and role that name page furniture.
+# Words in class, id and role that name page furniture.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted promotion "
@@ -28,10 +29,16 @@ FURNITURE = frozenset(
 )
 UNLESS = frozenset("has with no without article entry post story".split())  # with-sidebar, entry-header
 MAIN_WORDS = frozenset("article-body articlebody article-content entry-content post-content post-body story-body main-content".split())
-COPY = 0.6  # a neighbour that shares more of the lines which another neighbour lacks is a copy; see main_text
+COPY = 0.6  # a neighbour that has more than this share of what sets a page apart is a copy; see main_text
 SAMPLE = 100  # addresses sampled for each range of pages, at most twice as many
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|[^<]+|<", re.S)
+PLAIN, MAIN, SIDE = 0, 1, 2  # roles of a line: none named, inside the main part, page furniture
+ALIGNED = 1 << 24  # cells of an alignment that are kept at once
+
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_TAG_UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*$")
+_OPENS = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
@@ -48,59 +55,97 @@ def _roles(attrs: str) -> tuple[bool, bool]:
     return not main and any(w & FURNITURE and not w & UNLESS for w in words), main
 
 
-def lines(page: str | None) -> list[tuple[str, bool]]:
-    """The page's text lines, without scripts, marked furniture and markup, each with whether it is in the main part."""
-    out: list[tuple[str, bool]] = []
+def _tokens(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text, closing, name, attributes, place after it) of the text and tags of a page, in one pass.
+
+    A `<` that opens no tag is text. From the first quote that is never closed on, quotes in tags mean nothing; a tag
+    or comment that the page's end cuts off is dropped. The caller may send a place from which to go on.
+    """
+    pos, end, tag = 0, len(page), _TAG
+    while pos < end:
+        at = page.find("<", pos)
+        if at != pos:
+            at = end if at < 0 else at
+            yield page[pos:at], False, "", "", at
+            pos = at
+            continue
+        if not _OPENS.match(page, pos):
+            if m := _OTHER.match(page, pos):
+                pos = m.end()
+            else:
+                yield "<", False, "", "", pos + 1
+                pos += 1
+            continue
+        m = tag.match(page, pos)
+        if m is None and tag is _TAG:
+            tag = _TAG_UNQUOTED
+            m = tag.match(page, pos)
+        if m is None:
+            return
+        to = yield "", bool(m[1]), m[2].lower(), m[3], m.end()
+        if to is not None:
+            yield "", False, "", "", to
+        pos = m.end() if to is None else to
+
+
+def lines(page: str | None) -> list[tuple[str, int]]:
+    """The page's text lines, without scripts and markup, each with its role: MAIN, SIDE or PLAIN."""
+    out: list[tuple[str, int]] = []
     buf: list[str] = []
-    skip, depth = "", 0  # an element whose text is dropped
+    skip, depth = "", 0  # an element of page furniture that is open
     named = seen = False  # whether its class, id or role named it; whether there was a main part
-    mains: list[list] = []  # open elements that hold the main text: name and depth of the same name
+    open_: dict[str, int] = {}  # how many elements of each name are open
+    mains: list[tuple[str, int]] = []  # open elements that hold the main text, and how many of their name were open
+    main_at: dict[str, list[int]] = {}  # their places in mains, by name
     page = page or ""
-    pos, end = 0, len(page)
 
     def flush() -> None:
         t = _SPACES.sub(" ", html.unescape("".join(buf))).strip()
         buf.clear()
         if t:
-            out.append((t, bool(mains)))
+            out.append((t, SIDE if skip else MAIN if mains else PLAIN))
 
-    while pos < end:
-        m = _TOKEN.match(page, pos)
-        pos = m.end()
-        name = (m[2] or "").lower()
+    scan = _tokens(page)
+    for text, closing, name, attrs, pos in scan:
         if not name:
-            if not skip and (page[m.start()] != "<" or m.end() - m.start() == 1):
-                buf.append(m[0])
+            buf.append(text)
             continue
-        closing, own = bool(m[1]), bool(m[4])
+        own = attrs.endswith("/")
         if name in RAW and not closing:
             if not own:
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-                pos = close.end() if close else end
+                scan.send(close.end() if close else len(page))
             continue
         block = name not in INLINE
         if skip:
             if name == skip and (closing or skip not in CLOSED_BY_BLOCK):
                 depth += -1 if closing else 0 if own else 1
                 if depth <= 0:
+                    flush()
                     skip = ""
+                elif block:
+                    flush()
                 continue
             # a wrapper that was named like furniture holds the page's first main part
-            wraps = named and not seen and not closing and name in ("article", "main") and not _roles(m[3])[0]
+            wraps = named and not seen and not closing and name in ("article", "main") and not _roles(attrs)[0]
             if not wraps and name != skip and not (skip in CLOSED_BY_BLOCK and block and (closing or name in ENDS_A_PARAGRAPH)):
+                if block:
+                    flush()
                 continue
+            flush()
             skip = ""  # left open, ended by the next block
         if block:
             flush()
         if closing:
-            for k in range(len(mains) - 1, -1, -1):
-                if mains[k][0] == name:
-                    mains[k][1] -= 1
-                    if not mains[k][1]:
-                        del mains[k:]
-                    break
+            if open_.get(name):
+                open_[name] -= 1
+            if main_at.get(name) and open_.get(name, 0) < mains[main_at[name][-1]][1]:
+                first = main_at[name][-1]
+                for x, _ in mains[first:]:
+                    main_at[x].pop()
+                del mains[first:]
             continue
-        furniture, main = _roles(m[3])
+        furniture, main = _roles(attrs)
         if name not in VOID and not own:
             if furniture or name in ASIDE:
                 if name == "header" and mains and not furniture:
@@ -109,93 +154,114 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
                     flush()
                     skip, depth, named = name, 1, furniture and name not in ASIDE
                     continue
-            for k in mains:
-                if k[0] == name:
-                    k[1] += 1
+            open_[name] = open_.get(name, 0) + 1
             if name in ("article", "main") or main:
-                mains.append([name, 1])
+                main_at.setdefault(name, []).append(len(mains))
+                mains.append((name, open_[name]))
                 seen = True
     flush()
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b, by bit vectors over b."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    found = set(range(lo)) | set(range(len(a) - hi, len(a)))
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    at: dict[str, int] = {}
-    for j, t in enumerate(y):
-        at[t] = at.get(t, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    rows, v = [], full
+def _rows(x: list[str], at: dict[str, int], n: int) -> Iterator[int]:
+    """For every number of x's first lines a bit vector whose zeros are where the longest common subsequence grows."""
+    full = v = (1 << n) - 1
+    yield v
     for t in x:
-        rows.append(v)
         u = v & at.get(t, 0)
         v = ((v + u) | (v - u)) & full
-    rows.append(v)
-    # a zero bit j in rows[i] is where the length of the first i lines of x grows in y
-    j = len(y)
-    for i in range(len(x) - 1, -1, -1):
-        if not j:
-            break
-        mask = (1 << j) - 1
-        if ((~rows[i + 1]) & mask).bit_count() > ((~rows[i]) & mask).bit_count():
-            found.add(lo + i)
-            # step to before the match: the last place whose prefix still has this length less one
-            want = ((~rows[i]) & mask).bit_count()
-            hits = at[x[i]] & mask
-            while hits:
-                k = hits.bit_length() - 1
-                if ((~rows[i]) & ((1 << k) - 1)).bit_count() == want:
-                    break
-                hits ^= 1 << k
-            j = k if hits else j
+        yield v
+
+
+def _places(y: list[str]) -> dict[str, int]:
+    by: dict[str, list[int]] = {}
+    for j, t in enumerate(y):
+        by.setdefault(t, []).append(j)
+    out = {}
+    for t, js in by.items():
+        bits = bytearray(js[-1] // 8 + 1)
+        for j in js:
+            bits[j >> 3] |= 1 << (j & 7)
+        out[t] = int.from_bytes(bits, "little")
+    return out
+
+
+def _lengths(x: list[str], y: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of x and the first j lines of y, for every j."""
+    v = 0
+    for v in _rows(x, _places(y), len(y)):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def shared(a: list[str], b: list[str]) -> set[int]:
+    """Places in a of a longest common subsequence of a and b, by bit vectors over b.
+
+    Large alignments are halved first, so that memory grows with the lines and not with their product.
+    """
+    found: set[int] = set()
+    todo = [(0, a, b)]
+    while todo:
+        off, x, y = todo.pop()
+        lo, most = 0, min(len(x), len(y))
+        while lo < most and x[lo] == y[lo]:
+            lo += 1
+        hi = 0
+        while hi < most - lo and x[-1 - hi] == y[-1 - hi]:
+            hi += 1
+        found.update(range(off, off + lo), range(off + len(x) - hi, off + len(x)))
+        off, x, y = off + lo, x[lo : len(x) - hi], y[lo : len(y) - hi]
+        if not x or not y:
+            continue
+        if len(x) > 1 and len(x) * len(y) > ALIGNED:
+            mid = len(x) // 2
+            j = int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
+            todo += [(off, x[:mid], y[:j]), (off + mid, x[mid:], y[j:])]
+            continue
+        at = _places(y)
+        rows = list(_rows(x, at, len(y)))
+        j = len(y)
+        for i in range(len(x) - 1, -1, -1):
+            mask = (1 << j) - 1
+            if ((~rows[i + 1]) & mask).bit_count() > ((~rows[i]) & mask).bit_count():
+                found.add(off + i)
+                j = (at[x[i]] & mask).bit_length() - 1  # the last match has the longest way to it
     return found
 
 
-def main_text(own: list[tuple[str, bool]], *others: list[tuple[str, bool]] | None) -> str:
-    """The lines that differ from the neighbours', the nearest first; all of a copy's.
+def main_text(own: list[tuple[str, int]], *others: list[tuple[str, int]] | None) -> str:
+    """The lines that differ from the neighbours', the nearest first, less what markup names as furniture.
 
-    Of a page without a marked main part goes what the nearest shares, or the second if the nearest is a copy: one
-    that has the lines which set the page apart from the second. Of a marked one all lines outside the main part go,
-    and those inside that two neighbours share, unless they are most of it: an article may quote another, or be
-    published twice. With one neighbour only, a page that shares most of its text is a copy.
+    The page's lines are aligned with those of two neighbours, furniture and all. Without a marked main part go the
+    lines that the nearest shares, or the second if the nearest is a copy: one that has most of what sets the page
+    apart from the second. Of a marked main part go the lines that both share and that don't end like a sentence, unless
+    they are most of it: articles may share sentences, or be published twice. With one neighbour only, a page that shares most of its text is a copy.
+    Of the lines that are left, those that markup names as furniture go, and on marked pages all outside the main part.
     """
     near = [x for x in others if x][:2]
-    marked = any(m for _, m in own)
-    texts = [t for t, m in own if m or not marked]
+    marked = any(m == MAIN for _, m in own)
+    texts = [t for t, _ in own]
+    body = {i for i, (_, m) in enumerate(own) if m == (MAIN if marked else PLAIN)}
+    alike = [shared(texts, [t for t, _ in x]) for x in near]
 
     def size(places: set[int]) -> int:
         return sum(len(texts[i]) for i in places)
 
-    every = set(range(len(texts)))
-    if not marked and len(near) > 1:
-        a, b = (shared(texts, [t for t, _ in x]) for x in near)
-        copy = size((every - b) & a) > COPY * size(every - b) or a == every
-        gone = a if not copy else b if b != every else set()
-        return " ".join(t for i, t in enumerate(texts) if i not in gone)
-    if marked:
-        gone = _both(texts, near) if len(near) > 1 else set()
-    else:
-        gone = shared(texts, [t for t, _ in near[0]]) if near else set()
-    if size(gone) > COPY * size(every):
+    if not near or marked and len(near) < 2:
         gone = set()
-    return " ".join(t for i, t in enumerate(texts) if i not in gone)
-
-
-def _both(texts: list[str], near: list[list[tuple[str, bool]]]) -> set[int]:
-    """Places of the lines that each neighbour shares: with its main part, or all of it if none is marked."""
-    gone = set(range(len(texts)))
-    for x in near:
-        marked = any(m for _, m in x)
-        gone &= shared(texts, [t for t, m in x if m or not marked])
-    return gone
+    elif marked or len(near) < 2:
+        gone = set.intersection(*alike)
+        if size(gone & body) > COPY * size(body):
+            gone = set()
+        if marked:
+            gone = {i for i in gone if not _SENTENCE.search(texts[i])}
+    else:
+        a, b = alike
+        apart = body - b
+        copy = size(apart & a) > COPY * size(apart) or body <= a
+        gone = a if not copy else b if not body <= b else set()
+    return " ".join(t for i, t in enumerate(texts) if i in body and i not in gone)
 
 
 def _near(a: str, b: str) -> int:
@@ -284,7 +350,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     each edge of a range go to the next range as well, so that each page is compared with its two nearest neighbours in
     that order on the same host, however many ranges there are. Null html is empty, an empty page has an empty text;
     a page alone on its host is judged by markup only. A null url counts as the empty host. Repeated rows each give
-    a row. Columns other than page_id, url and html are not read.
+    a row. Of two neighbours that are equally near the one before comes first. A page is read in one pass, however long
+    or broken; alignments of many lines are halved to bound memory. An empty table gives an empty table. Columns other
+    than page_id, url and html are not read.
     """
     small_batches(pages.sparkSession)
     u = F.coalesce(F.col("url").cast("string"), F.lit(""))

@@ -1,9 +1,11 @@
 import html
 import random
 import re
+import time
 
 import pyarrow as pa
 
+from glossa.llm import html as H
 from glossa.llm.html import _extract, extract_pages, lines, main_text, shared
 
 from .conftest import SF
@@ -22,12 +24,18 @@ def subsequence(x, y):
     return all(c in it for c in x)
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch):
     rnd = random.Random(3)
     for _ in range(1500):
         a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 12))] for _ in range(2))
         s = shared(a, b)
         assert len(s) == lcs(a, b) and subsequence([a[i] for i in sorted(s)], b)
+    for _ in range(300):  # halved alignments
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        monkeypatch.setattr(H, "ALIGNED", rnd.choice((1, 60, 500)))
+        s = shared(a, b)
+        assert len(s) == lcs(a, b) and subsequence([a[i] for i in sorted(s)], b)
+    monkeypatch.undo()
     same = ["x"] * 5000
     assert len(shared(same, same[:-7] + ["y"])) == 4993
 
@@ -122,3 +130,29 @@ def test_every_page_meets_its_neighbours_however_many_ranges(spark):
             assert got == {i: f"Own text number {i} with words." for i in range(63)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_hostile_pages_take_linear_time():
+    n = 1 << 20
+    pages = ["<p " * (n // 3), "<p a=\"" * (n // 6), "<p '\">" * (n // 6), "<" * n, "<!-- " * (n // 5), "<article>x" * (n // 10), "<div class=ad>" * (n // 14) + "x", "</p" * (n // 3), "<script>" * (n // 8), "&amp" * (n // 4)]
+    for page in pages:
+        began = time.perf_counter()
+        lines(page)
+        assert time.perf_counter() - began < 5, page[:20]
+    a, b = ("".join(f"<p>{c}" for c in random.Random(k).choices("abc", k=20_000)) for k in (1, 2))
+    began = time.perf_counter()
+    assert main_text(lines(a), lines(b)) == text(a)  # most lines are shared: a copy
+    assert time.perf_counter() - began < 30
+
+
+def test_nested_and_unclosed_articles():
+    assert text("<article>a<article>b</article>c</article>out") == "a b c"
+    assert text("<article>kept <p class='x") == "kept"
+    assert text("<article><p title='x>kept</p></article>") == "kept"
+    assert text("<main>one</main><p>two</p><main>three</main>") == "one three"
+
+
+def test_furniture_inside_the_main_part_goes_by_differencing():
+    page = lambda i: f"<body><main><p>Site menu entry one</p><p>Trending now</p><p>Story {i} with text of its own, long enough to read.</p><p>All rights reserved</p></main></body>"
+    a, b, c = (lines(page(i)) for i in range(3))
+    assert main_text(a, b, c) == "Story 0 with text of its own, long enough to read."
