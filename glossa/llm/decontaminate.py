@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, rows_of, slices, small_batches
+from .common import Words, materialize, mix, rows_of, slices, small_batches
 
 # Fixed masks: # is compared, - is ignored.
 MASKS = ("###-#--#-##", "##-##-#--#-#", "#-#-###--##")
@@ -19,8 +19,10 @@ MISMATCH = 3.0  # what a substitution, or a word put in or left out, costs when
 GAP = 4  # diagonals that lie so near are added up
 BLOCK_BYTES = 8 << 20  # text of the benchmark that is broadcast at a time
 BITS = 23
+PAIRS = 1 << 20  # places of equal seeds that are expanded at a time
+BAND = 1 << 15  # diagonals that are aligned at a time
 
-_HIT = "doc_id long, item_id long, start long, end long, matched long, item_words long, share double"
+_HIT = "doc_id long, digest long, item_id long, start long, end long, matched long, item_words long, share double"
 
 
 def _seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -37,7 +39,7 @@ def _seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 
 class Index:
-    """Seeds of a block of benchmark items: sorted hashes with item and place, and the items' words."""
+    """Seeds of a block of benchmark items: sorted hashes with item and places, and the items' words."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         w = Words([(t or "").encode("utf-8", "surrogatepass") for _, t in items])
@@ -54,37 +56,61 @@ class Index:
                 s = _seeds(x, mask, m)
                 found.append((s, np.full(len(s), i), np.arange(len(s))))
         cat = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ()))]
-        order = np.argsort(cat[0].astype(np.uint64), kind="stable")
-        self.hash, self.item, self.place = (x[order] for x in (cat[0].astype(np.uint64), cat[1].astype(np.int64), cat[2].astype(np.int64)))
+        order = np.argsort(cat[0].astype(np.uint64), kind="stable")  # equal seeds stay in order of mask, item and place
+        h, item, place = (x[order] for x in (cat[0].astype(np.uint64), cat[1].astype(np.int64), cat[2].astype(np.int64)))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)
+        first = np.flatnonzero(new)
+        self.hash, self.item, self.place = h[first], item[first], place[first]  # runs of a seed from place to last
+        self.last = place[np.append(first[1:], len(h)) - 1] if len(h) else place
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.hash >> np.uint64(64 - BITS)] = True
 
     def hits(self, w: Words) -> np.ndarray:
-        """Distinct (document, item, diagonal) with at least one common seed inside the document."""
-        out = []
+        """Distinct (document, item, first diagonal, last diagonal) of intervals of diagonals that hold a common seed.
+
+        Seeds that repeat from place to place, in a text or an item, are met as runs: two runs share an interval of
+        diagonals. What is left is expanded PAIRS at a time and merged, so memory grows with the intervals.
+        """
+        out = [np.zeros((0, 4), np.int64)]
         for m, mask in enumerate(self.masks):
             s = _seeds(w.hash, mask, m)
             if not len(s):
                 continue
             at = np.flatnonzero(self.seen[s >> np.uint64(64 - BITS)])
-            lo, hi = np.searchsorted(self.hash, s[at], "left"), np.searchsorted(self.hash, s[at], "right")
+            at = at[w.doc[at] == w.doc[at + len(mask) - 1]]
+            if not len(at):
+                continue
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (s[at[1:]] != s[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])
+            first = np.flatnonzero(new)
+            start, end = at[first], at[np.append(first[1:], len(at)) - 1]
+            lo, hi = np.searchsorted(self.hash, s[start], "left"), np.searchsorted(self.hash, s[start], "right")
             some = hi > lo
-            at, lo, hi = at[some], lo[some], hi[some]
-            inside = w.doc[at] == w.doc[at + len(mask) - 1]
-            at, lo, hi = at[inside], lo[inside], hi[inside]
-            n = hi - lo
-            k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at, n)
-            out.append(np.stack((w.doc[at], self.item[k], at - self.place[k]), 1))
-        return np.unique(np.concatenate(out), axis=0) if out and sum(map(len, out)) else np.zeros((0, 3), np.int64)
-
-
-def _best(match: np.ndarray) -> tuple[int, int]:
-    """Start and end of the best-scoring segment (a match earns 1, a substitution costs MISMATCH)."""
-    score = np.concatenate(([0.0], np.cumsum(np.where(match, 1.0, -MISMATCH))))
-    gain = score - np.minimum.accumulate(score)
-    end = int(np.argmax(gain))
-    return int(np.argmin(score[: end + 1])), end
+            start, end, lo, hi = start[some], end[some], lo[some], hi[some]
+            total = np.cumsum(hi - lo)
+            cut = np.unique(np.concatenate(([0], np.searchsorted(total, np.arange(PAIRS, total[-1] if len(total) else 0, PAIRS)), [len(start)])))
+            for x, y in zip(cut, cut[1:]):
+                n = hi[x:y] - lo[x:y]
+                k = np.repeat(lo[x:y], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                a, b = np.repeat(start[x:y], n), np.repeat(end[x:y], n)
+                out.append(_merged(np.stack((w.doc[a], self.item[k], a - self.last[k], b - self.place[k]), 1)))
+                if sum(map(len, out)) > PAIRS:
+                    out = [_merged(np.concatenate(out))]
+        return _merged(np.concatenate(out))
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """(document, item, first, last) in order, with intervals that meet made one."""
+    if len(rows) < 2:
+        return rows
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    pair = np.cumsum(np.concatenate(([0], np.any(rows[1:, :2] != rows[:-1, :2], axis=1))))
+    span = int(rows[:, 3].max() - rows[:, 2].min()) + 2
+    last = np.maximum.accumulate(rows[:, 3] + pair * span) - pair * span  # of the pair's intervals so far
+    new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (rows[1:, 2] > last[:-1] + 1)))
+    first = np.flatnonzero(new)
+    return np.column_stack((rows[first, :3], last[np.append(first[1:], len(rows)) - 1]))
 
 
 def _align(text: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int, int, int, int]:
@@ -126,19 +152,20 @@ def _align(text: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int
     return best[1:]
 
 
-def _overlap(text: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int, int]:
-    """The longest overlap: item words aligned, start less than zero, end, matches. Diagonals ascend."""
-    cut = [k for k in range(1, len(diagonals)) if diagonals[k] - diagonals[k - 1] > 2 * GAP]
+def _overlap(text: np.ndarray, item: np.ndarray, diagonals: list[tuple[int, int]]) -> tuple[int, int, int, int]:
+    """The longest overlap: item words aligned, start less than zero, end, matches. Intervals of diagonals ascend."""
+    cut = [k for k in range(1, len(diagonals)) if diagonals[k][0] - diagonals[k - 1][1] > 2 * GAP]
     found = []
+    # an alignment loses as much by every diagonal it crosses as MISMATCH matches earn
+    drift = int(len(item) / MISMATCH) + 1
     for a, b in zip([0, *cut], [*cut, len(diagonals)]):
-        for d in diagonals[a:b]:
-            lo, hi = max(d, 0), min(d + len(item), len(text))
-            match = text[lo:hi] == item[lo - d : hi - d]
-            if len(match) == len(item) and match.all():
-                found.append((len(item), -lo, hi, len(item)))
-                break
-        else:
-            n, s, e, m = _align(text, item, diagonals[a], diagonals[b - 1])
+        whole = next((d for lo, hi in diagonals[a:b] for d in range(max(lo, 0), min(hi, len(text) - len(item)) + 1) if text[d] == item[0] and np.array_equal(text[d : d + len(item)], item)), None)
+        if whole is not None:
+            found.append((len(item), -whole, whole + len(item), len(item)))
+            continue
+        low, high = diagonals[a][0], diagonals[b - 1][1]
+        for lo in range(low, high + 1, BAND):
+            n, s, e, m = _align(text, item, lo, min(high, lo + BAND + drift))
             found.append((n, -s, e, m))
     return max(found)
 
@@ -148,40 +175,34 @@ def _finder(index):
         ix = index.value
         for batch in batches:
             rows = rows_of(batch)
-            for part, texts in slices(rows, 1):
+            for part, texts in slices(rows, 2):
                 w = Words(texts)
                 places: dict[tuple, list] = {}
-                for doc, item, place in ix.hits(w).tolist():
-                    places.setdefault((doc, item), []).append(place - int(w.first[doc]))
+                for doc, item, lo, hi in ix.hits(w).tolist():
+                    base = int(w.first[doc])
+                    places.setdefault((doc, item), []).append((lo - base, hi - base))
                 out = []
                 for (doc, item), diagonals in places.items():
                     words = ix.words[item]
                     n, b, e, m = _overlap(w.hash[w.first[doc] : w.first[doc + 1]], words, diagonals)
                     if n >= min(len(words), OVERLAP):
-                        out.append((part[doc][0], ix.ids[item], -b, e, m, len(words), n / len(words)))
+                        out.append((*part[doc][:2], ix.ids[item], -b, e, m, len(words), n / len(words)))
                 if out:
-                    types = (*[pa.int64()] * 6, pa.float64())
+                    types = (*[pa.int64()] * 7, pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=[x.split()[0] for x in _HIT.split(", ")])
 
     return find
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end, matched, item_words, share): the longest overlap of each document with each item.
-
-    Words are those of Words (A-Z lower-cased); start and end count the document's words; share is that of the item's
-    words that are aligned. An overlap is a stretch of words in which a substitution, or a word put in or left out
-    between neighbouring diagonals, costs three matches; it holds OVERLAP words of the item, however long the item is,
-    or the whole item if it is shorter. Items shorter than the longest mask are also looked for as
-    a whole; items of fewer than LEAST words, null and empty texts match nothing. The benchmark is indexed and
-    broadcast in blocks of about BLOCK_BYTES, however many it takes; every block meets all documents.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contamination() with the hash of the document's text."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     found = None
     for k in range(blocks):
         items = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
@@ -191,7 +212,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, end, matched, item_words, share): the longest overlap of each document with each item.
+
+    Words are those of Words (A-Z lower-cased); start and end count the document's words; share is that of the item's
+    words that are aligned. An overlap is a stretch of words in which a substitution, or a word put in or left out
+    between neighbouring diagonals, costs three matches; it holds OVERLAP words of the item, however long the item is,
+    or the whole item if it is shorter. Of equally long overlaps the first is given. Items shorter than the longest
+    mask are also looked for as a whole; items of fewer than LEAST words, null and empty texts match nothing. A null
+    doc_id or item_id is returned as null; repeated rows of either table give their rows again; without documents or
+    items there are no rows. The benchmark is indexed and broadcast in blocks of about BLOCK_BYTES, however many it
+    takes; every block meets all documents.
+    """
+    return _found(docs, benchmark).drop("digest")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id overlaps a benchmark item; all columns stay, null ids are kept."""
-    leaks = contamination(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long") == F.col("__leak"), "left_anti")
+    """docs without the rows whose text overlaps a benchmark item, with or without a doc_id; all columns stay.
+
+    Rows that share a doc_id are judged each by its own text. Null and empty texts stay.
+    """
+    # written, so that its size is known: only a small table of leaks is broadcast by the join
+    leaks = materialize(_found(docs, benchmark).select("doc_id", "digest").distinct(), "benchmark-leaks")
+    d, text = leaks.toDF("leak of doc_id", "leak of text"), docs["text"].cast("string")
+    return docs.join(d, docs["doc_id"].cast("long").eqNullSafe(d[0]) & (F.xxhash64(text) == d[1]), "left_anti")
