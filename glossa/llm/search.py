@@ -17,7 +17,8 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_BYTES = 5000, 16 << 20  # of one shard; a document is never cut
 QUERY_BYTES = 16 << 20  # text of the queries that are broadcast at a time
-BLOCK = 3  # 8 documents share a block maximum
+BLOCK = 6  # 64 documents share a block maximum
+FIRST = 4  # pivots that are scored before the threshold is looked at again, then twice as many each time
 EPS = 1e-6  # scores are compared after rounding to 6 decimals
 
 _PUNCT = np.zeros(256, bool)
@@ -94,70 +95,70 @@ class Queries:
 
 
 class _Shard:
-    """One shard's index with impacts, bounds of terms and bounds of terms in blocks of documents."""
+    """One shard's index with impacts: postings by term, cut into blocks of neighbouring documents with their maxima."""
 
     def __init__(self, row: dict, mean: float):
         self.ids = np.frombuffer(row["ids"], np.int64)
         lens = np.frombuffer(row["lens"], np.int32)
         self.terms = np.frombuffer(row["terms"], np.uint64)
-        self.end = np.frombuffer(row["ends"], np.int32).astype(np.int64)
-        self.start = np.concatenate(([0], self.end[:-1])) if len(self.end) else self.end
+        end = np.frombuffer(row["ends"], np.int32).astype(np.int64)
         self.doc = np.frombuffer(row["docs"], np.int32)
         tf = np.frombuffer(row["tfs"], np.int32).astype(np.float64)
         norm = K1 * (1 - B + B * lens / mean) if mean else np.full(len(lens), K1)
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
-        self.most = np.maximum.reduceat(self.impact, self.start) if len(self.start) else np.zeros(0)
-        slot = np.repeat(np.arange(len(self.terms)), self.end - self.start)
+        slot = np.repeat(np.arange(len(self.terms)), np.diff(end, prepend=0))
         block = self.doc >> BLOCK
         new = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (block[1:] != block[:-1])))) if len(slot) else np.zeros(0, np.int64)
-        self.block = block[new]
-        self.block_most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.block_end = np.searchsorted(slot[new], np.arange(len(self.terms)), "right")
-        self.block_start = np.searchsorted(slot[new], np.arange(len(self.terms)), "left")
-        self.key = slot * len(self.ids) + self.doc  # ascending
+        self.block, self.at = block[new], np.append(new, len(slot))  # postings of entry e: at[e] .. at[e + 1] - 1
+        self.most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
+        self.first = np.searchsorted(slot[new], np.arange(len(self.terms) + 1))  # entries of term t: first[t] ..
+        self.blocks = (len(self.ids) >> BLOCK) + 1
 
     @staticmethod
     def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = end - start
         return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
-    def search(self, slots: np.ndarray, idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of at least `least` (all that match, if it is 0).
+    def search(self, slots: np.ndarray, idf: np.ndarray, own: int, best: tuple[np.ndarray, np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray]:
+        """`best` (ids and scores, best first) with this shard's documents for one query, the `top` of both.
 
-        Terms whose bounds together stay under `least` find no document by themselves. Documents found through the
-        others are kept if their score and the bound of the rest in their block reach it, and are then completed.
+        Block-max WAND, a block of documents at a time: a block is a pivot if the maxima that the query's terms have in
+        it add up to the threshold, the last score of a full `best`. Blocks that can't reach it are skipped with all
+        their postings. Pivots are scored by their bounds, greatest first, and the threshold rises in between.
         """
-        bound = idf * self.most[slots]
-        order = np.argsort(bound, kind="stable")
-        slots, idf = slots[order], idf[order]
-        total = np.cumsum(bound[order])
-        m = int(np.searchsorted(total, least - EPS))
-        n = len(self.ids)
-        if m == len(slots):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, count = self._spread(self.start[slots[m:]], self.end[slots[m:]])
-        score = np.bincount(self.doc[at], weights=self.impact[at] * np.repeat(idf[m:], count), minlength=n)
-        if not m:
-            found = np.flatnonzero(score > 0 if least <= 0 else score >= least - EPS)
-            return found, score[found]
-        at, count = self._spread(self.block_start[slots[:m]], self.block_end[slots[:m]])
-        rest = np.bincount(self.block[at], weights=self.block_most[at] * np.repeat(idf[:m], count), minlength=(n >> BLOCK) + 1)
-        found = np.flatnonzero(score + np.repeat(rest, 1 << BLOCK)[:n] >= least - EPS)
-        left = float(total[m - 1])
-        s = score[found]
-        for hi in range(m, 0, -16):  # the strongest first
-            keep = s + left >= least - EPS
-            found, s = found[keep], s[keep]
-            if not len(found):
+        entry, count = self._spread(self.first[slots], self.first[slots + 1])
+        weight = np.repeat(idf, count)
+        block = self.block[entry]
+        bound = np.bincount(block, weights=self.most[entry] * weight, minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, step = 0, FIRST
+        while at < len(order):
+            least = float(best[1][-1]) if len(best[1]) == top else 0.0
+            pivots = order[at : at + step]
+            pivots = pivots[bound[pivots] >= least - EPS]
+            if not len(pivots):
                 break
-            lo = max(0, hi - 16)
-            want = (slots[lo:hi, None] * n + found[None, :]).ravel()
-            p = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            gain = np.where(self.key[p] == want, self.impact[p], 0).reshape(hi - lo, -1)
-            s = s + idf[lo:hi] @ gain
-            left = float(total[lo - 1]) if lo else 0.0
-        keep = s >= least - EPS
-        return found[keep], s[keep]
+            at, step = at + step, 2 * step
+            chosen = np.zeros(self.blocks, bool)
+            chosen[pivots] = True
+            e = np.flatnonzero(chosen[block])
+            place, n = self._spread(self.at[entry[e]], self.at[entry[e] + 1])
+            slot = np.zeros(self.blocks, np.int64)
+            slot[pivots] = np.arange(len(pivots)) << BLOCK
+            doc = self.doc[place]
+            local = slot[doc >> BLOCK] + (doc & ((1 << BLOCK) - 1))
+            score = np.bincount(local, weights=self.impact[place] * np.repeat(weight[e], n), minlength=len(pivots) << BLOCK)
+            hit = np.flatnonzero((score > 0) & (score >= least - EPS))
+            ids = self.ids[(pivots[hit >> BLOCK] << BLOCK) + (hit & ((1 << BLOCK) - 1))]
+            hit, ids = hit[ids != own], ids[ids != own]
+            ids, scores = np.concatenate((best[0], ids)), np.concatenate((best[1], np.round(score[hit], 6)))
+            if len(ids) > 8 * top:
+                cut = np.partition(scores, len(scores) - top)[len(scores) - top]
+                ids, scores = ids[scores >= cut], scores[scores >= cut]
+            first = np.lexsort((ids, -scores))[:top]
+            best = ids[first], scores[first]
+        return best
 
 
 def _searcher(shared, mean: float, top: int):
@@ -175,22 +176,13 @@ def _searcher(shared, mean: float, top: int):
                     at = q.at[q.first[k] : q.first[k + 1]]
                     s = slot[at]
                     some = s >= 0
-                    ids, scores = best[k]
-                    least = float(scores[-1]) if len(scores) == top else 0.0
-                    found, new = shard.search(s[some], q.idf[at[some]], least)
-                    if not len(found):
-                        continue
-                    got = shard.ids[found]
-                    other = got != own
-                    ids, scores = np.concatenate((ids, got[other])), np.concatenate((scores, np.round(new[other], 6)))
-                    if len(ids) > 8 * top:
-                        cut = np.partition(scores, len(scores) - top)[len(scores) - top]
-                        ids, scores = ids[scores >= cut], scores[scores >= cut]
-                    order = np.lexsort((ids, -scores))[:top]
-                    best[k] = ids[order], scores[order]
+                    best[k] = shard.search(s[some], q.idf[at[some]], own, best[k], top)
         some = [k for k in range(len(q.ids)) if len(best[k][0])]
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([q.ids[k] for k in some], pa.int64()), pa.array([best[k][0] for k in some], pa.list_(pa.int64())), pa.array([best[k][1] for k in some], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([q.ids[k] for k in some], pa.int64()), pa.array(some, pa.int64()), pa.array([best[k][0] for k in some], pa.list_(pa.int64())), pa.array([best[k][1] for k in some], pa.list_(pa.float64()))],
+                names=["query_id", "n", "ids", "scores"],
+            )
 
     return search
 
@@ -208,10 +200,11 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     lower-cased). score = sum of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length /
     mean)), rounded to 6 decimals; N, df and mean are of all documents. Ties are ordered by doc_id. A document is not a
     result of its own id; documents without a common word are none. Null or empty texts are empty documents and give
-    queries without rows; rows without id are left out. Repeated ids are documents of their own.
+    queries without rows; rows without id are left out; without documents or queries there are no rows. Repeated rows
+    of docs are documents of their own, and each row of queries is answered for itself, also if its id repeats.
 
-    Queries are broadcast in blocks of about QUERY_BYTES of text; each block meets all shards. A task carries a query's
-    best scores from shard to shard as the threshold and returns one row for each query.
+    Queries are broadcast in blocks of about QUERY_BYTES of text, one after the other; each block meets all shards. A
+    task carries a query's best scores from shard to shard as the threshold and returns one row for each query.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -234,10 +227,12 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
         f = got.column("df").to_numpy().astype(np.float64)
         q.idf[at] = np.log(1 + (n - f + 0.5) / (f + 0.5))
         shared = spark.sparkContext.broadcast(q)
-        part = index.select("ids", "lens", "terms", "ends", "docs", "tfs").coalesce(tasks).mapInArrow(_searcher(shared, mean, top), "query_id long, ids array<long>, scores array<double>")
+        part = index.select("ids", "lens", "terms", "ends", "docs", "tfs").coalesce(tasks).mapInArrow(_searcher(shared, mean, top), "query_id long, n long, ids array<long>, scores array<double>")
+        part = materialize(part.withColumn("block", F.lit(k)), "search-found")
+        shared.unpersist()
         found = part if found is None else found.unionByName(part)
-    each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("doc_id"), F.col("x.scores").alias("score"))
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    each = found.select("query_id", "block", "n", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", "block", "n", F.col("x.ids").alias("doc_id"), F.col("x.scores").alias("score"))
+    by = W.partitionBy("query_id", "block", "n").orderBy(F.desc("score"), "doc_id")
     return each.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 

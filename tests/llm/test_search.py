@@ -76,11 +76,45 @@ def test_shards_and_thresholds_lose_nothing(texts, monkeypatch, size):
 
     rows = []
     for b in S._searcher(Shared, words / n, 10)(iter(shards)):
-        for k, ids, scores in zip(*(c.to_pylist() for c in b.columns)):
+        for k, _, ids, scores in zip(*(c.to_pylist() for c in b.columns)):
             rows += [{"query_id": k, "rank": i, "doc_id": d, "score": s} for i, (d, s) in enumerate(zip(ids, scores))]
     same(rows, brute(texts, q.ids, 10))
 
 
+def test_repeated_query_ids_are_answered_each(spark, documents, texts):
+    from pyspark.sql import functions as F
+
+    some = documents.where("doc_id in (3, 5)").select(F.col("doc_id").alias("query_id"), "text")
+    other = documents.where("doc_id = 7").select(F.lit(3).alias("query_id"), "text")
+    rows = S.search(documents, some.union(some).union(other)).collect()
+    assert len(rows) == 50
+    single = brute(texts, [3, 5], 10)
+    for q in (3, 5):
+        own = sorted((-r.score, r.doc_id) for r in rows if r.query_id == q)
+        assert all(sum(d == x for _, d in own) >= 2 for _, x in single[q])
+
+
+def test_blocks_below_the_threshold_are_skipped(texts, monkeypatch):
+    """Postings of blocks that can't reach the threshold are never read."""
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], names=["doc_id", "text"])
+    monkeypatch.setattr(S, "BLOCK", 2)
+    row = next(iter(S._index(iter([batch]))))
+    shard = S._Shard({c: row.column(c)[0].as_buffer() for c in ("ids", "lens", "terms", "ends", "docs", "tfs")}, row.column("words")[0].as_py() / len(texts))
+    read = []
+    spread = S._Shard._spread
+    monkeypatch.setattr(S._Shard, "_spread", staticmethod(lambda a, b: read.append(int((b - a).sum())) or spread(a, b)))
+    slots = np.arange(0, len(shard.terms), 7)
+    none = np.zeros(0, np.int64), np.zeros(0)
+    all_ids, all_scores = shard.search(slots, np.ones(len(slots)), -1, none, 10**9)
+    whole = sum(read[1:])
+    read.clear()
+    ids, scores = shard.search(slots, np.ones(len(slots)), -1, none, 5)
+    assert ids.tolist() == all_ids[:5].tolist() and scores.tolist() == all_scores[:5].tolist()
+    assert sum(read[1:]) < whole
+    read.clear()
+    assert shard.search(slots, np.ones(len(slots)), -1, (np.array([1]), np.array([1e9])), 1)[0].tolist() == [1] and len(read) == 1
+
+
 def test_awkward_rows(awkward, nothing):
     rows = S.search_every(awkward, step=1).collect()
     assert {r.query_id for r in rows} >= {1, 8} and all(r.doc_id is not None for r in rows)
