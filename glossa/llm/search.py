@@ -17,9 +17,10 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_BYTES = 5000, 16 << 20  # of one shard; a document is never cut
 QUERY_BYTES = 16 << 20  # text of the queries that are broadcast at a time
-BLOCK = 6  # 64 documents share a block maximum
-FIRST = 4  # pivots that are scored before the threshold is looked at again, then twice as many each time
+BLOCK = 4  # 16 documents share a block maximum
 EPS = 1e-6  # scores are compared after rounding to 6 decimals
+SPARSE = 1 / 8  # share of blocks up to which only their own postings are read
+SLACK = np.float32(1 + 1e-4)  # bounds are summed in single precision
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -95,70 +96,95 @@ class Queries:
 
 
 class _Shard:
-    """One shard's index with impacts: postings by term, cut into blocks of neighbouring documents with their maxima."""
+    """One shard's index for the terms of a block of queries: postings with impacts, and block maxima.
 
-    def __init__(self, row: dict, mean: float):
+    `most` has a row for each term that occurs here: its greatest impact in every block of neighbouring documents.
+    """
+
+    def __init__(self, row: dict, mean: float, asked: np.ndarray):
         self.ids = np.frombuffer(row["ids"], np.int64)
         lens = np.frombuffer(row["lens"], np.int32)
-        self.terms = np.frombuffer(row["terms"], np.uint64)
-        end = np.frombuffer(row["ends"], np.int32).astype(np.int64)
+        terms = np.frombuffer(row["terms"], np.uint64)
+        self.end = np.frombuffer(row["ends"], np.int32).astype(np.int64)
+        self.start = np.concatenate(([0], self.end[:-1])) if len(self.end) else self.end
         self.doc = np.frombuffer(row["docs"], np.int32)
         tf = np.frombuffer(row["tfs"], np.int32).astype(np.float64)
         norm = K1 * (1 - B + B * lens / mean) if mean else np.full(len(lens), K1)
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
-        slot = np.repeat(np.arange(len(self.terms)), np.diff(end, prepend=0))
-        block = self.doc >> BLOCK
-        new = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (block[1:] != block[:-1])))) if len(slot) else np.zeros(0, np.int64)
-        self.block, self.at = block[new], np.append(new, len(slot))  # postings of entry e: at[e] .. at[e + 1] - 1
-        self.most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.first = np.searchsorted(slot[new], np.arange(len(self.terms) + 1))  # entries of term t: first[t] ..
-        self.blocks = (len(self.ids) >> BLOCK) + 1
-
-    @staticmethod
-    def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = end - start
-        return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
-
-    def search(self, slots: np.ndarray, idf: np.ndarray, own: int, best: tuple[np.ndarray, np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray]:
-        """`best` (ids and scores, best first) with this shard's documents for one query, the `top` of both.
-
-        Block-max WAND, a block of documents at a time: a block is a pivot if the maxima that the query's terms have in
-        it add up to the threshold, the last score of a full `best`. Blocks that can't reach it are skipped with all
-        their postings. Pivots are scored by their bounds, greatest first, and the threshold rises in between.
+        place = np.minimum(np.searchsorted(terms, asked), max(len(terms) - 1, 0))
+        here = terms[place] == asked if len(terms) else np.zeros(len(asked), bool)
+        own = place[here]
+        self.slot = np.full(len(asked), -1)
+        self.slot[here] = np.arange(len(own))
+        self.start, self.end = self.start[own], self.end[own]
+        at, count = _spread(self.start, self.end)
+        term, block = np.repeat(np.arange(len(own)), count), self.doc[at] >> BLOCK
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(at) else np.zeros(0, np.int64)
+        self.most = np.zeros((len(own), (len(self.ids) >> BLOCK) + 1), np.float32)
+        if len(at):
+            self.most[term[new], block[new]] = np.maximum.reduceat(self.impact[at], new)
+        self.top = self.most.max(1, initial=0)
+        self.block, self.from_ = block[new], at[new]  # entries: runs of postings of one term in one block
+        self.to = at[np.append(new[1:], len(at)) - 1] + 1 if len(at) else at
+        self.first = np.searchsorted(term[new], np.arange(len(own) + 1))
+        self.key = term * len(self.ids) + self.doc[at]  # ascending
+        self.gain = self.impact[at]
+
+    def search(self, slots: np.ndarray, idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores of at least `least` (all that match, if it is 0), by block-max WAND.
+
+        Blocks in which the maxima of the query's terms add up to less than `least` are skipped with all their postings.
+        Of the terms in the order of their bounds, the pivot is the first with which the sum reaches `least`: a document
+        without it or a later one can't. The postings of those from the pivot on give candidates, a block's maxima of
+        the terms before it decide which of them are left, and these are completed, the strongest terms first.
         """
-        entry, count = self._spread(self.first[slots], self.first[slots + 1])
-        weight = np.repeat(idf, count)
-        block = self.block[entry]
-        bound = np.bincount(block, weights=self.most[entry] * weight, minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, step = 0, FIRST
-        while at < len(order):
-            least = float(best[1][-1]) if len(best[1]) == top else 0.0
-            pivots = order[at : at + step]
-            pivots = pivots[bound[pivots] >= least - EPS]
-            if not len(pivots):
+        none = np.zeros(0, np.int64), np.zeros(0)
+        order = np.argsort(idf * self.top[slots], kind="stable")
+        slots, idf = slots[order], idf[order]
+        total = np.cumsum(idf * self.top[slots]) * SLACK
+        m = int(np.searchsorted(total, least - EPS))
+        n = len(self.ids)
+        if m == len(slots):
+            return none
+        rest = idf[:m].astype(np.float32) @ self.most[slots[:m]] * SLACK
+        alive = rest + idf[m:].astype(np.float32) @ self.most[slots[m:]] * SLACK >= least - EPS
+        if not alive.any():
+            return none
+        if alive.mean() > SPARSE:  # cheaper than picking out the others; candidates of dead blocks go below
+            at, count = _spread(self.start[slots[m:]], self.end[slots[m:]])
+            weight = np.repeat(idf[m:], count)
+        else:
+            e, count = _spread(self.first[slots[m:]], self.first[slots[m:] + 1])
+            keep = np.flatnonzero(alive[self.block[e]])
+            e, weight = e[keep], np.repeat(idf[m:], count)[keep]
+            at, count = _spread(self.from_[e], self.to[e])
+            weight = np.repeat(weight, count)
+        score = np.bincount(self.doc[at], weights=self.impact[at] * weight, minlength=n)
+        if not m:
+            found = np.flatnonzero(score > 0 if least <= 0 else score >= least - EPS)
+            return found, score[found]
+        found = np.flatnonzero(score + np.repeat(np.where(alive, rest, -np.inf), 1 << BLOCK)[:n] >= least - EPS)
+        left = float(total[m - 1])
+        s = score[found]
+        for hi in range(m, 0, -16):
+            keep = s + left >= least - EPS
+            found, s = found[keep], s[keep]
+            if not len(found):
                 break
-            at, step = at + step, 2 * step
-            chosen = np.zeros(self.blocks, bool)
-            chosen[pivots] = True
-            e = np.flatnonzero(chosen[block])
-            place, n = self._spread(self.at[entry[e]], self.at[entry[e] + 1])
-            slot = np.zeros(self.blocks, np.int64)
-            slot[pivots] = np.arange(len(pivots)) << BLOCK
-            doc = self.doc[place]
-            local = slot[doc >> BLOCK] + (doc & ((1 << BLOCK) - 1))
-            score = np.bincount(local, weights=self.impact[place] * np.repeat(weight[e], n), minlength=len(pivots) << BLOCK)
-            hit = np.flatnonzero((score > 0) & (score >= least - EPS))
-            ids = self.ids[(pivots[hit >> BLOCK] << BLOCK) + (hit & ((1 << BLOCK) - 1))]
-            hit, ids = hit[ids != own], ids[ids != own]
-            ids, scores = np.concatenate((best[0], ids)), np.concatenate((best[1], np.round(score[hit], 6)))
-            if len(ids) > 8 * top:
-                cut = np.partition(scores, len(scores) - top)[len(scores) - top]
-                ids, scores = ids[scores >= cut], scores[scores >= cut]
-            first = np.lexsort((ids, -scores))[:top]
-            best = ids[first], scores[first]
-        return best
+            lo = max(0, hi - 16)
+            want = (slots[lo:hi, None] * n + found[None, :]).ravel()
+            p = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            gain = np.where(self.key[p] == want, self.gain[p], 0).reshape(hi - lo, -1)
+            s = s + idf[lo:hi] @ gain
+            left = float(total[lo - 1]) if lo else 0.0
+        keep = s >= least - EPS
+        return found[keep], s[keep]
+
+
+def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places start .. end - 1 of every range in a row, and how many each has."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
 def _searcher(shared, mean: float, top: int):
@@ -167,16 +193,24 @@ def _searcher(shared, mean: float, top: int):
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q.ids)
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = _Shard({c: batch.column(c)[i].as_buffer() for c in ("ids", "lens", "terms", "ends", "docs", "tfs")}, mean)
-                if not len(shard.terms):
-                    continue
-                slot = np.minimum(np.searchsorted(shard.terms, q.terms), len(shard.terms) - 1)
-                slot = np.where(shard.terms[slot] == q.terms, slot, -1)
+                shard = _Shard({c: batch.column(c)[i].as_buffer() for c in ("ids", "lens", "terms", "ends", "docs", "tfs")}, mean, q.terms)
                 for k, own in enumerate(q.ids):
                     at = q.at[q.first[k] : q.first[k + 1]]
-                    s = slot[at]
+                    s = shard.slot[at]
                     some = s >= 0
-                    best[k] = shard.search(s[some], q.idf[at[some]], own, best[k], top)
+                    ids, scores = best[k]
+                    least = float(scores[-1]) if len(scores) == top else 0.0
+                    found, new = shard.search(s[some], q.idf[at[some]], least)
+                    if not len(found):
+                        continue
+                    got = shard.ids[found]
+                    other = got != own
+                    ids, scores = np.concatenate((ids, got[other])), np.concatenate((scores, np.round(new[other], 6)))
+                    if len(ids) > 8 * top:
+                        cut = np.partition(scores, len(scores) - top)[len(scores) - top]
+                        ids, scores = ids[scores >= cut], scores[scores >= cut]
+                    order = np.lexsort((ids, -scores))[:top]
+                    best[k] = ids[order], scores[order]
         some = [k for k in range(len(q.ids)) if len(best[k][0])]
         if some:
             yield pa.RecordBatch.from_arrays(

@@ -95,24 +95,27 @@ def test_repeated_query_ids_are_answered_each(spark, documents, texts):
 
 
 def test_blocks_below_the_threshold_are_skipped(texts, monkeypatch):
-    """Postings of blocks that can't reach the threshold are never read."""
+    """Postings of blocks that can't reach the threshold are never read, and nothing is lost by it."""
     batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], names=["doc_id", "text"])
     monkeypatch.setattr(S, "BLOCK", 2)
+    monkeypatch.setattr(S, "SPARSE", 1.0 - 1e-9)
     row = next(iter(S._index(iter([batch]))))
-    shard = S._Shard({c: row.column(c)[0].as_buffer() for c in ("ids", "lens", "terms", "ends", "docs", "tfs")}, row.column("words")[0].as_py() / len(texts))
+    terms = np.frombuffer(row.column("terms")[0].as_buffer(), np.uint64)
+    shard = S._Shard({c: row.column(c)[0].as_buffer() for c in ("ids", "lens", "terms", "ends", "docs", "tfs")}, row.column("words")[0].as_py() / len(texts), terms)
     read = []
-    spread = S._Shard._spread
-    monkeypatch.setattr(S._Shard, "_spread", staticmethod(lambda a, b: read.append(int((b - a).sum())) or spread(a, b)))
-    slots = np.arange(0, len(shard.terms), 7)
-    none = np.zeros(0, np.int64), np.zeros(0)
-    all_ids, all_scores = shard.search(slots, np.ones(len(slots)), -1, none, 10**9)
-    whole = sum(read[1:])
+    real = S._spread
+    monkeypatch.setattr(S, "_spread", lambda a, b: read.append(int((b - a).sum())) or real(a, b))
+    slots = np.arange(0, len(terms), 7)
+    idf = np.linspace(0.5, 3, len(slots))
+    ids, scores = shard.search(slots, idf, 0.0)
+    whole, order = read[-1], np.argsort(-scores)
+    for k in (1, 5, 50):
+        read.clear()
+        least = float(scores[order[k - 1]])
+        got, s = shard.search(slots, idf, least)
+        assert sorted(got) == sorted(ids[scores >= least - 1e-6]) and read[-1] < whole
     read.clear()
-    ids, scores = shard.search(slots, np.ones(len(slots)), -1, none, 5)
-    assert ids.tolist() == all_ids[:5].tolist() and scores.tolist() == all_scores[:5].tolist()
-    assert sum(read[1:]) < whole
-    read.clear()
-    assert shard.search(slots, np.ones(len(slots)), -1, (np.array([1]), np.array([1e9])), 1)[0].tolist() == [1] and len(read) == 1
+    assert len(shard.search(slots, idf, 1e9)[0]) == 0 and not read
 
 
 def test_awkward_rows(awkward, nothing):
