@@ -3,355 +3,95 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, prefix_hash, rows_of, slices, small_batches, span_hash
+from .common import discard, materialize, mix, prefix_hash, rows_of, slices, small_batches, span_hash
+from .induced import Scratch, Spool, suffix_order
 
 LENGTH = 200  # bytes of a repeated string
 GRAM = 40  # bytes of an anchor; every window of LENGTH bytes has one
 SIDES = 2  # anchors are told apart by where in the window they lie
-SHARD = 1 << 20  # bytes that are sorted together, as far as anchors can be kept apart
-MEMORY = 8 << 20  # entries of a queue, or names of a reduced text, that are held in memory
+SHARD = 2 << 20  # bytes that are sorted together
+LIMIT = 1 << 17  # entries of a queue or a sequence that a sort holds in memory, the others are on disk
+HOT = SHARD // (2 * LENGTH)  # keys of more different contents are split into their windows
 
-_RUNS = "rid long, lo int, hi int, key long, content long"
+_RUNS = "rid long, did long, lo int, hi int, key long, content long, check long"
+_HITS = "key long, content long, check long, x int, y int"
 
 
-# ---------------------------------------------------------------- induced sorting
+# ---------------------------------------------------------------- one shard
 
 
-class BucketQueue:
-    """A monotone priority queue of (symbol, order of arrival) with suffix and common-prefix values.
+def repeats(rows: Iterable[tuple[list[tuple[int, ...]], list[bytes]]], limit: int | None = None, scratch: Scratch | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tags, first, end) of the runs of windows of LENGTH bytes that occur again among all segments.
 
-    Entries arrive in the order of their sources, so a queue for each symbol returns them sorted. Beyond MEMORY entries
-    the queues are appended to one scratch file, in runs.
+    rows gives tags and segments, a few at a time; they are written to scratch files, so any number fits.
     """
-
-    def __init__(self, symbols: int, limit: int):
-        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(symbols)]
-        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(symbols)]
-        self.n, self.limit, self.file = 0, limit, None
-
-    def push(self, symbol: int, suffix: np.ndarray, lcp: np.ndarray) -> None:
-        self.held[symbol].append((suffix, lcp))
-        self.n += len(suffix)
-        if self.n > self.limit:
-            self.file = self.file or tempfile.TemporaryFile()
-            self.file.seek(0, 2)
-            for s, parts in enumerate(self.held):
-                if parts:
-                    a, b = (np.concatenate(x) for x in zip(*parts))
-                    self.runs[s].append((self.file.tell(), len(a)))
-                    self.file.write(a.astype(np.int64).tobytes())
-                    self.file.write(b.astype(np.int16).tobytes())
-                    self.held[s] = []
-            self.n = 0
-
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
-        """All entries of a symbol so far, in order of arrival."""
-        parts = []
-        for at, n in self.runs[symbol]:
-            self.file.seek(at)
-            parts.append((np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(2 * n), np.int16)))
-        parts += self.held[symbol]
-        self.n -= sum(len(x) for x, _ in self.held[symbol])
-        self.runs[symbol], self.held[symbol] = [], []
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int16)
-        a, b = (np.concatenate(x) for x in zip(*parts))
-        return a, b
-
-
-def _types(t: np.ndarray) -> np.ndarray:
-    """Whether each suffix is of type S (less than the one after it); the last symbol is a unique least one."""
-    n = len(t)
-    d = np.sign(t[1:].astype(np.int64) - t[:-1])
-    nxt = np.where(d != 0, np.arange(n - 1), n - 1)
-    nxt = np.minimum.accumulate(nxt[::-1])[::-1]
-    return np.append(np.append(d, 1)[nxt] > 0, True)
-
-
-def _runs_of(t: np.ndarray) -> np.ndarray:
-    """How often the symbol at each place repeats from there on."""
-    n = len(t)
-    end = np.where(np.append(t[1:] != t[:-1], True), np.arange(n), n)
-    return np.minimum.accumulate(end[::-1])[::-1] - np.arange(n) + 1
-
-
-class _Pass:
-    """One direction of induction: pushes the predecessors of sorted suffixes with their common-prefix values."""
-
-    def __init__(self, t: np.ndarray, ok: np.ndarray, symbols: int, cap: int, limit: int):
-        self.t, self.ok, self.cap = t, ok, cap
-        self.queue = BucketQueue(symbols, limit)
-        self.least = np.full(symbols, -1, np.int16)  # least value since a symbol was last pushed; -1 at its first
-
-    def feed(self, suffix: np.ndarray, lcp: np.ndarray) -> None:
-        """suffix: sorted suffixes; lcp: of each with the one fed before it."""
-        m = len(suffix)
-        if not m:
-            return
-        prev = suffix - 1
-        k = np.flatnonzero((prev >= 0) & self.ok[prev])
-        low = np.minimum.accumulate(lcp)
-        if not len(k):
-            self.least = np.minimum(self.least, low[-1])
+    limit = limit or LIMIT
+    with scratch or Scratch() as own:
+        text, tags, n, width = own.file(), own.file(), 0, 0
+        for tag, segments in rows:
+            for x, segment in zip(tag, segments):
+                text.write(_coded(segment))
+                tags.write(np.array((*x, n), np.int64).tobytes())
+                width, n = len(x) + 1, n + len(segment) + 1
+        if not n:
             return
-        to = self.t[prev[k]]
-        order = np.argsort(to.astype(np.uint16), kind="stable")
-        k, to = k[order], to[order]
-        first = np.concatenate(([True], to[1:] != to[:-1]))
-        value = np.empty(len(k), np.int16)
-        heads = np.flatnonzero(first)
-        value[heads] = np.minimum(self.least[to[heads]], low[k[heads]])
-        rest = np.flatnonzero(~first)
-        if len(rest):
-            pairs = np.stack((k[rest - 1] + 1, k[rest] + 1), 1).ravel()
-            value[rest] = np.minimum.reduceat(np.append(lcp, np.int16(self.cap)), pairs)[::2]
-        value = np.minimum(value + 1, self.cap).astype(np.int16)
-        tails = np.append(heads[1:], len(k)) - 1
-        self.least = np.minimum(self.least, low[-1])
-        after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.int16(self.cap))
-        self.least[to[tails]] = after[k[tails] + 1]
-        for h, e in zip(heads, tails):
-            self.queue.push(int(to[h]), prev[k[h : e + 1]], value[h : e + 1])
-
-
-def induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray, cap: int, limit: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and common prefixes (up to cap, of each suffix with the one before) from sorted LMS suffixes.
-
-    Suffixes of type L are induced in ascending order of symbols, then those of type S in descending order.
-    """
-    symbols = int(t.max()) + 1
-    runs = _runs_of(t)
-    cut = np.searchsorted(t[lms], np.arange(symbols + 1))
-    up = _Pass(t, ~s_type, symbols, cap, limit)
-    large: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in range(symbols):
-        parts = []
-        suffix, lcp = up.queue.pop(c)
-        while len(suffix):
-            parts.append((suffix, lcp))
-            up.feed(suffix, lcp)
-            suffix, lcp = up.queue.pop(c)
-        own, own_lcp = lms[cut[c] : cut[c + 1]], lms_lcp[cut[c] : cut[c + 1]].copy()
-        if len(own):
-            own_lcp[0] = min(cap, runs[parts[-1][0][-1]], runs[own[0]]) if parts else 0
-            up.feed(own, own_lcp)
-        large.append(tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int16)))
-    down = _Pass(t, s_type, symbols, cap, limit)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in range(symbols - 1, -1, -1):
-        parts = []
-        suffix, lcp = down.queue.pop(c)
-        if c == t[-1] and not len(suffix):
-            suffix, lcp = np.array([len(t) - 1]), np.zeros(1, np.int16)  # the end mark
-        while len(suffix):
-            parts.append((suffix, lcp))
-            down.feed(suffix, lcp)
-            suffix, lcp = down.queue.pop(c)
-        big, big_lcp = large[c]
-        if len(big):
-            between = min(cap, runs[parts[-1][0][-1]], runs[big[-1]]) if parts else 0
-            down.feed(big[::-1], np.append(np.int16(between), big_lcp[:0:-1]).astype(np.int16))
-        else:
-            between = 0
-        if parts:  # from descending to ascending: each value moves to the greater of its two suffixes
-            s, v = (np.concatenate(x) for x in zip(*parts))
-            out.append((s[::-1], np.append(np.int16(between), v[:0:-1]).astype(np.int16)))
-        if len(big):
-            out.append((big, big_lcp))
-    sa, lcp = (np.concatenate(x) for x in zip(*out[::-1]))
-    return sa, lcp
-
-
-def _induce_names(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, limit: int) -> np.ndarray:
-    """As induce(), without common prefixes, for large alphabets: a queue of (symbol, arrival, suffix) in sorted runs."""
-    n, t, lms = len(t), t.tolist(), lms.tolist()
-    s_type = s_type.tolist()
-
-    def sweep(seeds: list[int], want: bool, sign: int) -> list[int]:
-        queue, tick, done = _RunQueue(limit), 0, []
-        at = 0
-        while at < len(seeds) or len(queue):
-            top = queue.peek()
-            # induced suffixes of a symbol come before seeds of the same symbol
-            if top is not None and (at == len(seeds) or top[0] <= sign * t[seeds[at]]):
-                _, _, x = queue.pop()
-                done.append(x)
-            else:
-                x = seeds[at]
-                at += 1
-            if x and s_type[x - 1] == want:
-                tick += 1
-                queue.push((sign * t[x - 1], tick, x - 1))
-        return done
-
-    large = sweep(lms, False, 1)
-    small = sweep(large[::-1], True, -1) if large else []
-    # the end mark is below every other suffix and induced by none
-    order, i = [n - 1], 0
-    small = [x for x in small[::-1] if x != n - 1]
-    for x in large:
-        while i < len(small) and t[small[i]] < t[x]:
-            order.append(small[i])
-            i += 1
-        order.append(x)
-    return np.array(order + small[i:], np.int64)
-
-
-class _RunQueue:
-    """A heap whose overflow is kept in sorted runs on disk, read back in order."""
-
-    def __init__(self, limit: int):
-        self.heap: list[tuple] = []
-        self.runs: list = []
-        self.heads: list[tuple] = []
-        self.limit = limit
-
-    def __len__(self) -> int:
-        return len(self.heap) + len(self.heads)
-
-    def push(self, item: tuple[int, int, int]) -> None:
-        heapq.heappush(self.heap, item)
-        if len(self.heap) > self.limit:
-            f = tempfile.TemporaryFile()
-            np.array(sorted(self.heap), np.int64).tofile(f)
-            f.seek(0)
-            self.heap = []
-            self.runs.append(self._read(f))
-            self._next(len(self.runs) - 1)
-
-    @staticmethod
-    def _read(f) -> Iterator[tuple]:
-        while len(block := np.fromfile(f, np.int64, 3 * 4096)):
-            yield from map(tuple, block.reshape(-1, 3).tolist())
-
-    def _next(self, run: int) -> None:
-        if (item := next(self.runs[run], None)) is not None:
-            heapq.heappush(self.heads, (item, run))
-
-    def peek(self) -> tuple | None:
-        a, b = self.heap[0] if self.heap else None, self.heads[0][0] if self.heads else None
-        return b if a is None else a if b is None else min(a, b)
-
-    def pop(self) -> tuple[int, int, int]:
-        if not self.heads or self.heap and self.heap[0] < self.heads[0][0]:
-            return heapq.heappop(self.heap)
-        item, run = heapq.heappop(self.heads)
-        self._next(run)
-        return item
-
-
-def _reduced(t: np.ndarray, limit: int) -> np.ndarray:
-    """Suffix array of a text of names by recursion: names of LMS substrings, sorted suffixes of the reduced text, induction.
-    A reduced text that fits in memory is ranked by doubling."""
-    if len(t) <= limit:
-        rank, k = t.astype(np.int64), 1
-        while True:
-            nxt = np.zeros(len(t), np.int64)
-            nxt[:-k or None] = rank[k:] + 1
-            key = rank * (len(t) + 2) + nxt
-            order = np.argsort(key, kind="stable")
-            s = key[order]
-            new = np.empty(len(t), np.int64)
-            new[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])))
-            if new[order[-1]] == len(t) - 1 or k >= len(t):
-                return order
-            rank, k = new, 2 * k
-    s_type = _types(t)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    by_symbol = lms[np.argsort(t[lms], kind="stable")]
-    sorted_lms = _name_and_sort(t, s_type, lms, _induce_names(t, s_type, by_symbol, limit), limit)
-    return _induce_names(t, s_type, sorted_lms, limit)
-
-
-def _name_and_sort(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """LMS suffixes in order; `order` has them in the order of their LMS substrings."""
-    is_lms = np.zeros(len(t), bool)
-    is_lms[lms] = True
-    by_sub = order[is_lms[order]]
-    end = np.append(lms[1:], len(t) - 1)
-    length = np.zeros(len(t), np.int64)
-    length[lms] = end - lms + 1
-    # equal LMS substrings: equal symbols (types follow from them, as both end in an LMS place)
-    sub_hash = np.zeros(len(t), np.uint64)
-    p = prefix_hash(t.astype(np.uint64))
-    sub_hash[lms] = span_hash(p, lms, np.minimum(end + 1, len(t)))
-    a, b = by_sub[:-1], by_sub[1:]
-    name = np.zeros(len(t), np.int64)
-    name[by_sub] = np.cumsum(np.concatenate(([0], (length[a] != length[b]) | (sub_hash[a] != sub_hash[b]))))
-    names = name[lms]
-    if len(lms) == 0 or names.max() == len(lms) - 1:
-        return by_sub
-    return lms[_reduced(names, limit)]
-
-
-def suffix_array(t: np.ndarray, cap: int, limit: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and common prefixes up to cap of symbols that end in a unique least one."""
-    s_type = _types(t)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    zero = np.zeros(len(lms), np.int16)
-    first, _ = induce(t, s_type, lms[np.argsort(t[lms], kind="stable")], zero, 1, limit)
-    lms = _name_and_sort(t, s_type, lms, first, limit)
-    p = prefix_hash(t.astype(np.uint64))
-    return induce(t, s_type, lms, _common(p, lms, cap), cap, limit)
-
-
-def _common(p: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix, up to cap, of each suffix with the one before it, by bisection on prefix hashes."""
-    out = np.zeros(len(order), np.int16)
-    if len(order) < 2:
-        return out
-    a, b = order[:-1], order[1:]
-    lo = np.zeros(len(a), np.int64)
-    hi = np.minimum(cap, len(p) - 1 - np.maximum(a, b))
-    while True:
-        todo = np.flatnonzero(lo < hi)
-        if not len(todo):
-            break
-        mid = (lo[todo] + hi[todo] + 1) // 2
-        x, y = a[todo], b[todo]
-        same = span_hash(p, x, x + mid) == span_hash(p, y, y + mid)
-        lo[todo[same]], hi[todo[~same]] = mid[same], mid[~same] - 1
-    out[1:] = lo
-    return out
-
-
-def repeated_windows(segments: list[bytes], limit: int = MEMORY) -> list[np.ndarray]:
-    """For each segment, which of its windows of LENGTH bytes occur again among all segments."""
-    sizes = np.array([len(s) for s in segments])
-    first = np.concatenate(([0], np.cumsum(sizes + 1)))
-    raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.uint16) + np.uint16(2)
-    raw[first[1:] - 1] = 1
-    t = np.append(raw, np.uint16(0))
-    sa, lcp = suffix_array(t, LENGTH, limit)
-    same = lcp >= LENGTH
-    hit = np.zeros(len(t), bool)
-    hit[sa[same | np.append(same[1:], False)]] = True
-    return [hit[a : a + n - LENGTH + 1] for a, n in zip(first, sizes)]
+        text.write(np.zeros(1, np.uint16).tobytes())
+        text.flush()
+        tags.flush()
+        t = np.memmap(text.name, np.uint16, "r")
+        named = np.memmap(tags.name, np.int64, "r").reshape(-1, width)
+        hit, last = own.array(len(t), np.bool_), np.zeros(0, np.int64)
+        for suffix, lcp in suffix_order(t, 258, LENGTH, own, limit).up():
+            same = np.flatnonzero(lcp >= LENGTH)
+            hit[suffix[same]] = True
+            hit[np.append(last, suffix)[same + len(last) - 1]] = True
+            last = suffix[-1:]
+        for lo in range(0, len(named), 4096):
+            part = np.asarray(named[lo : lo + 4096])
+            start = part[:, -1]
+            end = np.append(start[1:], named[lo + 4096, -1] if lo + 4096 < len(named) else len(t) - 1)
+            size = end - start  # with the mark after it
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            found = np.asarray(hit[start[0] : end[-1]]) & (at < np.repeat(size - LENGTH, size))
+            edge = np.flatnonzero(np.diff(found.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+            of = np.searchsorted(start - start[0], edge[::2], "right") - 1
+            yield part[of, :-1], edge[::2] - (start[of] - start[0]), edge[1::2] - (start[of] - start[0])
+
+
+def _coded(segment: bytes) -> bytes:
+    """Bytes as 16-bit symbols from 2 on, with the mark 1 after the last."""
+    out = np.empty(len(segment) + 1, np.uint16)
+    out[:-1] = np.frombuffer(segment, np.uint8)
+    out[:-1] += 2
+    out[-1] = 1
+    return out.tobytes()
 
 
 # ---------------------------------------------------------------- distribution
 
 
-def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor and a side: document, first window, window after the last, key, content.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _anchors(texts: list[bytes], sides: int = SIDES) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share an anchor and a side: document, first window, window after the last, key, content, check.
 
     The anchor of a window is the first of its GRAM-byte strings of least hash. All windows of a run contain the
-    run's core, of which the key is the hash; equal windows lie in runs of equal keys.
+    run's core, of which the key is the hash; equal windows lie in runs of equal keys. content and check are 128 bits
+    that stand for the bytes of a run and the anchor's place in it. With as many sides as places, a run is one window.
     """
     buf = np.frombuffer(b"".join(texts), np.uint8)
     first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     if len(buf) < LENGTH:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z, first
+        return z, z, z, z, z, z, first
     p = prefix_hash(buf)
     at = np.arange(len(buf) - GRAM + 1)
     bits = np.uint64(max(1, int(len(buf)).bit_length()))
@@ -366,7 +106,7 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     s = np.arange(len(anchor))
     doc = np.searchsorted(first, s, "right") - 1
     ok = first[doc + 1] >= s + LENGTH
-    step = -(-width // SIDES)
+    step = -(-width // sides)
     side = (anchor - s) // step
     new = np.ones(len(s), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (side[1:] != side[:-1]) | (doc[1:] != doc[:-1]) | (ok[1:] != ok[:-1])
@@ -375,47 +115,70 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     lo, hi = lo[ok[lo]], hi[ok[lo]]
     core = anchor[lo] - side[lo] * step
     key = span_hash(p, core, core + LENGTH + 1 - step) + side[lo].astype(np.uint64)
-    content = span_hash(p, lo, hi - 1 + LENGTH) ^ ((anchor[lo] - lo).astype(np.uint64) << np.uint64(32))
-    return doc[lo], lo, hi, key.view(np.int64), content.view(np.int64), first
+    shift = (anchor[lo] - lo).astype(np.uint64) << np.uint64(32)
+    content = span_hash(p, lo, hi - 1 + LENGTH) ^ shift
+    check = span_hash(prefix_hash(_BYTE[buf]), lo, hi - 1 + LENGTH) ^ shift
+    return doc[lo], lo, hi, key.view(np.int64), content.view(np.int64), check.view(np.int64), first
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in slices(rows_of(batch), 1):
-            doc, lo, hi, key, content, first = _anchors(texts)
+        for part, texts in slices(rows_of(batch), 2):
+            doc, lo, hi, key, content, check, first = _anchors(texts)
             if len(doc):
-                rid = np.array([r[0] for r in part], np.int64)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array((lo - first[doc]).astype(np.int32)), pa.array((hi - first[doc]).astype(np.int32)), pa.array(key), pa.array(content)], names=["rid", "lo", "hi", "key", "content"])
+                rid, did = pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())
+                cols = [pa.array((lo - first[doc]).astype(np.int32)), pa.array((hi - first[doc]).astype(np.int32)), pa.array(key), pa.array(content), pa.array(check)]
+                yield pa.RecordBatch.from_arrays([rid.take(pa.array(doc)), did.take(pa.array(doc)), *cols], names=[x.split()[0] for x in _RUNS.split(", ")])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, list of (key, content, lo, hi)) to (key, content, segment)."""
+    """(text, list of (key, content, check, lo, hi, hot)) to (key, content, check, hot, segment)."""
+    names = ["key", "content", "check", "hot"]
     for batch in batches:
-        out: tuple[list, list, list] = ([], [], [])
         for t, wanted in zip(batch.column(0), batch.column(1)):
             data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            for x in wanted.as_py():
-                out[0].append(x["key"])
-                out[1].append(x["content"])
-                out[2].append(data[x["lo"] : x["hi"] - 1 + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["key", "content", "segment"])
-
-
-def _sort_shard(pdf):
-    """Repeated windows of the segments of a shard, as runs (x, y) within the segment."""
-    import pandas as pd
-
-    found = repeated_windows(pdf.segment.tolist())
-    key, content, x, y = [], [], [], []
-    for k, c, hit in zip(pdf.key, pdf.content, found):
-        edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
-        n = len(edge) // 2
-        key += [k] * n
-        content += [c] * n
-        x.append(edge[::2])
-        y.append(edge[1::2])
-    cat = lambda v: np.concatenate(v).astype(np.int32) if v else np.zeros(0, np.int32)
-    return pd.DataFrame({"key": np.array(key, np.int64), "content": np.array(content, np.int64), "x": cat(x), "y": cat(y)})
+            v = wanted.values
+            lo, hi = v.field("lo").to_pylist(), v.field("hi").to_pylist()
+            segments = [data[x : y - 1 + LENGTH] for x, y in zip(lo, hi)]
+            yield pa.RecordBatch.from_arrays([*(v.field(x) for x in names), pa.array(segments, pa.binary())], names=[*names, "segment"])
+
+
+def _sorted_shards(limit: int):
+    """(shard, key, content, check, segment), in the order of shards, to the windows that occur again, shard by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending = None
+
+        def more() -> pa.RecordBatch | None:
+            nonlocal pending
+            while pending is None or not pending.num_rows:
+                if (pending := next(batches, None)) is None:
+                    return None
+            return pending
+
+        def rows(shard: int):
+            nonlocal pending
+            while (b := more()) is not None and b.column(0)[0].as_py() == shard:
+                n = int(np.searchsorted(b.column(0).to_numpy(), shard, "right"))
+                part, pending = b.slice(0, n), b.slice(n)
+                yield list(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))), part.column(4).to_pylist()
+
+        while (b := more()) is not None:
+            for tags, x, y in repeats(rows(b.column(0)[0].as_py()), limit):
+                yield pa.RecordBatch.from_arrays([*(pa.array(tags[:, k]) for k in range(3)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=[c.split()[0] for c in _HITS.split(", ")])
+
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, content, check, segment) to a row for every window of a segment, with 128 bits for its bytes."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            texts = part.column(3).to_pylist()
+            doc, at, _, _, one, two, first = _anchors(texts, LENGTH - GRAM + 1)
+            tags = [part.column(k).take(pa.array(doc)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*tags, pa.array((at - first[doc]).astype(np.int32)), pa.array(one), pa.array(two)], names=["key", "content", "check", "x", "one", "two"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,30 +215,41 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows without doc_id take part like others.
 
     Windows are grouped by anchors, so that equal windows share a key. Keys that occur once are dropped, and runs of
-    equal content are counted as one. Where a key has several contents, the distinct segments of its runs go to shards
-    by key, whose suffix arrays (see suffix_array) show the windows that occur again. Rows are known by a 64-bit hash of
-    doc_id and text until the end.
+    equal content (by 128 bits) are counted as one. Where a key has several contents, the distinct segments of its runs
+    go to shards by key, whose suffix arrays (see suffix_order) show the windows that occur again: a shard is read in
+    batches and sorted in files, so its size is bound by disk. Keys of more than HOT contents are split further, into
+    single windows, which are counted like contents. Rows are known by doc_id and a 64-bit hash of it and the text.
+    An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = base.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
-    runs = base.select("rid", "text").mapInArrow(_runs, _RUNS)
-    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
+    base = base.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("doc_id", F.lit(-1)).alias("did"))
+    runs = base.select("rid", "did", "text").mapInArrow(_runs, _RUNS)
+    differ = (F.min("content") != F.max("content")) | (F.min("check") != F.max("check"))
+    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), differ.alias("mixed")).where("n > 1").drop("n")
     keys = materialize(keys, "suffix-keys")  # a join of two scans can be split where a key is frequent
     again = materialize(runs.join(keys, "key"), "suffix-runs")
     discard(keys)
     mixed = again.where("mixed")
-    kinds = materialize(mixed.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one")), "suffix-kinds")
-    wanted = kinds.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("key", "content", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("wanted"))
-    segments = base.join(wanted, "rid").select("text", "wanted").mapInArrow(_cut, "key long, content long, segment binary")
-    segments = materialize(segments.dropDuplicates(["key", "content"]), "suffix-segments")
-    size = segments.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0))).first()[0]
+    same = ["key", "content", "check"]
+    kinds = materialize(mixed.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "did", "lo", "hi")).alias("one")), "suffix-kinds")
+    hot = materialize(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")), "suffix-hot")
+    marked = kinds.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = marked.groupBy(F.col("one.rid").alias("rid"), F.col("one.did").alias("did")).agg(F.collect_list(F.struct(*same, F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "hot")).alias("wanted"))
+    segments = base.join(wanted, ["rid", "did"]).select("text", "wanted").mapInArrow(_cut, "key long, content long, check long, hot boolean, segment binary")
+    segments = materialize(segments.dropDuplicates(same), "suffix-segments")
+    plain = segments.where("not hot")
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD))
-    sorted_ = segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: _sort_shard(pdf), "key long, content long, x int, y int")
-    once = kinds.where("n = 1").select("key", "content")
-    found = materialize(sorted_.join(once, ["key", "content"], "left_semi"), "suffix-found")
-    whole = again.where("not mixed").select("rid", "lo", "hi").unionByName(mixed.join(kinds.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("rid", "lo", "hi"))
-    single = found.join(kinds.select("key", "content", "one"), ["key", "content"]).select(F.col("one.rid").alias("rid"), (F.col("one.lo") + F.col("x")).alias("lo"), (F.col("one.lo") + F.col("y")).alias("hi"))
-    spans = materialize(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
-    discard(again, kinds, segments, found)
-    return base.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    dealt = plain.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), *same, "segment").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    sorted_ = dealt.mapInArrow(_sorted_shards(LIMIT), _HITS)
+    windows = materialize(segments.where("hot").select(*same, "segment").mapInArrow(_windows, "key long, content long, check long, x int, one long, two long"), "suffix-windows")
+    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    split = windows.join(twice, ["one", "two"]).select(*same, "x", (F.col("x") + 1).alias("y"))
+    once = kinds.where("n = 1").select(*same)
+    found = materialize(sorted_.unionByName(split).join(once, same, "left_semi"), "suffix-found")
+    whole = again.where("not mixed").select("rid", "did", "lo", "hi").unionByName(mixed.join(kinds.where("n > 1").select(*same), same, "left_semi").select("rid", "did", "lo", "hi"))
+    single = found.join(kinds.select(*same, "one"), same).select("one.rid", "one.did", (F.col("one.lo") + F.col("x")).alias("lo"), (F.col("one.lo") + F.col("y")).alias("hi"))
+    spans = materialize(whole.unionByName(single).groupBy("rid", "did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    discard(again, kinds, hot, segments, windows, found)
+    return base.join(spans, ["rid", "did"], "left").select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
