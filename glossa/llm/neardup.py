@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, components, discard, materialize, rows_of, shingles, slices, small_batches
+from .common import Words, components, discard, fresh, materialize, rows_of, shingles, slices, small_batches
 
 WORDS = 5
 PERCENT = 75  # least similarity in hundredths
 K = 32  # retained values of a sketch
 DENSE = 24  # longer inverted lists go the way of hot values
 HOT_LEAST = 9  # hot values that a document must retain to be compared through hot values alone
-BLOCK = 512
+BLOCK = 512  # documents, and
+BLOCK_VALUES = 1 << 20  # shingles, of which a block of a hot list holds about so many at most
 SLACK = 0.42  # the estimate must reach the least similarity less this much: over five standard errors at K values
 
 _least_hot = f"cast(least({HOT_LEAST}, ceil(n_shingles * {PERCENT} / 100)) as int)"
@@ -130,11 +131,10 @@ def _block_links(key, pdf):
     """A spanning forest of the exact links between two blocks of a hot list: no more edges than documents."""
     import pandas as pd
 
-    _, i, j = key
-    left, right = pdf[pdf.own == i], pdf[pdf.own == j]
-    both = left if i == j else pd.concat((left, right))
+    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+    both = pd.concat((left, right))
     ids, n = both.doc_id.to_numpy(), both.n_shingles.to_numpy(np.float64)
-    cut, off = len(left), 0 if i == j else len(left)
+    cut, off = len(left), len(left) if len(right) else 0
     both_n = _overlaps([np.asarray(x, np.int64) for x in both.shared], cut)
     union = n[:cut, None] + n[None, off:] - both_n
     link = np.zeros((len(ids), len(ids)), bool)
@@ -166,70 +166,131 @@ def _ask(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def _labels(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(id, component) of the documents that are linked: components of links and of those that labels stand for.
+
+    Links that lie inside a component change nothing; only the components that others join are solved anew.
+    """
+    if labels is None:
+        return components(links)
+    side = lambda s: labels.select(F.col("id").alias(s), F.col("component").alias(f"c{s}"))
+    e = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    e = materialize(e.distinct(), "neardup-joins")
+    if e.isEmpty():
+        discard(e)
+        return labels
+    more = components(e)
+    moved = labels.join(more.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    out = materialize(moved.unionByName(more.join(labels.select("id"), "id", "left_anti")), "neardup-labels")
+    discard(e, more, labels)
+    return out
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    side = lambda s: labels.select(F.col("id").alias(s), F.col("component").alias(f"c{s}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
 def _confirm(cand: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b, est) that decide the components.
+    """Components of the links among candidate pairs (a, b, est).
 
-    First the best partner of each document is asked, then the best pair between any two components
-    left, then whatever still lies between different components. A pair inside one component can
-    change nothing and is never read.
+    First the best partner of each document is asked, then whatever still lies between different components. A pair
+    inside one component can change nothing and is never read.
     """
-    links = None
-    for turn in range(3):
-        left, done = cand, []
-        if links is not None:
-            comp = components(links)
-            label = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-            left = left.join(label("a"), "a", "left").join(label("b"), "b", "left")
-            done = [comp]
-            left = left.withColumns({f"c{s}": F.coalesce(f"c{s}", s) for s in "ab"}).where("ca <> cb")
-        if turn == 0:
-            up = cand.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-            down = cand.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-            ask = up.select("a", "b").unionByName(down.select("a", "b")).distinct()
-        elif turn < 2:
-            ask = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), "est").alias("p")).select("p.a", "p.b")
-        else:
-            ask = left.select("a", "b")
-        found = materialize(_ask(ask, texts), "neardup-links")
-        discard(*done)
-        links = found if links is None else links.unionByName(found)
-    return links
-
-
-def _dense_links(dense: DataFrame, base: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between documents whose sketches mostly hold values of long lists (families of near copies).
+    up = cand.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
+    down = cand.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
+    found = materialize(_ask(up.select("a", "b").unionByName(down.select("a", "b")).distinct(), texts), "neardup-links")
+    labels = _labels(found)
+    more = materialize(_ask(_between(cand.select("a", "b"), labels), texts), "neardup-links")
+    labels = _labels(more, labels)
+    discard(found, more)
+    return labels
+
+
+def _dense_links(dense: DataFrame, base: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels with the links between documents whose sketches mostly hold values of long lists (families of near copies).
 
     Their full sets are read. A document with more than a quarter of values that no other of them has can't be
-    linked to any. The others are compared, block by block, in the lists of their hot values: first those of the
-    least value only, then those of so many values that no pair with HOT_LEAST in common is missed, as far as a list
-    still holds several components. Each block pair returns a spanning forest of its exact links.
+    linked to any. The others are compared in the lists of their hot values: first with one leader of their list, which
+    is linear in the documents and joins most of a family; then block by block, where blocks of one component are
+    never compared with each other, in the lists of so many values that no pair with HOT_LEAST in common is missed.
+    Each block pair returns a spanning forest of its exact links.
     """
     sets = materialize(base.join(dense.select("doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shared array<long>"), "neardup-sets")
     value = sets.select("doc_id", F.explode("shared").alias("s"))
     known = value.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s")
     shared = value.join(known, "s", "left_semi").groupBy("doc_id").agg(F.collect_list("s").alias("shared"))
     live = materialize(dense.join(shared, "doc_id").where(f"100 * size(shared) >= {PERCENT} * n_shingles"), "neardup-live")
-    found = None
+    for k in (1, 2):
+        labels = _labels(found := _leader_links(live, labels, k), labels)
+        discard(found)
     for depth in (1, K):
-        keys = live.select("doc_id", F.explode(F.expr(f"slice(hot, 1, least({depth}, size(hot) - {_least_hot} + 1))")).alias("v"))
-        comp = components(links if found is None else links.unionByName(found))
-        keys = keys.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        split = keys.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("v", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-        rows = keys.select("v", "doc_id").join(split, "v").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("v", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-        rows = rows.join(live.select("doc_id", "n_shingles", "shared"), "doc_id")
-        part = materialize(rows.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long").distinct(), "neardup-links")
-        discard(comp)
-        found = part if found is None else found.unionByName(part)
+        labels = _labels(found := _list_links(live, labels, depth), labels)
+        discard(found)
     discard(sets, live)
+    return labels
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _leader_links(live: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """Links of each document with the leader of its k-th hot value's list, the one with most hot values."""
+    rows = _labelled(live.where(F.size("hot") >= k).select("doc_id", "n_shingles", F.size("hot").alias("n_hot"), F.element_at("hot", k).alias("v")), labels)
+    lead = rows.groupBy("v").agg(F.max_by(F.struct("doc_id", "component", "n_shingles"), F.struct("n_hot", F.xxhash64("doc_id"))).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    lead = materialize(lead.select("v", "lead.*").toDF("v", "b", "cb", "nb"), "neardup-leaders")  # sized: small ones are broadcast
+    pairs = rows.join(lead, "v").where("component <> cb").select("doc_id", F.col("n_shingles").alias("na"), "b", "nb")
+    pairs = pairs.where("100 * least(na, nb) >= {0} * greatest(na, nb)".format(PERCENT))
+    own, other = live.select("doc_id", F.col("shared").alias("sa")), live.select(F.col("doc_id").alias("b"), F.col("shared").alias("sb"))
+    led = materialize(other.join(lead.select("b").distinct(), "b", "left_semi"), "neardup-leaders")
+    both = pairs.join(own, "doc_id").join(led, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    found = materialize(both.where(f"100 * n >= {PERCENT} * (na + nb - n)").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")), "neardup-links")
+    discard(lead, led)
+    return found
+
+
+def _list_links(live: DataFrame, labels: DataFrame, depth: int) -> DataFrame:
+    """Links between components in the lists of the first `depth` hot values of each document, block by block.
+
+    A component that fills blocks of a list by itself has blocks of its own, which aren't compared with each other; the
+    documents of smaller ones share blocks. So a family that leaders have joined meets its outsiders only.
+    """
+    keys = live.select("doc_id", F.size("shared").alias("size"), F.explode(F.expr(f"slice(hot, 1, least({depth}, size(hot) - {_least_hot} + 1))")).alias("v"))
+    keys = _labelled(keys, labels)
+    parts = keys.groupBy("v", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    parts = parts.withColumn("need", F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_VALUES))
+    large = F.col("need") >= 1
+    lists = parts.groupBy("v").agg(
+        F.count(F.lit(1)).alias("kinds"), F.coalesce(F.ceil(F.sum(F.when(~large, F.col("need")))), F.lit(0)).cast("int").alias("mixed"), F.coalesce(F.sum(F.when(large, F.ceil("need"))), F.lit(0)).cast("int").alias("pure")
+    )
+    split = materialize(lists.where("kinds > 1").drop("kinds"), "neardup-split")
+    own = W.partitionBy("v").orderBy("component").rowsBetween(W.unboundedPreceding, -1)
+    few = parts.where(large).join(split, "v")  # each fills a block of the list, so they are few
+    few = few.withColumn("n", F.ceil("need").cast("int")).withColumn("from", F.coalesce(F.sum("n").over(own), F.lit(0)).cast("int") + F.col("mixed"))
+    few = materialize(few.select("v", "component", "n", "from"), "neardup-pure")
+    rows = keys.select("v", "doc_id", "component").join(split, "v").join(few, ["v", "component"], "left")
+    h = F.xxhash64("doc_id")
+    rows = rows.withColumn("own", F.when(F.col("n").isNull(), F.pmod(h, F.greatest("mixed", F.lit(1)))).otherwise(F.col("from") + F.pmod(h, F.col("n"))).cast("int"))
+    # the blocks to meet: all, but of a pure block those of its component only
+    every = F.sequence(F.lit(0), F.col("mixed") + F.col("pure") - 1)
+    meet = F.when(F.col("n").isNull(), every).otherwise(F.filter(every, lambda o: (o < F.col("from")) | (o >= F.col("from") + F.col("n"))))
+    rows = rows.withColumn("o", F.explode(meet)).select("v", "doc_id", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"))
+    rows = rows.join(live.select("doc_id", "n_shingles", "shared"), "doc_id")
+    found = materialize(rows.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long").distinct(), "neardup-links")
+    discard(split, few)
     return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document (see link_documents for the rules).
+    """doc_id, n_shingles, component_id, kept of every document.
 
+    A document's set are its distinct runs of WORDS words (A-Z lower-cased, cut at white space), or its one run of all
+    words if it has fewer; null and empty texts have an empty set and are linked with nothing. Two documents are linked
+    if PERCENT of the union of their sets is common; component_id is the least doc_id that is reachable.
     doc_id is the row's identity: rows that repeat a doc_id give one row each; a null doc_id gives
-    a row of its own that is kept, with null component_id.
+    a row of its own that is kept, with null component_id. An empty table gives an empty table.
     Documents of equal shingle sets form one class by a 128-bit digest before anything is compared.
     """
     small_batches(docs.sparkSession)
@@ -255,16 +316,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     texts = base.withColumnRenamed("doc_id", "id")
     cand = materialize(with_estimate(rare), "neardup-pairs")
-    links = _confirm(cand, texts)
+    labels = _confirm(cand, texts)
 
     hot = listed.where(F.col("df") > DENSE)
     dense = hot.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.sort_array(F.collect_list("v")).alias("hot")).where(f"size(hot) >= {_least_hot}")
     dense = materialize(dense, "neardup-dense")
     if not dense.isEmpty():
-        links = links.unionByName(_dense_links(dense, base, links))
-    label = components(links).select(F.col("id").alias("doc_id"), "component")
+        labels = _dense_links(dense, base, labels)
     discard(listed, cand, dense)
-    named = reps.select("digest", "rep").join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    named = reps.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.join(named.withColumn("some", F.lit(True)), (sk.digest == named.digest) & (sk.n_shingles > 0), "left")
     return out.select(sk.doc_id, sk.n_shingles, F.coalesce("component", sk.doc_id).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -274,11 +334,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id stay. Of rows that share a doc_id, one stays: the one of least text.
     """
-    found = near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    ids = materialize(found.withColumnRenamed("doc_id", "__kept_id"), "neardup-kept")
-    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col("__kept_id"))
+    n, kept_id, row = (fresh(docs, x) for x in ("n", "kept_id", "row"))
+    found = near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
+    ids = materialize(found.withColumnRenamed("doc_id", kept_id), "neardup-kept")
+    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col(kept_id))
     names = docs.columns
-    single = kept.where("__n = 1").select(*names)
+    single = kept.where(F.col(n) == 1).select(*names)
     by = W.partitionBy("doc_id").orderBy("text")
-    several = kept.where("__n > 1").withColumn("__row", F.row_number().over(by)).where("__row = 1").select(*names)
+    several = kept.where(F.col(n) > 1).withColumn(row, F.row_number().over(by)).where(F.col(row) == 1).select(*names)
     return single.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()))

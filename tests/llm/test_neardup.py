@@ -62,6 +62,26 @@ def test_families_of_near_copies(spark, monkeypatch, dense):
     compare(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
 
 
+def test_leaders_join_a_large_family_in_linear_work(spark, monkeypatch):
+    """A family that its leader links meets no other block; outsiders of the same lists are still found exactly."""
+    monkeypatch.setattr(N, "DENSE", 5)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    seen = []
+    real = N._list_links
+    monkeypatch.setattr(N, "_list_links", lambda *a: seen.append(f := real(*a)) or f)
+    rnd = random.Random(2)
+    tight = family(rnd, 120, 200, 0.005)
+    texts = dict(enumerate(tight))
+    compare(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
+    assert len(seen) == 2
+    seen.clear()
+    base = tight[0].split()
+    apart = [" ".join(base[:100] + [f"x{k}{i // 4}" for i in range(60)] + base[160:]) for k in range(6) for _ in range(2)]
+    chain = [" ".join(base[: 200 - 12 * k] + [f"c{i}" for i in range(12 * k)]) for k in range(10)]
+    texts = dict(enumerate(tight + apart + chain))
+    compare(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
+
+
 def test_boundary(spark):
     words = [f"w{i}" for i in range(200)]
     base = " ".join(words[:79])  # 75 shingles
@@ -83,3 +103,5 @@ def test_awkward_rows(awkward, nothing):
     kept = N.keep_one(awkward)
     assert kept.schema == awkward.schema and sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 2 3 4 5 6 7 9 10 None".split())
     assert N.keep_one(nothing).count() == 0
+    clash = awkward.withColumnsRenamed({"rid": "n", "key": "kept_id", "hi": "row"})
+    assert N.keep_one(clash).columns == clash.columns and N.keep_one(clash).count() == kept.count()
