@@ -18,26 +18,18 @@ SMALL = 1 << 10  # symbols up to which a queue for each is kept
 
 
 class Scratch:
-    """Files of one sort, deleted at its end."""
+    """Scratch files of one sort. They have no name, so each ends with the last reference to it, or with the task."""
 
     def __init__(self):
-        self.folder = tempfile.TemporaryDirectory(prefix="suffix-")
-        self.n = self.spilled = self.levels = 0
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.folder.cleanup()
+        self.spilled = self.levels = 0
+        self.place = np.int64  # type of places in the text
 
     def file(self):
-        self.n += 1
-        return open(f"{self.folder.name}/{self.n}", "w+b")
+        return tempfile.TemporaryFile(prefix="suffix-")
 
     def array(self, n: int, dtype) -> np.ndarray:
         """A mapped array of zeros."""
-        self.n += 1
-        return np.memmap(f"{self.folder.name}/{self.n}", dtype, "w+", shape=(max(n, 1),))[:n]
+        return np.memmap(self.file(), dtype, "w+", shape=(max(n, 1),))[:n]
 
 
 class Spool:
@@ -49,7 +41,7 @@ class Spool:
         self.files = None
 
     def append(self, suffix: np.ndarray, lcp: np.ndarray) -> None:
-        self.tail.append((np.array(suffix, np.int64), np.array(lcp, np.int16)))
+        self.tail.append((np.array(suffix, self.scratch.place), np.array(lcp, np.int16)))
         self.n += len(suffix)
         if self.n - self.stored > self.limit:
             self._store()
@@ -64,13 +56,14 @@ class Spool:
 
     def read(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         if self.files is None:
-            a, b = (np.concatenate(x) for x in zip(*self.tail)) if self.tail else (np.zeros(0, np.int64), np.zeros(0, np.int16))
+            a, b = (np.concatenate(x) for x in zip(*self.tail)) if self.tail else (np.zeros(0, self.scratch.place), np.zeros(0, np.int16))
             self.tail = [(a, b)]
             return a[lo:hi], b[lo:hi]
         if self.tail:
             self._store()
         out = []
-        for f, t, size in zip(self.files, (np.int64, np.int16), (8, 2)):
+        for f, t in zip(self.files, (self.scratch.place, np.int16)):
+            size = np.dtype(t).itemsize
             f.seek(lo * size)
             out.append(np.frombuffer(f.read((hi - lo) * size), t))
         return out[0], out[1]
@@ -110,7 +103,7 @@ class BucketQueue:
                 if parts:
                     a, b = (np.concatenate(x) for x in zip(*parts))
                     self.runs[s].append((self.file.tell(), len(a)))
-                    self.file.write(a.astype(np.int64).tobytes() + b.astype(np.int16).tobytes())
+                    self.file.write(a.astype(self.scratch.place).tobytes() + b.astype(np.int16).tobytes())
                     self.held[s] = []
             self.scratch.spilled += self.n
             self.n = 0
@@ -121,12 +114,13 @@ class BucketQueue:
             runs, held = self.runs[symbol], self.held[symbol]
             self.runs[symbol], self.held[symbol] = [], []
             self.n -= sum(len(x) for x, _ in held)
+            place, size = self.scratch.place, np.dtype(self.scratch.place).itemsize
             for at, n in runs:
                 for i in range(0, n, self.limit):
                     k = min(self.limit, n - i)
-                    self.file.seek(at + 8 * i)
-                    a = np.frombuffer(self.file.read(8 * k), np.int64)
-                    self.file.seek(at + 8 * n + 2 * i)
+                    self.file.seek(at + size * i)
+                    a = np.frombuffer(self.file.read(size * k), place)
+                    self.file.seek(at + size * n + 2 * i)
                     yield a, np.frombuffer(self.file.read(2 * k), np.int16)
             if held:
                 yield tuple(np.concatenate(x) for x in zip(*held))
@@ -234,10 +228,10 @@ def _types(t: np.ndarray, scratch: Scratch, limit: int) -> tuple[np.ndarray, np.
     for lo in range(1, n, limit):
         part = np.asarray(s_type[lo - 1 : lo + limit])
         at = np.flatnonzero(part[1:] & ~part[:-1]) + lo
-        found.write(at.astype(np.int64).tobytes())
+        found.write(at.astype(scratch.place).tobytes())
         count += len(at)
     found.flush()
-    return s_type, np.memmap(found.name, np.int64, "r", shape=(count,)) if count else np.zeros(0, np.int64)
+    return s_type, np.memmap(found, scratch.place, "r", shape=(count,)) if count else np.zeros(0, scratch.place)
 
 
 class _Pass:
@@ -297,6 +291,7 @@ def _induce_few(t: np.ndarray, s_type: np.ndarray, seeds: Spool, symbols: int, c
                 own_lcp[0] = min(_run(t, last, cap), _run(t, int(own[0]), cap))
                 last = None
             up.feed(own, own_lcp)
+    del up
     down, out = _Pass(t, s_type, True, symbols, cap, scratch, limit), Spool(scratch, limit)
     for c in range(symbols - 1, -1, -1):
         last = None
@@ -406,13 +401,13 @@ def _agree(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.
 def _names(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, order: Spool, scratch: Scratch, limit: int) -> tuple[np.ndarray, int]:
     """Ranks of the substrings between leftmost S places, in the order of the text, and how many differ. `order` has all
     suffixes in the descending order of these substrings."""
-    length = scratch.array(len(t) // 2 + 1, np.int64)  # such places are two apart at least
+    length = scratch.array(len(t) // 2 + 1, scratch.place)  # such places are two apart at least
     for lo in range(0, len(lms), limit):
         part = np.asarray(lms[lo : lo + limit + 1])
         length[part[:-1] // 2] = np.diff(part) + 1
     length[int(lms[-1]) // 2] = 1
-    name = scratch.array(len(t) // 2 + 1, np.int64)
-    last, rank = np.zeros(0, np.int64), -1
+    name = scratch.array(len(t) // 2 + 1, scratch.place)
+    last, rank = np.zeros(0, scratch.place), -1
     for x, _ in order.down():
         x = x[(x > 0) & s_type[x] & ~s_type[x - 1]]
         if not len(x):
@@ -424,7 +419,7 @@ def _names(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, order: Spool, scr
         ranks = rank + np.cumsum(new)
         name[x // 2] = ranks
         last, rank = x[-1:], int(ranks[-1])
-    names = scratch.array(len(lms), np.int64)
+    names = scratch.array(len(lms), scratch.place)
     for lo in range(0, len(lms), limit):
         names[lo : lo + limit] = name[np.asarray(lms[lo : lo + limit]) // 2]
     return names, rank + 1
@@ -432,7 +427,7 @@ def _names(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, order: Spool, scr
 
 def _by_symbol(t: np.ndarray, lms: np.ndarray, symbols: int, scratch: Scratch, limit: int) -> Spool:
     """The leftmost S places in the order of their symbols."""
-    out, at = scratch.array(len(lms), np.int64), scratch.array(symbols + 1, np.int64)
+    out, at = scratch.array(len(lms), scratch.place), scratch.array(symbols + 1, np.int64)
     for lo in range(0, len(lms), limit):
         s, n = np.unique(t[lms[lo : lo + limit]], return_counts=True)
         at[s.astype(np.int64) + 1] += n
@@ -468,22 +463,24 @@ def suffix_order(t: np.ndarray, symbols: int, cap: int, scratch: Scratch, limit:
     s_type, lms = _types(t, scratch, limit)
     order = induce(t, s_type, _by_symbol(t, lms, symbols, scratch, limit), symbols, 1, scratch, limit)
     names, kinds = _names(t, s_type, lms, order, scratch, limit)
+    del order
     seeds = Spool(scratch, limit)
     if kinds == len(lms):
-        ranked = scratch.array(len(lms), np.int64)
+        ranked = scratch.array(len(lms), scratch.place)
         for lo in range(0, len(lms), limit):
             ranked[names[lo : lo + limit]] = np.arange(lo, min(len(lms), lo + limit))
-        blocks = ((np.asarray(ranked[lo : lo + limit]), None) for lo in range(0, len(lms), limit))
+        blocks = ((ranked[lo : lo + limit].astype(np.int64), None) for lo in range(0, len(lms), limit))
     else:
-        below = suffix_order(names, kinds, NAME_CAP, scratch, limit)
-        blocks = below.down()
+        blocks = suffix_order(names, kinds, NAME_CAP, scratch, limit).down()
+    del names
     last, shared = np.zeros(0, np.int64), 0
     for i, v in blocks:  # ascending; v of an entry is what it has in common with the next one
+        i = i.astype(np.int64)
         common = np.zeros(len(i), np.int64) if v is None else np.append(shared, v[:-1]).astype(np.int64)
         shared = 0 if v is None else int(v[-1])
         a, b = np.append(last, i[:-1]), i if len(last) else i[1:]
         r = common if len(last) else common[1:]
-        off = np.minimum(lms[a + r] - lms[a], cap)
+        off = np.minimum(lms[a + r] - lms[a], cap).astype(np.int64)
         lcp = off + _agree(t, lms[a] + off, lms[b] + off, cap - off)
         seeds.append(lms[i], lcp if len(last) else np.append(0, lcp))
         last = i[-1:]

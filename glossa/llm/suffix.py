@@ -16,7 +16,7 @@ from .induced import Scratch, Spool, suffix_order
 LENGTH = 200  # bytes of a repeated string
 GRAM = 40  # bytes of an anchor; every window of LENGTH bytes has one
 SIDES = 2  # anchors are told apart by where in the window they lie
-SHARD = 2 << 20  # bytes that are sorted together
+SHARD = 1 << 20  # bytes that are sorted together
 LIMIT = 1 << 17  # entries of a queue or a sequence that a sort holds in memory, the others are on disk
 HOT = SHARD // (2 * LENGTH)  # keys of more different contents are split into their windows
 
@@ -32,37 +32,37 @@ def repeats(rows: Iterable[tuple[list[tuple[int, ...]], list[bytes]]], limit: in
 
     rows gives tags and segments, a few at a time; they are written to scratch files, so any number fits.
     """
-    limit = limit or LIMIT
-    with scratch or Scratch() as own:
-        text, tags, n, width = own.file(), own.file(), 0, 0
-        for tag, segments in rows:
-            for x, segment in zip(tag, segments):
-                text.write(_coded(segment))
-                tags.write(np.array((*x, n), np.int64).tobytes())
-                width, n = len(x) + 1, n + len(segment) + 1
-        if not n:
-            return
-        text.write(np.zeros(1, np.uint16).tobytes())
-        text.flush()
-        tags.flush()
-        t = np.memmap(text.name, np.uint16, "r")
-        named = np.memmap(tags.name, np.int64, "r").reshape(-1, width)
-        hit, last = own.array(len(t), np.bool_), np.zeros(0, np.int64)
-        for suffix, lcp in suffix_order(t, 258, LENGTH, own, limit).up():
-            same = np.flatnonzero(lcp >= LENGTH)
-            hit[suffix[same]] = True
-            hit[np.append(last, suffix)[same + len(last) - 1]] = True
-            last = suffix[-1:]
-        for lo in range(0, len(named), 4096):
-            part = np.asarray(named[lo : lo + 4096])
-            start = part[:, -1]
-            end = np.append(start[1:], named[lo + 4096, -1] if lo + 4096 < len(named) else len(t) - 1)
-            size = end - start  # with the mark after it
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            found = np.asarray(hit[start[0] : end[-1]]) & (at < np.repeat(size - LENGTH, size))
-            edge = np.flatnonzero(np.diff(found.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
-            of = np.searchsorted(start - start[0], edge[::2], "right") - 1
-            yield part[of, :-1], edge[::2] - (start[of] - start[0]), edge[1::2] - (start[of] - start[0])
+    limit, own = limit or LIMIT, scratch or Scratch()
+    text, tags, n, width = own.file(), own.file(), 0, 0
+    for tag, segments in rows:
+        for x, segment in zip(tag, segments):
+            text.write(_coded(segment))
+            tags.write(np.array((*x, n), np.int64).tobytes())
+            width, n = len(x) + 1, n + len(segment) + 1
+    if not n:
+        return
+    text.write(np.zeros(1, np.uint16).tobytes())
+    text.flush()
+    tags.flush()
+    own.place = np.int32 if n < 2**31 - 1 else np.int64
+    t = np.memmap(text, np.uint16, "r")
+    named = np.memmap(tags, np.int64, "r").reshape(-1, width)
+    hit, last = own.array(len(t), np.bool_), np.zeros(0, np.int64)
+    for suffix, lcp in suffix_order(t, 258, LENGTH, own, limit).up():
+        same = np.flatnonzero(lcp >= LENGTH)
+        hit[suffix[same]] = True
+        hit[np.append(last, suffix)[same + len(last) - 1]] = True
+        last = suffix[-1:]
+    for lo in range(0, len(named), 4096):
+        part = np.asarray(named[lo : lo + 4096])
+        start = part[:, -1]
+        end = np.append(start[1:], named[lo + 4096, -1] if lo + 4096 < len(named) else len(t) - 1)
+        size = end - start  # with the mark after it
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        found = np.asarray(hit[start[0] : end[-1]]) & (at < np.repeat(size - LENGTH, size))
+        edge = np.flatnonzero(np.diff(found.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        of = np.searchsorted(start - start[0], edge[::2], "right") - 1
+        yield part[of, :-1], edge[::2] - (start[of] - start[0]), edge[1::2] - (start[of] - start[0])
 
 
 def _coded(segment: bytes) -> bytes:

@@ -9,9 +9,8 @@ from glossa.llm.suffix import LENGTH, remove_repeats, repeats
 
 
 def suffix_array(t, cap, limit):
-    with induced.Scratch() as scratch:
-        order, lcp = (np.concatenate(x) for x in zip(*induced.suffix_order(t, int(t.max()) + 1, cap, scratch, limit).down()))
-        return order, np.append(0, lcp[:-1])
+    order, lcp = (np.concatenate(x) for x in zip(*induced.suffix_order(t, int(t.max()) + 1, cap, induced.Scratch(), limit).down()))
+    return order, np.append(0, lcp[:-1])
 
 
 def repeated_windows(segments, limit=None):
