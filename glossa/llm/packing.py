@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import heapq
+import json
 import re
 import unicodedata
 import zlib
@@ -22,10 +23,11 @@ from .common import materialize, small_batches
 WINDOW = 4096
 PIECE = 512  # the part of a document beyond whole windows is cut into pieces of so many tokens
 BLOCK = 2048  # mean number of short pieces that are differenced together
+RUN = 65536  # equal pieces that are dealt out at a time
 STEP = 2000  # documents that are encoded together
 CACHE = 2_000_000  # words and parts of words that a worker keeps, at most about 400 MB
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -33,19 +35,30 @@ def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
 
 
+# The settings of a tokenizers file under which the words of a text are encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 # Text of these characters is split here as the tokenizer's own pattern does; any other goes to it whole.
 _PLAIN = re.compile("[^\t\n\r -~¡-įı-ſ]")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
 
 
 class Encoder:
-    """ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizers file that lower-cases and
-    splits at white space and between letters, digits and signs. Words and their parts are encoded once and kept."""
+    """ids of whole texts as little-endian unsigned 32-bit bytes, by any tokenizers file.
+
+    Where its settings lower-case and split at white space and between letters, digits and signs, words and their
+    parts are encoded once and kept; texts of other files are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.by_word = made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+        self.by_word &= made["post_processor"] is None and made["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in made["added_tokens"])
         self.bare = Tokenizer.from_file(path)  # for parts that are split and in lower case already
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -83,6 +96,8 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """ids of each text (null: none). Distinct words of all texts are looked up once."""
+        if not self.by_word:
+            return [b"" if t is None else self._whole(t) for t in texts.to_pylist()]
         plain = [t is not None and not _PLAIN.search(t) and "<|" not in t for t in texts.to_pylist()]
         split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(plain, pa.bool_()), texts, "")))
         coded = split.flatten().dictionary_encode()
@@ -114,20 +129,23 @@ _ENCODERS: dict[str, Encoder] = {}
 def _cutter(path: str, end_id: int, window: int, piece: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        end, collects = np.array([end_id], "<u4").tobytes(), gc.isenabled()
         gc.disable()  # nothing here makes cycles, and collections walk the caches
-        end, n = np.array([end_id], "<u4").tobytes(), 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, STEP):
-                part = batch.slice(lo, STEP)
-                out: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1))):
-                    ids += end
-                    total = len(ids) // 4
-                    whole = total - total % window
-                    for s, e in [(x, x + window) for x in range(0, whole, window)] + [(x, min(x + piece, total)) for x in range(whole, total, piece)]:
-                        out.append((doc_id, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), total, n))
-                        n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "n"])
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, STEP):
+                    part = batch.slice(lo, STEP)
+                    out: list[tuple] = []
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1))):
+                        ids += end
+                        total = len(ids) // 4
+                        whole = total - total % window
+                        for s, e in [(x, x + window) for x in range(0, whole, window)] + [(x, min(x + piece, total)) for x in range(whole, total, piece)]:
+                            out.append((doc_id, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), total))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            if collects:
+                gc.enable()
 
     return cut
 
@@ -214,12 +232,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window
 
     A document is its token ids and end_id; null and empty texts are end_id alone, so every row has a piece.
     Whole windows of a long document are sequences by themselves; the rest is cut into pieces of at most `piece`
-    tokens. Pieces fall into blocks of about BLOCK by hash, and each block is differenced into near-equal windows.
-    Repeated rows give pieces of their own. doc_id may be null; other columns are not read.
+    tokens. Pieces fall into blocks of about BLOCK by hash, and each block is differenced into near-equal windows, in
+    the order of doc_id, start and ids_crc32, so the result depends on the rows only and not on how they are dealt out.
+    Repeated rows give pieces of their own, counted first and dealt to blocks by their number. doc_id may be null; an
+    empty table gives no pieces; other columns are not read.
     """
     small_batches(docs.sparkSession)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cutter(tokenizer_path, end_id, window, min(piece, window)), _PIECES)
     pieces = materialize(pieces, "packing")
     blocks = max(1, -(-pieces.where(F.col("length") < window).count() // BLOCK))
-    keyed = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "n"), F.lit(blocks)))
-    return keyed.drop("n").groupBy("block").applyInPandas(_packer(window), _PACKED)
+    kinds = pieces.groupBy("doc_id", "start", "length", "ids_crc32", "doc_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    runs = kinds.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))))
+    each = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, F.least("copies", (F.col("run") + 1) * RUN) - 1)))
+    keyed = each.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(blocks))).drop("copies", "run", "copy")
+    return keyed.groupBy("block").applyInPandas(_packer(window), _PACKED)

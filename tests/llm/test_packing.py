@@ -110,3 +110,27 @@ def test_small_cache(monkeypatch):
     for k in range(30):
         part = [f"word{k} other{k % 3} and, the {k}", "the and"]
         assert e.encode_all(pa.array(part)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
+
+
+def test_other_tokenizers_are_encoded_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, t = Encoder(path), Tokenizer.from_file(path)
+    samples = ["Don't we'll I'M", "plain words and  two spaces", "", "<|endoftext|> a", "日本語 Ünïcödé"]
+    assert not e.by_word and Encoder(PATH).by_word
+    assert e.encode_all(pa.array([*samples, None])) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in samples] + [b""]
+
+
+def test_sequences_do_not_depend_on_partitions(spark, documents):
+    docs = documents.unionAll(documents.limit(5))
+    a, b = ({tuple(r): None for r in pack_documents(docs.repartition(n), PATH).collect()} for n in (2, 7))
+    assert a.keys() == b.keys()
+
+
+def test_collector_is_left_as_it_was(documents):
+    import gc
+
+    from glossa.llm.packing import _cutter
+
+    assert gc.isenabled()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", None]})
+    assert sum(x.num_rows for x in _cutter(PATH, 2, 4096, 512)(iter([batch]))) == 2 and gc.isenabled()
