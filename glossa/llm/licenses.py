@@ -16,8 +16,9 @@ BITS = 18  # hashed features
 GRAMS = 3
 WINDOW, STEP = 60, 40  # longer lines are judged in windows of words
 ACROSS = 15  # words between the windows of a line that run on into the next lines of its paragraph
-SAMPLE = 400  # documents of least hash whose paragraphs teach the unknown class
-SAMPLE_WORDS = 4000  # words of each
+SAMPLE = 400  # documents of least hash, whole, whose paragraphs teach the unknown class
+PARAGRAPHS = 6000  # of their paragraphs (in pieces of WINDOW words), those of least hash
+EPOCHS = 60
 PROBABILITY = 0.5
 CONFIRM = 0.5  # least share of a template's word pairs, weighted by rarity among families, that the paragraph holds
 
@@ -164,17 +165,28 @@ def _features(p: Paragraphs) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     """Multinomial logistic regression on hashed word n-grams, trained by gradient descent with an L1 threshold.
 
-    Notices are varied by dropping and replacing words; the unknown class gets sampled paragraphs and scrambled
-    notices. A temperature, fitted on the quarter of examples held back, calibrates the probabilities.
+    Notices are varied by dropping and replacing words; the unknown class gets sampled paragraphs, those that name
+    licences among them unless a template confirms them, and scrambled notices. A temperature calibrates the
+    probabilities: it is fitted on templates of which no variant was seen in training, and on held-back paragraphs;
+    then all examples are trained on.
     """
 
     def __init__(self, background: list[bytes], seed: int = 7):
         rng = np.random.default_rng(seed)
         self.families = [UNKNOWN, *sorted(TEMPLATES)]
-        filler = [w for t in background for w in t.split()[:200]] or [b"text"]
+        self.template = [[_pairs(t.encode()) for t in TEMPLATES.get(f, ())] for f in self.families]
+        families_with: dict[int, int] = {}
+        for ts in self.template:
+            for h in set().union(*map(set, ts)) if ts else ():
+                families_with[h] = families_with.get(h, 0) + 1
+        self.rarity = {h: 1.0 / k for h, k in families_with.items()}
+        background = [x for x in background if not self._confirmed(x)]
+        filler = [w for t in background for w in t.split()] or [b"text"]
         examples: list[tuple[bytes, int]] = []
+        held: list[bool] = []
         for y, name in enumerate(self.families[1:], 1):
-            for t in TEMPLATES[name]:
+            back = int(rng.integers(len(TEMPLATES[name]))) if len(TEMPLATES[name]) > 2 else -1
+            for i, t in enumerate(TEMPLATES[name]):
                 words = t.encode().split()
                 for k in range(60):
                     v = list(words)
@@ -183,53 +195,61 @@ class Classifier:
                     for _ in range(int(rng.integers(0, 4)) * (k % 2)):
                         v.insert(0 if rng.random() < 0.5 else len(v), filler[rng.integers(len(filler))])
                     examples.append((b" ".join(v), y))
+                    held.append(i == back)
         public = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.encode().split()})
         for _ in range(1500):  # words of licences without their order say nothing
             examples.append((b" ".join(public[i] for i in rng.integers(len(public), size=int(rng.integers(1, 6)))) + b" " + b" ".join(filler[i] for i in rng.integers(len(filler), size=int(rng.integers(2, 12)))), 0))
-        for t in background:
-            examples += [(x, 0) for x in t.split(b"\n") if x.strip()]
-        self._train(examples, rng)
+        examples += [(x, 0) for x in background]
+        held += (rng.random(len(examples) - len(held)) < 0.25).tolist()
+        self._train(examples, np.array(held))
 
-    def _train(self, examples: list[tuple[bytes, int]], rng: np.random.Generator) -> None:
+    def _confirmed(self, paragraph: bytes) -> bool:
+        own = set(_pairs(paragraph))
+        return bool(own & self.rarity.keys()) and any(self._share(t, own) >= CONFIRM for ts in self.template for t in ts)
+
+    def _train(self, examples: list[tuple[bytes, int]], held: np.ndarray) -> None:
         y = np.array([c for _, c in examples])
         p = Paragraphs([t.replace(b"\n", b" ") for t, _ in examples])
         doc = p.words.doc[p.first]
-        y, (row, col) = y[doc], _features(p)
+        y, held, (row, col) = y[doc], held[doc], _features(p)
         used, col = np.unique(col, return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        row, col = row[order], col[order]
+        w, bias = self._fit(row, col, y, ~held, len(used))
+        scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(y))))
+        z = (self._sum(w, row, col, len(y)) * scale[:, None] + bias)[held]
+        losses = [(-np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), y[held]], 1e-12)).mean(), t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)] if held.any() else [(0, 1.0)]
+        self.temperature = min(losses)[1]
+        w, self.bias = self._fit(row, col, y, np.ones(len(y), bool), len(used))
+        some = np.flatnonzero(np.abs(w).max(1) > 0)
+        self.weights = w[some]
+        self.slot = np.full(1 << BITS, -1, np.int32)
+        self.slot[used[some]] = np.arange(len(some))
+
+    def _fit(self, row: np.ndarray, col: np.ndarray, y: np.ndarray, chosen: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and biases from the chosen examples, each class weighing the same."""
+        own = chosen[row]
+        at = np.cumsum(chosen) - 1
+        row, col, y = at[row[own]], col[own], y[chosen]
         n, c = len(y), len(self.families)
-        held = rng.random(n) < 0.25
-        weight = np.where(held, 0.0, 1.0 / np.maximum(1, np.bincount(y[~held], minlength=c))[y]) * c
+        weight = 1.0 / np.maximum(1, np.bincount(y, minlength=c))[y]
         weight /= weight.sum()
-        w, bias = np.zeros((len(used), c)), np.zeros(c)
-        square, target = np.full((len(used), c), 1e-8), np.eye(c)[y]
+        w, bias = np.zeros((used, c)), np.zeros(c)
+        square, target = np.full((used, c), 1e-8), np.eye(c)[y]
         scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))
-        order = np.argsort(row, kind="stable")
-        row, col = row[order], col[order]
-        for _ in range(60):
+        for _ in range(EPOCHS):
             z = self._sum(w, row, col, n) * scale[:, None] + bias
             q = _softmax(z) - target
             q *= weight[:, None]
             g = np.zeros_like(w)
             d = q * scale[:, None]
             for k in range(c):
-                g[:, k] = np.bincount(col, weights=d[row, k], minlength=len(used))
+                g[:, k] = np.bincount(col, weights=d[row, k], minlength=used)
             square += g * g
             w -= 0.5 * g / np.sqrt(square)
             w = np.sign(w) * np.maximum(np.abs(w) - 2e-3, 0)
             bias -= 5.0 * q.sum(0)
-        z = (self._sum(w, row, col, n) * scale[:, None] + bias)[held]
-        losses = [(-np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), y[held]], 1e-12)).mean(), t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)] if held.any() else [(0, 1.0)]
-        self.temperature = min(losses)[1]
-        some = np.flatnonzero(np.abs(w).max(1) > 0)
-        self.weights, self.bias = w[some], bias
-        self.slot = np.full(1 << BITS, -1, np.int32)
-        self.slot[used[some]] = np.arange(len(some))
-        self.template = [[_pairs(t.encode()) for t in TEMPLATES.get(f, ())] for f in self.families]
-        families_with: dict[int, int] = {}
-        for ts in self.template:
-            for h in set().union(*map(set, ts)) if ts else ():
-                families_with[h] = families_with.get(h, 0) + 1
-        self.rarity = {h: 1.0 / k for h, k in families_with.items()}
+        return w, bias
 
     @staticmethod
     def _sum(w: np.ndarray, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
@@ -308,14 +328,28 @@ def _scanner(model):
     return scan
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (piece): its lines in pieces of WINDOW words."""
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            words = [x.split() for x in t.encode("utf-8", "surrogatepass").split(b"\n")]
+            out = [b" ".join(x[i : i + WINDOW]) for x in words for i in range(0, len(x), WINDOW)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["piece"])
+
+
 def train(docs: DataFrame) -> Classifier:
-    """A classifier whose unknown class is taught by the first SAMPLE_WORDS words of the SAMPLE documents of least hash
-    that do not name a licence."""
+    """A classifier whose unknown class is taught by paragraphs of SAMPLE documents.
+
+    They are those of least hash of doc_id and text; rows whose hash of doc_id lies above twice the share that is needed
+    are left out first, so one scan reads few texts. Of all their paragraphs the driver gets PARAGRAPHS, those of least
+    hash. Paragraphs that name a licence are taught as unknown too, unless a template confirms them.
+    """
     text = F.col("text").cast("string")
-    pool = docs.where(text.isNotNull() & ~F.lower(text).rlike("licen[sc]e|copyright|gnu |public domain")).select(text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
-    ids = [r[0] for r in pool.select("h").orderBy("h").limit(SAMPLE).collect()]
-    rows = pool.where(F.col("h").isin(ids)).orderBy("h").limit(SAMPLE).select(F.substring("text", 1, 8 * SAMPLE_WORDS)).collect() if ids else []
-    return Classifier([b" \n".join(x for x in r[0].encode("utf-8", "surrogatepass").split(b"\n")) for r in rows])
+    share = min(1.0, 2 * SAMPLE / max(1, docs.count()))
+    pool = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= int(share * (1 << 40))).where(text.isNotNull())
+    few = pool.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE)
+    pieces = few.select("text").mapInArrow(_pieces, "piece binary").distinct().orderBy(F.xxhash64("piece"), "piece").limit(PARAGRAPHS)
+    return Classifier([bytes(r[0]) for r in pieces.collect()])
 
 
 def scan_licenses(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
@@ -326,7 +360,8 @@ def scan_licenses(docs: DataFrame, model: Classifier | None = None) -> DataFrame
     template of its family confirms with a share of CONFIRM counts as unknown. Each line is judged, longer ones in
     overlapping windows, and so are windows across the line breaks of a paragraph (lines up to a blank one), which
     count by the words that no line has shown to be a notice. Null and empty texts give no row, nor do
-    paragraphs judged unknown. Repeated rows give their rows again.
+    paragraphs judged unknown; very long texts are read whole. Repeated rows give their rows again, a null doc_id rows
+    with a null one; of equally likely families the first by name is given. An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     model = model or train(docs)

@@ -1,7 +1,9 @@
 import re
 
+import numpy as np
 import pytest
 
+from glossa.llm import licenses as L
 from glossa.llm.licenses import TEMPLATES, Classifier, scan_licenses, train
 
 CUE = re.compile("licen[sc]e|copyright|GNU|Creative Commons", re.I)
@@ -41,6 +43,85 @@ def test_documents(documents, texts, model):
     assert all(0.5 <= r.probability <= 1 and r.template_share >= 0.5 for r in rows)
 
 
+def brute(model, text):
+    """The rows of one text, window by window and gram by gram, from the definition."""
+    m64 = (1 << 64) - 1
+
+    def mixed(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & m64
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & m64
+        return h ^ h >> 31
+
+    strip = bytes(32 if chr(c) in "\"'`()[]{}<>.,;:!?*#/|_=~" else c for c in range(256))
+    lines, hashes = [], {}
+    for x in text.encode().translate(strip).split(b"\n"):
+        lines.append([w for w in re.split(rb"[\x20\x09-\x0D]+", x) if w])
+        for w in lines[-1]:
+            hashes.setdefault(w, mixed(int(L.Words([w]).hash[0])))
+    words = [w for x in lines for w in x]
+    cut = [0]
+    for x in lines:
+        cut.append(cut[-1] + len(x))
+    windows, across = [], []
+    for k, x in enumerate(lines):
+        a, b = cut[k], cut[k + 1]
+        if not x:
+            continue
+        windows += [(i, min(b, i + L.WINDOW)) for i in range(a, b, L.STEP) if i == a or i - L.STEP + L.WINDOW < b]
+        end = next((cut[j] for j in range(k + 1, len(lines)) if not lines[j]), len(words))
+        across += [(i, min(end, i + L.WINDOW)) for i in range(a, b, L.ACROSS) if min(end, i + L.WINDOW) > b]
+    out, taken = [], set()
+
+    def grams(i, j, n):
+        for s in range(i, j - n + 1):
+            h = hashes[words[s]]
+            for k in range(1, n):
+                h = mixed((h * 0x9E3779B97F4A7C15 + hashes[words[s + k]]) & m64)
+            yield s, h
+
+    for far, (i, j) in [(0, w) for w in windows] + [(1, w) for w in across]:
+        z, seen, some = np.zeros(len(model.families)), 0, False
+        for n in range(1, L.GRAMS + 1):
+            for _, h in grams(i, j, n):
+                seen += 1
+                if (slot := model.slot[h >> 64 - L.BITS]) >= 0:
+                    z, some = z + model.weights[slot], True
+        if not some:
+            continue
+        q = np.exp((z / np.sqrt(seen) + model.bias) / model.temperature)
+        q /= q.sum()
+        best = int(q.argmax())
+        if best == 0 or q[best] < L.PROBABILITY:
+            continue
+        own = {h for s, h in grams(i, j, 2) if not far or s not in taken or s + 1 not in taken}
+        share = max(sum(model.rarity[h] for h in t if h in own) / sum(model.rarity[h] for h in t) for t in model.template[best])
+        if share >= L.CONFIRM:
+            taken |= set(range(i, j))
+            out.append((i, j - i, model.families[best], round(float(q[best]), 9), round(share, 9)))
+    return sorted(out)
+
+
+def test_scan_equals_the_definition(model, texts):
+    notices = [t for ts in TEMPLATES.values() for t in ts]
+    some = [t for d, t in sorted(texts.items()) if t and (CUE.search(t) or d % 9 == 0) and len(t) < 6000]
+    some += [MIT, BSD + "\n\n" + GPL, "word " * 90 + " ".join(notices[:4]) + " word" * 70, "\n".join(notices), "one\n\n\ntwo  three\n " + ISC]
+    assert len(some) > 15
+    for t in some:
+        got = sorted((f[1], f[2], f[3], round(f[4], 9), round(f[5], 9)) for f in model.scan([t.encode()]))
+        want = brute(model, t)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3:] for x in got], [x[3:] for x in want], atol=1e-8)
+
+
+def test_paragraphs_that_name_licences_teach_the_unknown_class(spark):
+    hard = ["The license plate of the car was covered with mud", "His driving licence expired in the general public"] * 3
+    rows = [(i, f"{hard[i % 6]} number {i}\nReleased under the MIT License\nand other words {i}") for i in range(200)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(model.scan([h.encode()]) == [] for h in hard)
+    assert [f[3] for f in model.scan([b"Released under the MIT License"])] == ["mit"]
+
+
 def test_long_lines_are_judged_in_windows(model):
     line = b"word " * 500 + b"Released under the MIT License. " + b"word " * 500
     assert {f[3] for f in model.scan([line])} == {"mit"}
