@@ -19,6 +19,7 @@ ACROSS = 15  # words between the windows of a line that run on into the next lin
 SAMPLE = 400  # documents of least hash, whole, whose paragraphs teach the unknown class
 PARAGRAPHS = 6000  # of their paragraphs (in pieces of WINDOW words), those of least hash
 EPOCHS = 60
+TEMPERATURES = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
 PROBABILITY = 0.5
 CONFIRM = 0.5  # least share of a template's word pairs, weighted by rarity among families, that the paragraph holds
 
@@ -165,8 +166,8 @@ def _features(p: Paragraphs) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     """Multinomial logistic regression on hashed word n-grams, trained by gradient descent with an L1 threshold.
 
-    Notices are varied by dropping and replacing words; the unknown class gets sampled paragraphs, those that name
-    licences among them unless a template confirms them, and scrambled notices. A temperature calibrates the
+    Notices are varied by dropping words and setting them among others; the unknown class gets sampled paragraphs, those that name
+    licences among them unless a template confirms them, and scrambled notices. Features are the n-grams of notices; other words weigh nothing. A temperature calibrates the
     probabilities: it is fitted on templates of which no variant was seen in training, and on held-back paragraphs;
     then all examples are trained on.
     """
@@ -183,6 +184,7 @@ class Classifier:
         background = [x for x in background if not self._confirmed(x)]
         filler = [w for t in background for w in t.split()] or [b"text"]
         examples: list[tuple[bytes, int]] = []
+        bare: list[bytes] = []  # notices without words around them: their n-grams are the features
         held: list[bool] = []
         for y, name in enumerate(self.families[1:], 1):
             back = int(rng.integers(len(TEMPLATES[name]))) if len(TEMPLATES[name]) > 2 else -1
@@ -192,8 +194,13 @@ class Classifier:
                     v = list(words)
                     if k % 3 and len(v) > 8:
                         v = [w for w in v if rng.random() > 0.08] or v
-                    for _ in range(int(rng.integers(0, 4)) * (k % 2)):
-                        v.insert(0 if rng.random() < 0.5 else len(v), filler[rng.integers(len(filler))])
+                    bare.append(b" ".join(v))
+                    # alone, among a few other words, in more of them, or in a whole window
+                    room = max(0, WINDOW - len(v))
+                    more = (0, int(rng.integers(0, 4)), int(rng.integers(0, room + 1)), room)[k // 3 % 4]
+                    before = int(rng.integers(0, more + 1))
+                    around = [filler[i] for i in rng.integers(len(filler), size=more)]
+                    v = around[:before] + v + around[before:]
                     examples.append((b" ".join(v), y))
                     held.append(i == back)
         public = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.encode().split()})
@@ -201,42 +208,41 @@ class Classifier:
             examples.append((b" ".join(public[i] for i in rng.integers(len(public), size=int(rng.integers(1, 6)))) + b" " + b" ".join(filler[i] for i in rng.integers(len(filler), size=int(rng.integers(2, 12)))), 0))
         examples += [(x, 0) for x in background]
         held += (rng.random(len(examples) - len(held)) < 0.25).tolist()
-        self._train(examples, np.array(held))
+        self._train(examples, np.array(held), np.unique(_features(Paragraphs(bare))[1]))
 
     def _confirmed(self, paragraph: bytes) -> bool:
         own = set(_pairs(paragraph))
         return bool(own & self.rarity.keys()) and any(self._share(t, own) >= CONFIRM for ts in self.template for t in ts)
 
-    def _train(self, examples: list[tuple[bytes, int]], held: np.ndarray) -> None:
+    def _train(self, examples: list[tuple[bytes, int]], held: np.ndarray, used: np.ndarray) -> None:
         y = np.array([c for _, c in examples])
         p = Paragraphs([t.replace(b"\n", b" ") for t, _ in examples])
         doc = p.words.doc[p.first]
         y, held, (row, col) = y[doc], held[doc], _features(p)
-        used, col = np.unique(col, return_inverse=True)
+        known = np.isin(col, used)
+        row, col = row[known], np.searchsorted(used, col[known])
+        scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(y))))
         order = np.argsort(row, kind="stable")
         row, col = row[order], col[order]
-        w, bias = self._fit(row, col, y, ~held, len(used))
-        scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(y))))
+        w, bias = self._fit(row, col, y, scale, ~held, len(used))
         z = (self._sum(w, row, col, len(y)) * scale[:, None] + bias)[held]
-        losses = [(-np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), y[held]], 1e-12)).mean(), t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)] if held.any() else [(0, 1.0)]
+        losses = [(-np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), y[held]], 1e-12)).mean(), t) for t in TEMPERATURES] if held.any() else [(0, 1.0)]
         self.temperature = min(losses)[1]
-        w, self.bias = self._fit(row, col, y, np.ones(len(y), bool), len(used))
-        some = np.flatnonzero(np.abs(w).max(1) > 0)
-        self.weights = w[some]
+        w, self.bias = self._fit(row, col, y, scale, np.ones(len(y), bool), len(used))
+        self.weights = w
         self.slot = np.full(1 << BITS, -1, np.int32)
-        self.slot[used[some]] = np.arange(len(some))
+        self.slot[used] = np.arange(len(used))
 
-    def _fit(self, row: np.ndarray, col: np.ndarray, y: np.ndarray, chosen: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray]:
+    def _fit(self, row: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, chosen: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray]:
         """Weights and biases from the chosen examples, each class weighing the same."""
         own = chosen[row]
         at = np.cumsum(chosen) - 1
-        row, col, y = at[row[own]], col[own], y[chosen]
+        row, col, y, scale = at[row[own]], col[own], y[chosen], scale[chosen]
         n, c = len(y), len(self.families)
         weight = 1.0 / np.maximum(1, np.bincount(y, minlength=c))[y]
         weight /= weight.sum()
         w, bias = np.zeros((used, c)), np.zeros(c)
         square, target = np.full((used, c), 1e-8), np.eye(c)[y]
-        scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))
         for _ in range(EPOCHS):
             z = self._sum(w, row, col, n) * scale[:, None] + bias
             q = _softmax(z) - target
@@ -280,8 +286,7 @@ class Classifier:
         k = np.repeat(lo[maybe], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         inside = at[k] + n[k] <= p.last[maybe][par]
         z = self._sum(self.weights, par[inside], slot[k[inside]], len(maybe))
-        words = p.last[maybe] - p.first[maybe]
-        size = sum(np.maximum(words - m + 1, 0) for m in range(1, GRAMS + 1))
+        size = np.bincount(par[inside], minlength=len(maybe))
         q = _softmax((z / np.sqrt(np.maximum(size, 1))[:, None] + self.bias) / self.temperature)
         best = q.argmax(1)
         pair = p.grams()[1]

@@ -82,13 +82,12 @@ def brute(model, text):
             yield s, h
 
     for far, (i, j) in [(0, w) for w in windows] + [(1, w) for w in across]:
-        z, seen, some = np.zeros(len(model.families)), 0, False
+        z, seen = np.zeros(len(model.families)), 0
         for n in range(1, L.GRAMS + 1):
             for _, h in grams(i, j, n):
-                seen += 1
                 if (slot := model.slot[h >> 64 - L.BITS]) >= 0:
-                    z, some = z + model.weights[slot], True
-        if not some:
+                    z, seen = z + model.weights[slot], seen + 1
+        if not seen:
             continue
         q = np.exp((z / np.sqrt(seen) + model.bias) / model.temperature)
         q /= q.sum()
