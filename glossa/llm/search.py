@@ -17,7 +17,7 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_BYTES = 5000, 16 << 20  # of one shard; a document is never cut
 QUERY_BYTES = 16 << 20  # text of the queries that are broadcast at a time
-BLOCK = 4  # 16 documents share a block maximum
+BLOCK = 5  # 32 documents share a block maximum
 EPS = 1e-6  # scores are compared after rounding to 6 decimals
 SPARSE = 1 / 8  # share of blocks up to which only their own postings are read
 SLACK = np.float32(1 + 1e-4)  # bounds are summed in single precision
@@ -105,30 +105,29 @@ class _Shard:
         self.ids = np.frombuffer(row["ids"], np.int64)
         lens = np.frombuffer(row["lens"], np.int32)
         terms = np.frombuffer(row["terms"], np.uint64)
-        self.end = np.frombuffer(row["ends"], np.int32).astype(np.int64)
-        self.start = np.concatenate(([0], self.end[:-1])) if len(self.end) else self.end
-        self.doc = np.frombuffer(row["docs"], np.int32)
-        tf = np.frombuffer(row["tfs"], np.int32).astype(np.float64)
-        norm = K1 * (1 - B + B * lens / mean) if mean else np.full(len(lens), K1)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
+        end = np.frombuffer(row["ends"], np.int32).astype(np.int64)
         place = np.minimum(np.searchsorted(terms, asked), max(len(terms) - 1, 0))
         here = terms[place] == asked if len(terms) else np.zeros(len(asked), bool)
         own = place[here]
         self.slot = np.full(len(asked), -1)
         self.slot[here] = np.arange(len(own))
-        self.start, self.end = self.start[own], self.end[own]
-        at, count = _spread(self.start, self.end)
-        term, block = np.repeat(np.arange(len(own)), count), self.doc[at] >> BLOCK
+        at, count = _spread(np.concatenate(([0], end[:-1]))[own] if len(own) else own, end[own])
+        self.doc = np.frombuffer(row["docs"], np.int32)[at]
+        tf = np.frombuffer(row["tfs"], np.int32)[at].astype(np.float64)
+        norm = K1 * (1 - B + B * lens / mean) if mean else np.full(len(lens), K1)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
+        self.end = np.cumsum(count)
+        self.start = self.end - count
+        term = np.repeat(np.arange(len(own)), count)
+        self.key = term * len(self.ids) + self.doc  # ascending
+        block = self.doc >> BLOCK
         new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(at) else np.zeros(0, np.int64)
         self.most = np.zeros((len(own), (len(self.ids) >> BLOCK) + 1), np.float32)
         if len(at):
-            self.most[term[new], block[new]] = np.maximum.reduceat(self.impact[at], new)
+            self.most[term[new], block[new]] = np.maximum.reduceat(self.impact, new)
         self.top = self.most.max(1, initial=0)
-        self.block, self.from_ = block[new], at[new]  # entries: runs of postings of one term in one block
-        self.to = at[np.append(new[1:], len(at)) - 1] + 1 if len(at) else at
+        self.block, self.from_, self.to = block[new], new, np.append(new[1:], len(at))  # runs of postings of one term in one block
         self.first = np.searchsorted(term[new], np.arange(len(own) + 1))
-        self.key = term * len(self.ids) + self.doc[at]  # ascending
-        self.gain = self.impact[at]
 
     def search(self, slots: np.ndarray, idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of at least `least` (all that match, if it is 0), by block-max WAND.
@@ -174,7 +173,7 @@ class _Shard:
             lo = max(0, hi - 16)
             want = (slots[lo:hi, None] * n + found[None, :]).ravel()
             p = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            gain = np.where(self.key[p] == want, self.gain[p], 0).reshape(hi - lo, -1)
+            gain = np.where(self.key[p] == want, self.impact[p], 0).reshape(hi - lo, -1)
             s = s + idf[lo:hi] @ gain
             left = float(total[lo - 1]) if lo else 0.0
         keep = s >= least - EPS
