@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: dict[int, list[str]] = {}
+_KEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,23 @@ def discard(*tables: DataFrame) -> None:
         spark = t.sparkSession
         _delete(spark, t._written)
         _WRITTEN[id(spark)].remove(t._written)
+        _KEPT.discard(t._written)
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside are deleted at the end, but for those given to keep()."""
+    before = set(_WRITTEN.setdefault(id(spark), []))
+    yield
+    for path in [p for p in _WRITTEN[id(spark)] if p not in before and p not in _KEPT]:
+        _delete(spark, path)
+        _WRITTEN[id(spark)].remove(path)
+
+
+def keep(written: DataFrame) -> DataFrame:
+    """A table that materialize() wrote outlives the block of temporaries() around it, until discard() or cleanup()."""
+    _KEPT.add(written._written)
+    return written
 
 
 def cleanup(spark: SparkSession) -> None:

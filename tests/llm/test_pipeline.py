@@ -47,6 +47,16 @@ def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing):
                 assert out.columns == docs.columns
 
 
+def test_run_leaves_only_what_its_result_reads(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    P.run(spark, SF).collect()
+    left = {x.name.rsplit("-", 1)[0] for x in set(shared.iterdir()) - before}
+    assert left == {"pipeline-benchmark_leaks", "packing"}
+
+
 def test_registered():
     assert P.ORACLE_SQL is None and "pipeline" in queries.QUERIES
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES if q.startswith("op"))
