@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import decontaminate, langid, neardup, packing, sentences
-from glossa.llm.common import materialize, table
+from glossa.llm.common import discard, keep, materialize, table, temporaries
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,7 +39,7 @@ def repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item; a null doc_id saves no leak."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -60,10 +60,16 @@ ORACLE_SQL = None  # models, sketches and tokenizers are not SQL; tests compare
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; every result but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    """All stages in order over documents; every result but the last is written, and deleted when the next one is.
+
+    What a stage writes for itself goes with it. Null, empty, very long and repeated texts, ties and extra columns are
+    treated as the stages' operators say; empty documents or an empty benchmark give empty stages or drop nothing.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with temporaries(spark):
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
