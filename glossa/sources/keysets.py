@@ -34,7 +34,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     The last tab divides if a number follows it; otherwise the whole line is the key and the weight 1. One carriage
     return at the end of a line is dropped. An empty line is the empty key.
     """
-    line = F.regexp_replace(F.col(column), r"\r$", "")
+    line = F.regexp_replace(F.col(column), r"\r\z", "")
     tail = F.substring_index(line, "\t", -1)
     weighted = F.contains(line, F.lit("\t")) & tail.rlike(_NUMBER)
     text = F.when(weighted, F.left(line, F.char_length(line) - F.char_length(tail) - 1)).otherwise(line)

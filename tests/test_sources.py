@@ -14,6 +14,11 @@ def test_lines(spark):
     ]
 
 
+def test_one_carriage_return_goes(spark):
+    df = spark.createDataFrame([("ab\r\r",), ("ab\r",), ("\r\r\r",), ("a\rb",), ("k\t2\r",)], "value string")
+    assert [(bytes(r.key), r.weight) for r in keysets.parse_lines(df).collect()] == [(b"ab\r", 1.0), (b"ab", 1.0), (b"\r\r", 1.0), (b"a\rb", 1.0), (b"k", 2.0)]
+
+
 def test_nan_weights_raise(spark):
     df = spark.createDataFrame([("n\tnan",)], "value string")
     with pytest.raises(Exception, match="NaN"):
