@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bytestrings import common_prefix, empty, prefix
 from ..functions.config import DictConfig
-from ..plans.stage import global_rank, staged, with_next
+from ..plans.stage import global_rank, intermediate, staged, with_next
+
+LOCUS = 256  # bytes of the longest prefixes that the locus table holds
 
 
 @dataclass(frozen=True)
@@ -35,71 +37,84 @@ def branch_nodes(distinct: DataFrame, rows: int) -> DataFrame:
     return distinct.select(F.col("key").alias("path")).unionByName(fork).unionByName(root).distinct()
 
 
+def digest(path: Column) -> Column:
+    """128 bits that stand for a path of any length in joins."""
+    return F.unhex(F.md5(path))
+
+
 def build_tables(keys: DataFrame, config: DictConfig) -> Tables:
-    """keys(key, weight) to the dictionary's tables.
+    """keys(key, weight) to the dictionary's tables; what is written on the way is deleted.
 
     Siblings are ordered by the 32-bit sum of weights below them, heaviest first, then by label (order weight), or by
     label alone (order label). key_id is the rank of the key's node in breadth-first order among nodes that are keys,
     dfs_rank the rank in pre-order. Both are ranks of rank_path, the two-digit hexadecimal sibling ranks from the root:
     pre-order is its order, breadth-first its order by length first.
+
+    Ancestors are found by an equi-join on digests of prefixes, so that no prefix is shuffled itself, however long keys
+    are; the root, which is above every node, takes no part in it.
     """
-    distinct = staged(distinct_keys(keys), "keys")
-    rows = distinct.count()
-    paths = branch_nodes(distinct, rows).join(distinct.select(F.col("key").alias("path"), "weight"), "path", "left")
-    paths = staged(paths, "paths")
-    # every node with each of its ancestors and itself: an equi-join on exploded prefixes of lengths that nodes have
-    lengths = paths.select(F.octet_length("path").alias("n")).distinct()
-    longest = 4096
-    some = [r[0] for r in lengths.limit(longest + 1).collect()]
-    at = F.sequence(F.lit(0), F.octet_length("path"))
-    if len(some) <= longest:
-        at = F.filter(F.array(*[F.lit(n) for n in sorted(some)]), lambda n: n <= F.octet_length("path"))
-    pre = paths.select("path", "weight", F.explode(at).alias("n")).select("path", "weight", prefix("path", "n").alias("anc"))
-    lineage = staged(pre.join(paths.select(F.col("path").alias("anc")), "anc"), "lineage")
-
-    above = lineage.where("octet_length(anc) < octet_length(path)").groupBy("path").agg(F.max_by("anc", F.octet_length("anc")).alias("parent"))
-    below = lineage.groupBy("anc").agg(F.sum("weight").cast("float").alias("subtree_weight")).withColumnRenamed("anc", "path")
-    first = [F.desc("subtree_weight")] if config.order == "weight" else []
-    sib = W.partitionBy("parent").orderBy(*first, "path")
-    ranked = above.join(below, "path").withColumn("sib_rank", F.row_number().over(sib) - 1)
-    ranked = staged(ranked, "siblings")
-
-    step = F.struct(F.octet_length("anc").alias("n"), F.lpad(F.hex("sib_rank"), 2, "0").alias("h"))
-    trail = lineage.select("path", "anc").join(ranked.select(F.col("path").alias("anc"), "sib_rank"), "anc").groupBy("path").agg(F.array_sort(F.collect_list(step)).alias("s"))
-    trail = trail.select("path", F.concat_ws("", F.transform("s", lambda x: x["h"])).alias("rank_path"))
-    nodes = paths.select("path", "weight").join(trail, "path", "left").withColumn("rank_path", F.coalesce("rank_path", F.lit("")))
-    terminal = nodes.where("weight is not null")
-    terminal = global_rank(terminal, [F.length("rank_path"), "rank_path"], "key_id", rows)
-    terminal = global_rank(terminal, ["rank_path"], "dfs_rank", rows)
-    out_keys = terminal.select(F.col("path").alias("key"), "weight", "key_id", "dfs_rank", (F.length("rank_path") / 2).cast("int").alias("depth"))
-    out_keys = staged(out_keys, "dictionary-keys")
-    span = lineage.where("weight is not null").join(out_keys.select(F.col("key").alias("path"), "dfs_rank"), "path")
-    span = span.groupBy("anc").agg(F.min("dfs_rank").alias("dfs_lo"), F.max("dfs_rank").alias("dfs_hi")).withColumnRenamed("anc", "path")
-    root_weight = below.where("octet_length(path) = 0").select(F.col("path"), F.col("subtree_weight").alias("root_weight"))
-    out_nodes = (
-        nodes.join(ranked, "path", "left")
-        .join(span, "path", "left")
-        .join(root_weight, "path", "left")
-        .select(
-            "path",
-            "parent",
-            (F.length("rank_path") / 2).cast("int").alias("depth"),
-            "sib_rank",
-            "rank_path",
-            F.coalesce("subtree_weight", "root_weight").alias("subtree_weight"),
-            F.col("weight").isNotNull().alias("is_terminal"),
-            "dfs_lo",
-            "dfs_hi",
+    with intermediate(keys.sparkSession) as keep:
+        distinct = staged(distinct_keys(keys), "keys")
+        rows, total = distinct.agg(F.count(F.lit(1)), F.sum("weight")).first()
+        paths = branch_nodes(distinct, rows).join(distinct.select(F.col("key").alias("path"), "weight"), "path", "left")
+        paths = staged(paths.select("path", "weight", digest(F.col("path")).alias("id"), F.octet_length("path").alias("n")), "paths")
+        inner = paths.where("n > 0")
+        # every node with each of its ancestors below the root and itself, by the lengths that nodes have
+        longest = 4096
+        some = sorted(r[0] for r in inner.select("n").distinct().limit(longest + 1).collect())
+        at = F.sequence(F.lit(1), F.col("n"))
+        if some and len(some) <= longest:
+            at = F.filter(F.array(*[F.lit(n) for n in some]), lambda m: m <= F.col("n"))
+        pre = inner.select("id", "weight", "n", "path", F.explode(at).alias("m")).select("id", "weight", "n", "m", digest(prefix("path", "m")).alias("anc"))
+        lineage = staged(pre.join(inner.select(F.col("id").alias("anc")), "anc"), "lineage")
+
+        root = digest(empty())
+        above = lineage.groupBy("id").agg(F.coalesce(F.max_by("anc", F.when(F.col("m") < F.col("n"), F.col("m"))), root).alias("parent_id"))
+        below = lineage.groupBy("anc").agg(F.sum("weight").cast("float").alias("subtree_weight")).withColumnRenamed("anc", "id")
+        first = [F.desc("subtree_weight")] if config.order == "weight" else []
+        sib = W.partitionBy("parent_id").orderBy(*first, "path")
+        ranked = above.join(below, "id").join(inner.select("id", "path"), "id").withColumn("sib_rank", F.row_number().over(sib) - 1).drop("path")
+        ranked = staged(ranked, "siblings")
+
+        step = F.struct("m", F.lpad(F.hex("sib_rank"), 2, "0").alias("h"))
+        trail = lineage.select("id", "anc", "m").join(ranked.select(F.col("id").alias("anc"), "sib_rank"), "anc").groupBy("id").agg(F.array_sort(F.collect_list(step)).alias("s"))
+        trail = trail.select("id", F.concat_ws("", F.transform("s", lambda x: x["h"])).alias("rank_path"))
+        nodes = staged(paths.join(trail, "id", "left").withColumn("rank_path", F.coalesce("rank_path", F.lit(""))), "nodes")
+        terminal = nodes.where("weight is not null").select("path", "weight", "id", "rank_path")
+        terminal = global_rank(terminal, [F.length("rank_path"), "rank_path"], "key_id", rows)
+        terminal = staged(global_rank(terminal, ["rank_path"], "dfs_rank", rows), "ranks")
+        out_keys = terminal.select(F.col("path").alias("key"), "weight", "key_id", "dfs_rank", (F.length("rank_path") / 2).cast("int").alias("depth"))
+        out_keys = keep(staged(out_keys, "dictionary-keys"))
+        span = lineage.where("weight is not null").select("id", "anc").join(terminal.select("id", "dfs_rank"), "id")
+        span = span.groupBy("anc").agg(F.min("dfs_rank").alias("dfs_lo"), F.max("dfs_rank").alias("dfs_hi")).withColumnRenamed("anc", "id")
+        at_root = F.col("n") == 0
+        bound = lambda c, of_root: F.when(at_root, F.lit(of_root if rows else None).cast("long")).otherwise(F.col(c)).alias(c)
+        out_nodes = (
+            nodes.join(ranked, "id", "left")
+            .join(span, "id", "left")
+            .join(paths.select(F.col("id").alias("parent_id"), F.col("path").alias("parent")), "parent_id", "left")
+            .select(
+                "path",
+                "parent",
+                (F.length("rank_path") / 2).cast("int").alias("depth"),
+                "sib_rank",
+                "rank_path",
+                F.when(at_root, F.lit(total).cast("float")).otherwise(F.col("subtree_weight")).alias("subtree_weight"),
+                F.col("weight").isNotNull().alias("is_terminal"),
+                bound("dfs_lo", 0),
+                bound("dfs_hi", rows - 1),
+            )
         )
-    )
-    return Tables(out_keys, staged(out_nodes, "dictionary-nodes"))
+        return Tables(out_keys, keep(staged(out_nodes, "dictionary-nodes")))
 
 
 def locus_table(nodes: DataFrame) -> DataFrame:
-    """(prefix, dfs_lo, dfs_hi): every byte prefix of a key with the range of pre-order ranks of the keys below.
+    """(prefix, dfs_lo, dfs_hi): every prefix of a key of up to LOCUS bytes with the range of ranks of the keys below.
 
-    A prefix that ends within an edge has the range of the node the edge leads to.
+    A prefix that ends within an edge has the range of the node the edge leads to. Longer prefixes are few in use and
+    costly to keep, as their bytes grow with the square of a key's; searches find them by the keys (see ranges).
     """
-    some = nodes.where("dfs_lo is not null")
     from_ = F.coalesce(F.octet_length("parent") + 1, F.lit(0))
-    return some.select(F.explode(F.sequence(from_, F.octet_length("path"))).alias("n"), "path", "dfs_lo", "dfs_hi").select(prefix("path", "n").alias("prefix"), "dfs_lo", "dfs_hi")
+    to = F.least(F.octet_length("path"), F.lit(LOCUS))
+    some = nodes.where("dfs_lo is not null").where(from_ <= LOCUS)
+    return some.select(F.explode(F.sequence(from_, to)).alias("n"), "path", "dfs_lo", "dfs_hi").select(prefix("path", "n").alias("prefix"), "dfs_lo", "dfs_hi")

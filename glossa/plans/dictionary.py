@@ -13,7 +13,7 @@ from ..functions.config import DictConfig
 from ..operators import build as _build
 from ..operators import search as _search
 from ..sources import storage as _storage
-from .stage import staged
+from .stage import release, staged
 
 LENGTHS = 4096
 
@@ -64,11 +64,23 @@ class Dictionary:
         return Dictionary(self.keys.cache(), self.nodes.cache(), self.locus.cache(), self.config, self.path)
 
     def clear(self) -> None:
+        """Free cached tables, and delete those of a dictionary that was built and never stored. It answers no more."""
         for t in (self.keys, self.nodes, self.locus):
             t.unpersist()
+        if self.path is None:
+            release(self.keys, self.nodes, self.locus)
+
+    def swap(self, other: Dictionary) -> tuple[Dictionary, Dictionary]:
+        """The other and this one: `a, b = a.swap(b)`. Dictionaries don't change, so names are exchanged."""
+        return other, self
 
     # -- querying
 
+    @cached_property
+    def long_keys(self) -> bool:
+        """Whether some key is longer than the locus table's prefixes. Read once."""
+        return not self.keys.where(F.octet_length("key") > _build.LOCUS).isEmpty()
+
     @cached_property
     def key_lengths(self) -> list[int] | None:
         """The byte lengths of keys, or None if there are more than LENGTHS of them. Read once."""
@@ -94,10 +106,10 @@ class Dictionary:
         return _search.longest_prefix(queries, self.keys, self.key_lengths)
 
     def predictive_search(self, queries: DataFrame, limit: int = 0, keep_missing: bool = False) -> DataFrame:
-        return _search.predictive_search(queries, self.keys, self.locus, limit, keep_missing)
+        return _search.predictive_search(queries, self.keys, self.locus, limit, keep_missing, self.long_keys)
 
     def predictive_count(self, queries: DataFrame) -> DataFrame:
-        return _search.predictive_count(queries, self.locus)
+        return _search.predictive_count(queries, self.keys, self.locus, self.long_keys)
 
     def starts_with(self, query: bytes) -> DataFrame:
         return _search.starts_with(self.keys, query)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,11 +25,54 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the intermediate tables if there is a block of them."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once in the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_staged", None):
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are staged inside are deleted at the end, but for those given to the function that this yields."""
+    kept: set[str] = set()
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.add(t._staged)
+        return t
+
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        for path in _SCOPES.pop():
+            if path not in kept:
+                _delete(spark, path)
 
 
 def global_rank(df: DataFrame, order: list[Column | str], out: str, rows: int) -> DataFrame:

@@ -20,7 +20,12 @@ def lookup_stream(stream: DataFrame, dictionary: Dictionary, column: str = "valu
 
 
 def predictive_count_stream(stream: DataFrame, dictionary: Dictionary, column: str = "value") -> DataFrame:
-    """The stream's columns, query and n_found, the number of keys that start with it."""
+    """The stream's columns, query and n_found, the number of keys that start with it.
+
+    A stateless join can't count the keys of queries beyond the locus table's prefixes: ValueError if there are such keys.
+    """
+    if dictionary.long_keys:
+        raise ValueError("the dictionary has keys longer than its locus prefixes; count those queries in batches")
     return _queries(stream, column).join(dictionary.locus.withColumnRenamed("prefix", "query"), "query", "left").withColumn("n_found", F.coalesce(F.col("dfs_hi") - F.col("dfs_lo") + 1, F.lit(0).cast("long"))).drop("dfs_lo", "dfs_hi")
 
 

@@ -77,6 +77,55 @@ def test_limits_counts_and_misses(spark, words):
     assert [(r.query_id, bytes(r.key)) for r in long] == [(0, b"application")]
 
 
+def test_repeated_queries_and_null_ids_are_answered_each(spark, words):
+    rows = [(1, b"apples"), (1, b"apples"), (None, b"apples"), (None, b"zebra"), (2, None), (2, b"apples")]
+    q = spark.createDataFrame([(i, None if v is None else bytearray(v)) for i, v in rows], "query_id long, query binary")
+    text = lambda v: None if v is None else bytes(v).decode()
+    found = [(r.query_id, text(r.query), r.ordinal, text(r.key), r.n_found) for r in words.common_prefix_search(q, keep_missing=True).collect()]
+    hits = [(0, "a", 3), (1, "app", 3), (2, "apple", 3)]
+    want = [(i, "apples", *h) for i in (1, 1, None, 2) for h in hits] + [(None, "zebra", None, None, 0), (2, None, None, None, 0)]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+    assert words.common_prefix_search(q).count() == 12
+    assert [text(r.key) for r in words.longest_prefix(q).collect()] == ["apple"] * 4
+    p = spark.createDataFrame([(1, bytearray(b"ban")), (1, bytearray(b"ban")), (None, bytearray(b"ban")), (None, bytearray(b"x")), (None, None)], "query_id long, query binary")
+    found = [(r.query_id, text(r.query), r.ordinal, text(r.key), r.n_found) for r in words.predictive_search(p, keep_missing=True).collect()]
+    want = [(i, "ban", k, w, 3) for i in (1, 1, None) for k, w in enumerate(("banana", "band", "bank"))] + [(None, "x", None, None, 0), (None, None, None, None, 0)]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+
+
+def test_long_keys_cost_linear_bytes(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(1)
+    stem = bytes(rnd.choices(b"abc", k=19_000))
+    keys = [stem + b"x" * 1000, stem + b"xy", stem[:500] + b"z", b"short", stem[:257], stem[:256]]
+    d, model = Dictionary.from_rows(spark, keys), Model([(k, 1.0) for k in keys])
+    assert ids(d) == model.ids and d.long_keys
+    assert d.locus.agg(F.sum(F.octet_length("prefix"))).first()[0] < 2 * 257 * 256
+    probes = [stem[:n] for n in (0, 10, 255, 256, 257, 258, 499, 501, 19_000, 18_999)] + [stem + b"xxx", stem + b"y", stem[:500] + b"z", stem[:300] + b"q"]
+    found = {}
+    for r in d.predictive_search(queries(spark, *probes)).orderBy("ordinal").collect():
+        found.setdefault(bytes(r.query), []).append(bytes(r.key))
+    assert found == {p: v for p in probes if (v := [k for k in model.preorder if k.startswith(p)])}
+    counts = {bytes(r.query): r.n_found for r in d.predictive_count(queries(spark, *probes)).collect()}
+    assert counts == {p: sum(k.startswith(p) for k in model.preorder) for p in probes}
+
+
+def test_tables_of_a_build_are_deleted(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    d = Dictionary.from_rows(spark, WORDS)
+    assert {x.name.rsplit("-", 1)[0] for x in set(shared.iterdir()) - before} == {"dictionary-keys", "dictionary-nodes", "locus"}
+    other = Dictionary.from_rows(spark, ["b"])
+    a, b = d.swap(other)
+    assert (a.size(), b.size()) == (1, 15)
+    d.clear()
+    other.clear()
+    assert set(shared.iterdir()) == before
+
+
 def test_starts_with_is_a_range(words, tmp_path):
     stored = words.save(str(tmp_path / "d"))
     df = stored.starts_with(b"app")
