@@ -16,12 +16,13 @@ from .operators import search as ops
 from .plans.dictionary import Dictionary
 from .plans.stage import shared_folder
 from .sources import keysets
+from .streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_BUILT: dict[tuple[str, str, str, str], Dictionary] = {}
+_BUILT: dict[tuple, Dictionary] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +56,19 @@ BAGS = {
 }
 
 
+_TABLE_OF = {"tokens": "documents", "urls": "pages", "sites": "pages", "parts": "part", "customers": "customer"}
+
+
+def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
+    """Time of change and bytes of a table's files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getFileStatus(p).getModificationTime()), int(fs.getContentSummary(p).getLength())
+
+
 def dictionary(spark: SparkSession, sf_dir: str, source: str, order: str = "weight") -> Dictionary:
-    """A dictionary is built once in an application and queried many times."""
-    key = (spark.sparkContext.applicationId, sf_dir, source, order)
+    """A dictionary is built once in an application for a state of its table, and queried many times."""
+    key = (spark.sparkContext.applicationId, sf_dir, source, order, _state(spark, sf_dir, _TABLE_OF[source]))
     if key not in _BUILT:
         _BUILT[key] = Dictionary.build(SOURCES[source](spark, sf_dir), DictConfig(order=order))
     return _BUILT[key]
@@ -329,3 +340,172 @@ def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = dictionary(spark, sf_dir, "parts").save(f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}")
     return stored.dump().select("dfs_rank", "key_id", display("key").alias("key"))
+
+
+# ---------------------------------------------------------------- repeated queries, nulls, statistics, memory, text files
+
+
+@_register(
+    trie_sql(BAGS["sites"])
+    + ", q as (select row_number() over () n, * from (select 1 query_id, url q from pages union all select 1, url from pages union all select null, url from pages union all select 2, null from pages)) "
+    "select query_id, q query, case when k is not null then (row_number() over (partition by n order by length(k)) - 1)::int end ordinal, key_id, k as \"key\", count(k) over (partition by n) n_found from q left join ids on starts_with(q, k)"
+)
+def common_prefix_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dictionary(spark, sf_dir, "sites").common_prefix_search(_repeated(_table(spark, sf_dir, "pages").select(F.col("url").alias("q"))), keep_missing=True)
+    return found.select("query_id", display("query").alias("query"), "ordinal", "key_id", display("key").alias("key"), "n_found")
+
+
+def _repeated(names: DataFrame) -> DataFrame:
+    """Each query twice under one id and once without id, and null queries."""
+    one, none = names.select(F.lit(1).alias("query_id"), "q"), names.select(F.lit(None).cast("int"), "q")
+    return one.unionAll(one).unionAll(none).unionAll(names.select(F.lit(2), F.lit(None).cast("string"))).select("query_id", F.col("q").cast("binary").alias("query"))
+
+
+@_register(
+    trie_sql(BAGS["parts"])
+    + f", s as (select * from {_STEMS}), q as (select row_number() over () n, * from (select 1 query_id, q from s union all select 1, q from s union all select null, q from s union all select 2, null from s)) "
+    "select query_id, q query, case when k is not null then (row_number() over (partition by n order by dfs_rank) - 1)::int end ordinal, key_id, k as \"key\", count(k) over (partition by n) n_found from q left join ids on starts_with(k, q)"
+)
+def predictive_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stems = _stems(spark, sf_dir).select(F.col("query_id").alias("q"))
+    found = dictionary(spark, sf_dir, "parts").predictive_search(_repeated(stems), keep_missing=True)
+    return found.select("query_id", display("query").alias("query"), "ordinal", "key_id", display("key").alias("key"), "n_found")
+
+
+@_register(trie_sql(BAGS["tokens"]) + _IDS)
+def build_ids_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(dictionary(spark, sf_dir, "tokens"))
+
+
+_CONFIG = "3 num_tries, 'text' tail_mode, 'weight' node_order, 'normal' cache_level, false is_empty"
+
+
+@_register(trie_sql(BAGS["urls"]) + f"select (select count(*) from keyset) num_keys, (select count(*) from nodes) num_nodes, (select max(length(rp) // 2)::int from path) max_depth, {_CONFIG}")
+def dictionary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir, "urls")
+    return d.statistics().withColumn("is_empty", F.lit(d.empty()))
+
+
+@_register(trie_sql(BAGS["parts"]) + f"select (select count(*) from keyset) num_keys, (select count(*) from nodes) num_nodes, (select max(length(rp) // 2)::int from path) max_depth, {_CONFIG}, true has_bytes, true has_estimate")
+def stored_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    dictionary(spark, sf_dir, "parts").save(path)
+    d = Dictionary.mmap(spark, path)  # a header of another format raises
+    return d.statistics().select("*", F.lit(d.empty()).alias("is_empty"), F.lit(d.io_size() > 0).alias("has_bytes"), F.lit(d.total_size() > 0).alias("has_estimate"))
+
+
+_REGIONS = "select r_name k, r_regionkey::double w from region"
+
+
+@_register(trie_sql(_REGIONS) + _IDS)
+def build_from_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "region").select("r_name", "r_regionkey").collect()  # five regions
+    return _ids(Dictionary.from_rows(spark, [(r[0], float(r[1])) for r in rows]))
+
+
+@_register("select p_name as \"key\", p_size::float::double weight from part union all select p_brand, 1.0 from part")
+def read_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, folder = _table(spark, sf_dir, "part"), f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    part.select(F.concat_ws("\t", "p_name", F.col("p_size").cast("string"))).unionAll(part.select(F.concat("p_brand", F.lit("\r")))).write.text(folder)
+    return keysets.read_lines(spark, folder).select(display("key").alias("key"), "weight")
+
+
+@_register(
+    "select * from (values ('ab\r', 1.0::double), ('ab', 1.0), ('ab', 2.5), ('a' || chr(9) || 'b', 3.0), ('', 1.0)) t(\"key\", weight)".replace("\r", "' || chr(13) || '")
+)
+def parse_carriage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([("ab\r\r",), ("ab\r",), ("ab\t2.5\r",), ("a\tb\t3",), ("\r",)], "value string")
+    return keysets.parse_lines(lines).select(display("key").alias("key"), "weight")
+
+
+@_register(trie_sql(BAGS["customers"]) + "select concat(key_id, chr(9), k) line from ids where key_id in (select c_custkey from customer)")
+def reverse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("key_id"))
+    return render.reverse_lines(dictionary(spark, sf_dir, "customers").reverse_lookup(ids, "inner")).select("line")
+
+
+@_register(f"select count(*) num_keys, sum(octet_length(encode(k)))::bigint total_length from ({BAGS['sites']})")
+def bag_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keysets.statistics(SOURCES["sites"](spark, sf_dir))
+
+
+@_register("select p_partkey::bigint as \"position\", p_name as \"key\" from part where p_partkey = 7")
+def key_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("position"), F.col("p_name").cast("binary").alias("key"))
+    return keysets.at(placed, "position", 7).select("position", display("key").alias("key"))
+
+
+# ---------------------------------------------------------------- tools and streams
+
+
+@_register(
+    trie_sql(BAGS["parts"])
+    + """, q as (select n_nationkey n, n_name q from nation)
+select 'build' tool, 0 n, concat('#keys: ', (select count(*) from keyset)) line union all select 'build', 1, concat('#nodes: ', (select count(*) from nodes))
+union all select 'dump', dfs_rank, k from ids
+union all select 'lookup', dfs_rank, concat(key_id, chr(9), k) from ids
+union all select 'lookup', (select count(*) from ids) + row_number() over (order by n) - 1, concat('-1', chr(9), q) from q
+union all select 'reverse-lookup', dfs_rank, concat(key_id, chr(9), k) from ids
+union all select 'common-prefix-search', row_number() over (order by dfs_rank) - 1, line from (
+  select d.dfs_rank * 1000 dfs_rank, concat(count(*), ' found') line from ids d join ids i on starts_with(d.k, i.k) group by d.dfs_rank
+  union all select d.dfs_rank * 1000 + length(i.k), concat(i.key_id, chr(9), i.k, chr(9), d.k) from ids d join ids i on starts_with(d.k, i.k))
+union all select 'predictive-search', 0, concat((select count(*) from ids), ' found')
+union all select 'predictive-search', dfs_rank + 1, concat(key_id, chr(9), k, chr(9)) from ids where dfs_rank < 10
+"""
+)
+def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six command-line tools on the parts' names: their lines in order."""
+    import io
+
+    from .cli import run
+
+    path, lines = f"{shared_folder(spark)}/tools-{uuid.uuid4().hex}", []
+
+    def call(tool: str, argv: list[str], stdin: list[str] = ()) -> list[str]:
+        out, err = io.StringIO(), io.StringIO()
+        if run(spark, [tool, *argv], [x + "\n" for x in stdin], out, err):
+            raise RuntimeError(err.getvalue())
+        text = (err if tool == "build" else out).getvalue().splitlines()[: 2 if tool == "build" else None]
+        lines.extend((tool, n, x) for n, x in enumerate(text))
+        return text
+
+    bag = SOURCES["parts"](spark, sf_dir).select(F.concat_ws("\t", display("key"), F.col("weight").cast("string")).alias("line"))
+    bag.write.text(f"{path}-lines")
+    nations = [r[0] for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    call("build", ["-o", path, f"{path}-lines"])
+    names = call("dump", [path])
+    found = call("lookup", [path], names + nations)
+    call("reverse-lookup", [path], [x.split("\t")[0] for x in found[: len(names)]])
+    call("common-prefix-search", [path], names)
+    call("predictive-search", [path], [""])
+    return spark.createDataFrame(lines, "tool string, n long, line string")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, column: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A table's column as a stream of queries, answered into Parquet files."""
+    source = _table(spark, sf_dir, name)
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    answered = answer(stream.select(F.col(column).alias("value")))
+    answered.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(answered.schema).parquet(out)
+
+
+@_register(trie_sql(BAGS["customers"]) + "select c_name query, coalesce(key_id, -1) key_id from customer left join ids on k = c_name union all select n_name, -1 from nation")
+def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir, "customers")
+    parts = [_streamed(spark, sf_dir, t, c, lambda s: streams.lookup_stream(s, d)) for t, c in (("customer", "c_name"), ("nation", "n_name"))]
+    return parts[0].unionAll(parts[1]).select(display("query").alias("query"), "key_id")
+
+
+@_register(trie_sql(BAGS["parts"]) + "select n_name query, count(k) n_found from nation left join ids on starts_with(k, n_name) group by n_name")
+def stream_predictive_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir, "parts")
+    return _streamed(spark, sf_dir, "nation", "n_name", lambda s: streams.predictive_count_stream(s, d)).select(display("query").alias("query"), "n_found")
+
+
+@_register(trie_sql(BAGS["sites"]) + "select url query, length(k)::int key_length, key_id, k as \"key\" from pages join ids on starts_with(url, k)")
+def stream_common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir, "sites")
+    found = _streamed(spark, sf_dir, "pages", "url", lambda s: streams.common_prefix_stream(s, d))
+    return found.select(display("query").alias("query"), "key_length", "key_id", display("key").alias("key"))

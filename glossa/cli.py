@@ -13,8 +13,10 @@ from .functions import render
 from .functions.bytestrings import display
 from .functions.config import DictConfig
 from .plans.dictionary import Dictionary
+from .plans.stage import intermediate, scratch_path
 from .sources.keysets import parse_lines, read_lines
 
+PIECE = 1 << 20  # bytes of input that are held at a time
 CACHE_LEVELS = {1: "tiny", 2: "small", 3: "normal", 4: "large", 5: "huge"}
 
 
@@ -44,8 +46,22 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _lines(spark: SparkSession, lines: Iterable[str]) -> DataFrame:
-    rows = [(i, x.removesuffix("\n").removesuffix("\r")) for i, x in enumerate(lines)]
-    return spark.createDataFrame(rows, "query_id long, value string")
+    """Numbered lines of a text stream, which is written to the shared folder a piece at a time."""
+    path = scratch_path(spark, "lines")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    part, size = [], 0
+    for i, x in enumerate(lines):
+        part.append(f"{i}\t{x.removesuffix('\n').removesuffix('\r')}\n".encode("utf-8", "surrogateescape"))
+        size += len(part[-1])
+        if size >= PIECE:
+            out.write(bytearray(b"".join(part)))
+            part, size = [], 0
+    out.write(bytearray(b"".join(part)))
+    out.close()
+    text = spark.read.schema("line string").option("lineSep", "\n").text(path)
+    number = F.substring_index("line", "\t", 1)
+    return text.select(number.cast("long").alias("query_id"), F.substring("line", F.char_length(number) + 2, F.char_length("line")).alias("value"))
 
 
 def _print(df: DataFrame, order: list[str], column: str, end: str, out) -> None:
@@ -55,7 +71,11 @@ def _print(df: DataFrame, order: list[str], column: str, end: str, out) -> None:
 
 def run(spark: SparkSession, argv: list[str], stdin: Iterable[str] = (), out=None, err=None) -> int:
     """Exit codes: 0; 1 a bad argument; 10 unreadable input; 20 a dictionary that can't be opened; 30 a bad query or save."""
-    out, err = out or sys.stdout, err or sys.stderr
+    with intermediate(spark):
+        return _run(spark, argv, stdin, out or sys.stdout, err or sys.stderr)
+
+
+def _run(spark: SparkSession, argv: list[str], stdin: Iterable[str], out, err) -> int:
     try:
         a = _parser().parse_args(argv)
     except SystemExit as e:
@@ -77,6 +97,8 @@ def run(spark: SparkSession, argv: list[str], stdin: Iterable[str] = (), out=Non
         except Exception as e:
             err.write(f"{e}\n")
             return 30
+        finally:
+            built.clear()
         err.write(f"#keys: {d.size()}\n#nodes: {d.num_nodes()}\nsize: {d.io_size()}\n")
         return 0
     if a.command == "dump":
