@@ -97,8 +97,9 @@ c as (select *, max(st) over (partition by doc_id order by i rows unbounded prec
 u as (select doc_id, i from c where (i - ls) % 64 = 0 or i - ls >= 16 and hex(encode(word))[-1:] in ('0', '4', '8', 'C')),
 l as (select doc_id, list(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') order by i) w from x group by 1),
 e as (select doc_id, list_append(list(u.i order by u.i), any_value(len(l.w))::bigint) ed, any_value(w) w from u join l using (doc_id) group by doc_id),
-r as (select doc_id, ed[p] s, list_filter(ed[p + 3 :], lambda z : z - ed[p] >= 24)[1] t, w from e, unnest(range(1, len(ed))) q(p)),
-h as (select doc_id, s, t, row_number() over (partition by array_to_string(w[s + 1 : t], ' ') order by doc_id, s) nth from r where t is not null),
+r as (select doc_id, ed[p] s, list_filter(ed[p + 3 :], lambda z : z - ed[p] >= 24)[1] t, w from e, unnest(range(1, len(ed))) q(p)
+  union select doc_id, list_filter(ed[: greatest(p - 3, 0)], lambda z : ed[p] - z >= 24)[-1], ed[p], w from e, unnest(range(2, len(ed) + 1)) q(p)),
+h as (select doc_id, s, t, row_number() over (partition by array_to_string(w[s + 1 : t], ' ') order by doc_id, s) nth from r where s is not null and t is not null),
 g as (select distinct doc_id, unnest(range(s, t)) i from h where nth > 1),
 y as (select x.doc_id, string_agg(tok, '' order by x.i) filter (g.i is null) kept, count(g.i) n_words, count(u.i) filter (g.i is not null) n_units
   from x left join g using (doc_id, i) left join u on u.doc_id = x.doc_id and u.i = x.i group by 1)

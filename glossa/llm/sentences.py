@@ -41,16 +41,23 @@ def _units(w: Words) -> np.ndarray:
 
 
 def _runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word, word after the last, and two hashes of the shortest run from each sentence that has
-    SENTENCES sentences and LEAST words."""
+    """First word, word after the last, and two hashes of the shortest run from each sentence on, and of the shortest up
+    to each sentence, that have SENTENCES sentences and LEAST words.
+
+    Any longer run is made of these: its sentences are covered by the shortest runs from its sentences on that fit into
+    it, and the last ones by the shortest run up to its end. So they stand for every run.
+    """
     unit = _units(w)
     edge = np.append(unit, len(w.hash))
     if not len(unit):
         z = np.zeros(0, np.int64)
         return z, z, z.view(np.uint64), z.view(np.uint64)
     last = np.maximum(np.arange(len(unit)) + SENTENCES, np.searchsorted(edge, unit + LEAST))
-    ok = last < len(edge)
-    start, end = unit[ok], edge[last[ok]]
+    ok = np.flatnonzero(last < len(edge))
+    first = np.minimum(np.arange(1, len(edge)) - SENTENCES, np.searchsorted(edge, edge[1:] - LEAST, "right") - 1)
+    up = np.flatnonzero(first >= 0)
+    run = np.unique(np.concatenate((ok * len(edge) + last[ok], first[up] * len(edge) + up + 1)))
+    start, end = edge[run // len(edge)], edge[run % len(edge)]
     same = w.doc[start] == w.doc[end - 1]
     start, end = start[same], end[same]
     out = []

@@ -6,7 +6,7 @@ from glossa.llm.sentences import CUT, LEAST, LONGEST, PIECE, SENTENCES, dedup_se
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def brute(data: dict) -> dict:
+def brute(data: dict, every: bool = False) -> dict:
     seen: dict[tuple, list] = {}
     cut = {}
     for d in sorted(data):
@@ -20,10 +20,15 @@ def brute(data: dict) -> dict:
             elif i - last >= LONGEST and ws[i][2][-1] % CUT == 0 or (i - last) % PIECE == 0:
                 starts.append(i)
         edge = starts + [len(ws)]
+        runs = set()
         for i, s in enumerate(starts):
-            e = next((edge[j] for j in range(i + SENTENCES, len(edge)) if edge[j] - s >= LEAST), None)
-            if e is not None:
-                seen.setdefault(tuple(w for _, _, w in ws[s:e]), []).append((d, s, e))
+            if every:
+                runs |= {(s, edge[j]) for j in range(i + SENTENCES, len(edge)) if edge[j] - s >= LEAST}
+            else:
+                runs |= {(s, edge[j]) for j in range(i + SENTENCES, len(edge)) if edge[j] - s >= LEAST and (j == i + SENTENCES or edge[j - 1] - s < LEAST or j - i == SENTENCES)}
+                runs |= {(edge[j], edge[i + 1]) for j in range(i + 2 - SENTENCES) if edge[i + 1] - edge[j] >= LEAST and (j == i + 1 - SENTENCES or edge[i + 1] - edge[j + 1] < LEAST)}
+        for s, e in runs:
+            seen.setdefault(tuple(w for _, _, w in ws[s:e]), []).append((d, s, e))
         cut[d] = (ws, set())
     for places in seen.values():
         for d, s, e in sorted(places)[1:]:
@@ -51,12 +56,24 @@ def test_passages(spark):
     rows[40], rows[41] = (" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n)) + f" {plain} and so on" for n in (5, 9))
     df = spark.createDataFrame([(d, t, "x") for d, t in rows.items()], "doc_id long, text string, n_sentences_removed string")
     out = {r.doc_id: r for r in dedup_sentences(df).collect()}
-    assert {d: (r.text, r.n_words_removed) for d, r in out.items()} == brute({d: t.encode() for d, t in rows.items()})
+    assert {d: (r.text, r.n_words_removed) for d, r in out.items()} == brute({d: t.encode() for d, t in rows.items()}, every=True)
     assert out[1].text == rows[1] and out[0].text == rows[0] and passage not in out[3].text
     assert out[40].n_words_removed == 0 and out[41].n_words_removed > 30
     assert out[3].n_sentences_removed >= 8 and out[2].n_sentences_removed == 0
 
 
+def test_every_run_counts(spark):
+    """The last short sentences of a repeated passage go too: a longer run covers them."""
+    rnd = random.Random(8)
+    sentence = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n)) + "."
+    passage = [sentence(n) for n in (10, 10, 10, 2, 3, 1)]
+    rows = {i: " ".join([sentence(9), sentence(9), *passage, sentence(9), sentence(12)]) for i in range(4)}
+    rows |= {10 + i: " ".join(sentence(rnd.randint(1, 12)) for _ in range(rnd.randint(3, 20))) + " " + " ".join(passage[rnd.randint(0, 2) :][: rnd.randint(3, 6)]) for i in range(20)}
+    out = {r.doc_id: (r.text, r.n_words_removed) for r in dedup_sentences(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert out == brute({d: t.encode() for d, t in rows.items()}, every=True)
+    assert out[1][1] == 36 and not any(x in out[1][0] for x in passage)
+
+
 def test_awkward_rows(awkward, nothing):
     out = dedup_sentences(awkward)
     assert set(out.columns) == {*awkward.columns, "n_sentences_removed"} and out.count() == awkward.count()
