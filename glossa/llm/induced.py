@@ -7,7 +7,6 @@ at most about `limit` entries of a queue, a block of `limit` entries, and a coun
 from __future__ import annotations
 
 import bisect
-import heapq
 import tempfile
 from collections.abc import Iterator
 
@@ -126,81 +125,68 @@ class BucketQueue:
                 yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-class RunQueue:
-    """A priority queue of (symbol, order of arrival) with suffix and common-prefix values, for large alphabets.
+class Waiting:
+    """A monotone priority queue of (symbol, order of arrival) with suffix and common-prefix values, for large alphabets.
 
-    A heap of at most `limit` entries; it overflows into sorted runs on disk that are read back in blocks.
+    A list for each symbol that has entries, each `suffix << 8 | common prefix`; beyond `limit` entries they go to disk as
+    a run in the order of symbols. Symbols are asked for in ascending order, so every run is read once from front to back.
     """
 
     BLOCK = 4096
 
     def __init__(self, scratch: Scratch, limit: int):
-        self.scratch, self.limit, self.tick = scratch, limit, 0
-        self.heap: list[int] = []
-        self.runs: list[Iterator[int]] = []
-        self.heads: list[tuple[int, int]] = []
-
-    def push(self, symbol: int, suffix: int, lcp: int) -> None:
-        self.tick += 1
-        heapq.heappush(self.heap, (symbol << 32 | self.tick) << 64 | suffix << 8 | lcp)
-        if len(self.heap) > self.limit:
-            self.heap.sort()
-            f, mask = self.scratch.file(), (1 << 64) - 1
-            for i in range(0, len(self.heap), self.BLOCK):
-                part = self.heap[i : i + self.BLOCK]
-                f.write(np.array([(x >> 64, x & mask) for x in part], np.int64).tobytes())
-            f.seek(0)
-            self.scratch.spilled += len(self.heap)
-            self.heap = []
-            self.runs.append(self._read(f))
-            self._next(len(self.runs) - 1)
-
-    def _read(self, f) -> Iterator[int]:
-        while data := f.read(16 * self.BLOCK):
-            for a, b in np.frombuffer(data, np.int64).reshape(-1, 2).tolist():
-                yield a << 64 | b
-
-    def _next(self, run: int) -> None:
-        if (item := next(self.runs[run], None)) is not None:
-            heapq.heappush(self.heads, (item, run))
-
-    def symbol(self) -> int | None:
-        """The least symbol that is waiting."""
-        if not self.heads:
-            return self.heap[0] >> 96 if self.heap else None
-        return (min(self.heap[0], self.heads[0][0]) if self.heap else self.heads[0][0]) >> 96
-
-    def pop(self) -> tuple[int, int]:
-        if not self.heads or self.heap and self.heap[0] < self.heads[0][0]:
-            item = heapq.heappop(self.heap)
-        else:
-            item, run = heapq.heappop(self.heads)
-            self._next(run)
-        low = item & (1 << 64) - 1
-        return low >> 8, low & 255
-
-
-class _Least:
-    """Least common-prefix value since each symbol was last pushed; the values are few, so a stack holds them all."""
-
-    def __init__(self, last: np.ndarray):
-        self.last = memoryview(last)  # place of the symbol's last push, from 1; 0 if there was none
-        self.at: list[int] = []
-        self.value: list[int] = []
-        self.i = 0
-
-    def fed(self, lcp: int) -> None:
-        self.i += 1
-        while self.value and self.value[-1] >= lcp:
-            self.value.pop()
-            self.at.pop()
-        self.value.append(lcp)
-        self.at.append(self.i)
+        self.scratch, self.limit, self.n = scratch, limit, 0
+        self.lists: dict[int, list[int]] = {}
+        self.runs: list[list] = []  # file, symbols and entries of the block in memory, place in it
 
-    def pushed(self, symbol: int, cap: int) -> int:
-        """The common prefix of the suffix pushed now with the one pushed before it under its symbol."""
-        last, self.last[symbol] = self.last[symbol], self.i
-        return min(cap, self.value[bisect.bisect_right(self.at, last)] + 1) if last else 0
+    def check(self) -> None:
+        """To be called when `n` has grown."""
+        if self.n <= self.limit:
+            return
+        f = self.scratch.file()
+        for part in self._blocks():
+            f.write(part.tobytes())
+        f.seek(0)
+        self.scratch.spilled += self.n
+        self.lists.clear()
+        self.n = 0
+        run = [f, np.zeros(0, np.int64), np.zeros(0, np.int64), 0]
+        if self._fill(run):
+            self.runs.append(run)
+
+    def _blocks(self) -> Iterator[np.ndarray]:
+        part: list[tuple[int, int]] = []
+        for s in sorted(self.lists):
+            part += [(s, e) for e in self.lists[s]]
+            if len(part) >= self.BLOCK:
+                yield np.array(part, np.int64)
+                part = []
+        if part:
+            yield np.array(part, np.int64)
+
+    def _fill(self, run: list) -> bool:
+        data = np.frombuffer(run[0].read(16 * self.BLOCK), np.int64).reshape(-1, 2)
+        run[1:] = data[:, 0], data[:, 1], 0
+        return len(data) > 0
+
+    def take(self, symbol: int) -> Iterator[list[int]]:
+        """The symbol's entries in order of arrival, those too that arrive while they are taken."""
+        more = True
+        while more:
+            more = False
+            for run in list(self.runs):  # older than what the lists hold
+                while run[3] < len(run[1]) and run[1][run[3]] == symbol:
+                    to = int(np.searchsorted(run[1], symbol, "right"))
+                    part = run[2][run[3] : to].tolist()
+                    run[3] = to
+                    if to == len(run[1]) and not self._fill(run):
+                        self.runs.remove(run)
+                    more = True
+                    yield part
+            if not more and (part := self.lists.pop(symbol, None)):
+                self.n -= len(part)
+                more = True
+                yield part
 
 
 def _run(t: np.ndarray, x: int, cap: int) -> int:
@@ -312,73 +298,124 @@ def _induce_few(t: np.ndarray, s_type: np.ndarray, seeds: Spool, symbols: int, c
     return out
 
 
-def _induce_many(t: np.ndarray, s_type: np.ndarray, seeds: Spool, symbols: int, cap: int, scratch: Scratch, limit: int) -> Spool:
-    """As _induce_few(), for large alphabets: one queue, entry by entry."""
-    sym, of_s = memoryview(t), memoryview(s_type).cast("B")
-
-    def entries(blocks) -> Iterator[tuple[int, int]]:
-        for a, b in blocks:
-            yield from zip(a.tolist(), b.tolist())
-
-    def sweep(ready: Iterator[tuple[int, int]], want: int, flip: int, emit) -> None:
-        """Induce from `ready`; at equal symbols induced suffixes come before ready ones. flip turns symbols around."""
-        queue, least = RunQueue(scratch, limit), _Least(scratch.array(symbols, np.int64))
-        nxt = next(ready, None)
-        prev_sym, prev_induced, prev = -1, False, -1
-        while True:
-            top = queue.symbol()
-            own = None if nxt is None else flip - sym[nxt[0]] if flip else sym[nxt[0]]
-            if top is None and own is None:
-                return
-            if top is not None and (own is None or top <= own):
-                x, v = queue.pop()
-                emit(x, v, True)
-                prev_sym, prev_induced, prev = top, True, x
-            else:
-                x, v = nxt
-                nxt = next(ready, None)
-                if prev_sym != own:
-                    v = 0
-                elif prev_induced:
-                    v = min(_run(t, prev, cap), _run(t, x, cap))
-                emit(x, v, False)
-                prev_sym, prev_induced, prev = own, False, x
-            least.fed(v)
+class _Sweep:
+    """One direction of induction for large alphabets. With common prefixes, the least one since a symbol was last pushed
+    is looked up in a stack of the least ones up to now, which holds no more entries than there are values."""
+
+    def __init__(self, t: np.ndarray, s_type: np.ndarray, want: int, flip: int, symbols: int, cap: int, scratch: Scratch, limit: int):
+        self.sym, self.of_s, self.want, self.flip, self.cap = memoryview(t), memoryview(s_type).cast("B"), want, flip, cap
+        self.waiting, self.fed = Waiting(scratch, limit), 0
+        self.last = memoryview(scratch.array(symbols, np.int64))  # number of the feed before a symbol's last push
+        self.at: list[int] = []
+        self.least: list[int] = []
+
+    def feed(self, entries: list[int]) -> None:
+        """Sorted suffixes, each with its common prefix with the one fed before it: push those of the wanted type before them."""
+        sym, of_s, want, flip, cap, last, at, least, lists = self.sym, self.of_s, self.want, self.flip, self.cap, self.last, self.at, self.least, self.waiting.lists
+        i, pushed = self.fed, 0
+        for e in entries:
+            i += 1
+            if cap > 1:
+                v = e & 255
+                while least and least[-1] >= v:
+                    least.pop()
+                    at.pop()
+                least.append(v)
+                at.append(i)
+            x = e >> 8
             if x and of_s[x - 1] == want:
                 s = sym[x - 1]
-                queue.push(flip - s if flip else s, x - 1, least.pushed(s, cap))
-
-    def keeper(spool: Spool, all_: bool):
-        xs, vs = [], []
-
-        def emit(x: int, v: int, induced: bool) -> None:
-            if all_ or induced:
-                xs.append(x)
-                vs.append(v)
-                if len(xs) >= 4096:
-                    flush()
+                if cap > 1:
+                    before, last[s] = last[s], i
+                    v = min(cap, least[bisect.bisect_right(at, before)] + 1) if before else 0
+                else:
+                    v = 0
+                s = flip - s if flip else s
+                if (own := lists.get(s)) is None:
+                    lists[s] = [x - 1 << 8 | v]
+                else:
+                    own.append(x - 1 << 8 | v)
+                pushed += 1
+        self.fed = i
+        if pushed:
+            self.waiting.n += pushed
+            self.waiting.check()
+
+    def run(self, x: int) -> int:
+        """How often the symbol at x repeats from there on, up to cap."""
+        sym, n = self.sym, 1
+        while n < self.cap and x + n < len(sym) and sym[x + n] == sym[x]:
+            n += 1
+        return n
+
+
+class _Packed:
+    """Entries on their way into a spool."""
+
+    def __init__(self, spool: Spool):
+        self.spool, self.held = spool, []
+
+    def add(self, entries: list[int]) -> None:
+        self.held += entries
+        if len(self.held) >= 1 << 16:
+            self.flush()
+
+    def flush(self) -> None:
+        e = np.array(self.held, np.int64)
+        self.spool.append(e >> 8, e & 255)
+        self.held = []
 
-        def flush() -> None:
-            spool.append(np.array(xs, np.int64), np.array(vs, np.int16))
-            xs.clear()
-            vs.clear()
 
-        return emit, flush
+def _induce_many(t: np.ndarray, s_type: np.ndarray, seeds: Spool, symbols: int, cap: int, scratch: Scratch, limit: int) -> Spool:
+    """As _induce_few(), for large alphabets: symbol by symbol, entry by entry."""
+
+    def by_symbol(sweep: _Sweep, blocks: Iterator[list[int]], into: _Packed, all_: bool) -> None:
+        """Every symbol's induced suffixes, then its own ones of `blocks`, which come in the order of symbols."""
+        sym, flip, block, k = sweep.sym, sweep.flip, next(blocks, []), 0
+        waiting, lists = sweep.waiting, sweep.waiting.lists
+        for c in range(symbols):
+            last = -1
+            if c in lists or waiting.runs:
+                for part in waiting.take(c):
+                    into.add(part)
+                    sweep.feed(part)
+                    last = part[-1] >> 8
+            own = flip - c if flip else c
+            while k < len(block):
+                a = k
+                while k < len(block) and sym[block[k] >> 8] == own:
+                    k += 1
+                if k > a:
+                    part = block[a:k]
+                    if last >= 0 and cap > 1:
+                        x = part[0] >> 8
+                        part[0] = x << 8 | min(sweep.run(last), sweep.run(x))
+                    last = -1
+                    if all_:
+                        into.add(part)
+                    sweep.feed(part)
+                if k < len(block):
+                    break
+                block, k = next(blocks, []), 0
+
+    def ready() -> Iterator[list[int]]:
+        for a, b in seeds.up():
+            yield (a.astype(np.int64) << 8 | b).tolist()
+
+    def from_above() -> Iterator[list[int]]:  # each with its common prefix with the greater one
+        carry = np.zeros(1, np.int64)
+        for a, b in large.down():
+            b = b.astype(np.int64)
+            yield (a.astype(np.int64) << 8 | np.append(carry, b[:-1])).tolist()
+            carry = b[-1:]
 
     large, out = Spool(scratch, limit), Spool(scratch, limit)
-    emit, flush = keeper(large, False)
-    sweep(entries(seeds.up()), 0, 0, emit)
-    flush()
-    emit, flush = keeper(out, True)
-
-    def from_above() -> Iterator[tuple[int, int]]:  # each with its common prefix with the greater one
-        carry = 0
-        for x, v in entries(large.down()):
-            yield x, carry
-            carry = v
-
-    sweep(from_above(), 1, symbols - 1, emit)
-    flush()
+    into = _Packed(large)
+    by_symbol(_Sweep(t, s_type, 0, 0, symbols, cap, scratch, limit), ready(), into, False)
+    into.flush()
+    into = _Packed(out)
+    by_symbol(_Sweep(t, s_type, 1, symbols - 1, symbols, cap, scratch, limit), from_above(), into, True)
+    into.flush()
     out.append(np.array([len(t) - 1]), np.zeros(1, np.int16))
     return out
 
@@ -447,14 +484,36 @@ def _by_symbol(t: np.ndarray, lms: np.ndarray, symbols: int, scratch: Scratch, l
     return spool
 
 
+def _in_memory(t: np.ndarray, cap: int, scratch: Scratch, limit: int) -> Spool:
+    """suffix_order() of a text of names that fits in memory, ranked by doubling."""
+    rank, k = np.asarray(t).astype(np.int64), 1
+    while True:
+        nxt = np.zeros(len(rank), np.int64)
+        nxt[:-k] = rank[k:] + 1
+        key = rank * (len(rank) + 2) + nxt
+        order = np.argsort(key, kind="stable")
+        s = key[order]
+        new = np.empty(len(rank), np.int64)
+        new[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])))
+        if new[order[-1]] == len(rank) - 1:
+            break
+        rank, k = new, 2 * k
+    lcp = _agree(t, order[:-1], order[1:], np.full(len(order) - 1, cap))
+    out = Spool(scratch, limit)
+    out.append(order[::-1], np.append(0, lcp[::-1]))
+    return out
+
+
 def suffix_order(t: np.ndarray, symbols: int, cap: int, scratch: Scratch, limit: int) -> Spool:
     """All suffixes of t from the greatest to the least, each with its common prefix, up to cap, with the one before.
 
     The last symbol of t is its only least one, 0. Leftmost S suffixes are sorted by their substrings first, which are
-    named; if names repeat, the text of names is sorted by recursion. Common names give common prefixes: where they
-    end in the text, the symbols of the two substrings that differ are compared.
+    named; if names repeat, the text of names is sorted by recursion, down to one of no more than `limit` names. Common
+    names give common prefixes: where they end in the text, the symbols of the two substrings that differ are compared.
     """
     scratch.levels += 1
+    if 1 < len(t) <= limit and scratch.levels > 1:
+        return _in_memory(t, cap, scratch, limit)
     induce = _induce_few if symbols <= SMALL else _induce_many
     if len(t) == 1:
         out = Spool(scratch, limit)
