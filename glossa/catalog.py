@@ -178,13 +178,13 @@ _TALK = "(select distinct unnest(string_split(text, ' ')) k from conversations)"
 @_register(f"select k as \"query\" from {_TALK} where k <> '' and k in (select k from ({BAGS['tokens']}))")
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = keysets.tokens(_table(spark, sf_dir, "conversations"), "text").select("key").distinct()
-    return ops.contained(ops.as_queries(q, "key"), SOURCES["tokens"](spark, sf_dir)).select(display("query").alias("query"))
+    return dictionary(spark, sf_dir, "tokens").contains(ops.as_queries(q, "key")).select(display("query").alias("query"))
 
 
 @_register("select k as \"query\" from (select distinct unnest(string_split(text, ' ')) k from benchmark) where k <> '' and k not in (select k from (" + BAGS["tokens"] + "))")
 def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = keysets.tokens(_table(spark, sf_dir, "benchmark"), "text").select("key").distinct()
-    return ops.missing(ops.as_queries(q, "key"), SOURCES["tokens"](spark, sf_dir)).select(display("query").alias("query"))
+    return dictionary(spark, sf_dir, "tokens").missing(ops.as_queries(q, "key")).select(display("query").alias("query"))
 
 
 @_register(trie_sql(BAGS["customers"]) + "select c_custkey::bigint key_id, k as \"key\" from customer left join ids on key_id = c_custkey")
