@@ -19,10 +19,10 @@ ALPHABET = 230  # byte values that are left when A-Z are lower-cased
 TABLE_BYTES = 8 << 20  # of code lengths for each language, and
 TABLE_LANGS = 16  # for so many languages at most: bounds the broadcast table
 TRAIN_DOCS = 400  # whole documents for each language, those of least hash
-MAX_LANGS = 512
+MAX_LANGS = 256  # bounds the counts that the driver gets
 
 _PAD = b"\n" * ORDER
-_COUNTS = "lang string, gram long, n long"
+_COUNTS = "lang int, gram long, n long"
 
 
 def _grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -32,11 +32,11 @@ def _grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram, n)."""
+    """(number of the language, text) to (lang, gram, n)."""
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             grams, n = _grams(text.encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(grams), np.int64))), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), lang, np.int32)), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 class Model:
@@ -186,14 +186,18 @@ def train(docs: DataFrame) -> Model:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not sizes:
         return Model({})
+    names = sorted(r[0] for r in sizes)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, 2 * TRAIN_DOCS / r[1]))])
+    number = F.create_map(*[F.lit(x) for pair in zip(names, range(len(names))) for x in pair])
     h = F.xxhash64("doc_id", "text")
     few = pool.withColumn("h", h).where(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)).dropDuplicates(["lang", "h"])
     by = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h")
-    chosen = few.withColumn("r", F.row_number().over(by)).where(F.col("r") <= TRAIN_DOCS).select("lang", "text")
+    chosen = few.withColumn("r", F.row_number().over(by)).where(F.col("r") <= TRAIN_DOCS).select(number[F.col("lang")].alias("lang"), "text")
     found = chosen.mapInArrow(_counted, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, gram, n = found.column("lang").to_numpy(), found.column("gram").to_numpy(), found.column("n").to_numpy()
-    return Model({k: (gram[lang == k], n[lang == k]) for k in sorted(set(lang))})
+    lang, gram, n = (found.column(c).to_numpy() for c in ("lang", "gram", "n"))
+    order = np.argsort(lang, kind="stable")
+    cut = np.searchsorted(lang[order], np.arange(len(names) + 1))
+    return Model({k: (gram[order[a:b]], n[order[a:b]]) for k, a, b in zip(names, cut, cut[1:])})
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
