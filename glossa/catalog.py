@@ -59,10 +59,15 @@ BAGS = {
 _TABLE_OF = {"tokens": "documents", "urls": "pages", "sites": "pages", "parts": "part", "customers": "customer"}
 
 
+def _files(spark: SparkSession, sf_dir: str, name: str):
+    """A table's path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
     """Time of change and bytes of a table's files."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    p, fs = _files(spark, sf_dir, name)
     return int(fs.getFileStatus(p).getModificationTime()), int(fs.getContentSummary(p).getLength())
 
 
@@ -482,9 +487,11 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str, column: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A table's column as a stream of queries, answered into Parquet files."""
-    source = _table(spark, sf_dir, name)
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table's column as a stream of queries, answered into Parquet files. A stream reads folders: the table's own, or
+    the one that its single file lies in."""
+    p, fs = _files(spark, sf_dir, name)
+    reader = spark.readStream.schema(_table(spark, sf_dir, name).schema)
+    stream = reader.parquet(f"{sf_dir}/{name}.parquet") if fs.getFileStatus(p).isDirectory() else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     answered = answer(stream.select(F.col(column).alias("value")))
     answered.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -31,6 +31,16 @@ def test_query_equals_its_sql(spark, db, name):
     assert rows(tuple(r[c] for c in columns) for r in df.collect()) == rows(db.sql(f"select {', '.join(f'"{c}"' for c in columns)} from ({catalog.ORACLES[name]})").fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["stream_common_prefix", "stream_lookup", "stream_predictive_count"])
+def test_streams_read_tables_of_several_files(spark, tmp_path, name):
+    for t in ("pages", "nation", "customer", "part"):
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    df, plain = (catalog.QUERIES[name](spark, d) for d in (str(tmp_path), SF))
+    found = rows(df.collect())
+    assert found and found == rows(plain.collect())
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
