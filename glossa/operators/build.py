@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bytestrings import common_prefix, empty, prefix
 from ..functions.config import DictConfig
-from ..plans.stage import global_rank, intermediate, staged, with_next
+from ..plans.stage import global_rank, intermediate, ranges, staged, with_next
+from . import walk
 
 LOCUS = 256  # bytes of the longest prefixes that the locus table holds
+BATCH = "8MB"  # of an Arrow batch: keys may be long
 
 
 @dataclass(frozen=True)
@@ -27,19 +29,15 @@ def distinct_keys(keys: DataFrame) -> DataFrame:
 
 
 def branch_nodes(distinct: DataFrame, rows: int) -> DataFrame:
-    """Paths of the trie: the root, every key, and every prefix where two keys part.
+    """(path, weight) of the trie's nodes: the root, every key, and every prefix where two keys part; weight is null but for keys.
 
     In the order of keys, those prefixes are the common prefixes of neighbours, so one sorted pass finds them.
     """
     pair = with_next(distinct.select("key"), "key", "next", rows).where(F.col("next").isNotNull())
-    fork = pair.select(prefix("key", common_prefix(F.col("key"), F.col("next"))).alias("path"))
-    root = distinct.sparkSession.range(1).select(empty().alias("path"))
-    return distinct.select(F.col("key").alias("path")).unionByName(fork).unionByName(root).distinct()
-
-
-def digest(path: Column) -> Column:
-    """128 bits that stand for a path of any length in joins."""
-    return F.unhex(F.md5(path))
+    none = F.lit(None).cast("double").alias("weight")
+    fork = pair.select(prefix("key", common_prefix(F.col("key"), F.col("next"))).alias("path"), none)
+    root = distinct.sparkSession.range(1).select(empty().alias("path"), none)
+    return distinct.select(F.col("key").alias("path"), "weight").unionByName(fork).unionByName(root).groupBy("path").agg(F.max("weight").alias("weight"))
 
 
 def build_tables(keys: DataFrame, config: DictConfig) -> Tables:
@@ -47,63 +45,56 @@ def build_tables(keys: DataFrame, config: DictConfig) -> Tables:
 
     Siblings are ordered by the 32-bit sum of weights below them, heaviest first, then by label (order weight), or by
     label alone (order label). key_id is the rank of the key's node in breadth-first order among nodes that are keys,
-    dfs_rank the rank in pre-order. Both are ranks of rank_path, the two-digit hexadecimal sibling ranks from the root:
-    pre-order is its order, breadth-first its order by length first.
+    dfs_rank the rank in pre-order. rank_path holds the two-digit hexadecimal sibling ranks from the root: pre-order is
+    its order, breadth-first its order by length first.
 
-    Ancestors are found by an equi-join on digests of prefixes, so that no prefix is shuffled itself, however long keys
-    are; the root, which is above every node, takes no part in it.
+    Nodes are sorted by path in ranges. One pass over each range gives parents and sums, a second one, once siblings are
+    ranked, the places in pre-order; a node is a row in each step, whatever its depth and its path's length (see walk).
     """
-    with intermediate(keys.sparkSession) as keep:
+    spark = keys.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    with intermediate(spark) as keep:
         distinct = staged(distinct_keys(keys), "keys")
         rows, total = distinct.agg(F.count(F.lit(1)), F.sum("weight")).first()
-        paths = branch_nodes(distinct, rows).join(distinct.select(F.col("key").alias("path"), "weight"), "path", "left")
-        paths = staged(paths.select("path", "weight", digest(F.col("path")).alias("id"), F.octet_length("path").alias("n")), "paths")
-        inner = paths.where("n > 0")
-        # every node with each of its ancestors below the root and itself, by the lengths that nodes have
-        longest = 4096
-        some = sorted(r[0] for r in inner.select("n").distinct().limit(longest + 1).collect())
-        at = F.sequence(F.lit(1), F.col("n"))
-        if some and len(some) <= longest:
-            at = F.filter(F.array(*[F.lit(n) for n in some]), lambda m: m <= F.col("n"))
-        pre = inner.select("id", "weight", "n", "path", F.explode(at).alias("m")).select("id", "weight", "n", "m", digest(prefix("path", "m")).alias("anc"))
-        lineage = staged(pre.join(inner.select(F.col("id").alias("anc")), "anc"), "lineage")
-
-        root = digest(empty())
-        above = lineage.groupBy("id").agg(F.coalesce(F.max_by("anc", F.when(F.col("m") < F.col("n"), F.col("m"))), root).alias("parent_id"))
-        below = lineage.groupBy("anc").agg(F.sum("weight").cast("float").alias("subtree_weight")).withColumnRenamed("anc", "id")
-        first = [F.desc("subtree_weight")] if config.order == "weight" else []
-        sib = W.partitionBy("parent_id").orderBy(*first, "path")
-        ranked = above.join(below, "id").join(inner.select("id", "path"), "id").withColumn("sib_rank", F.row_number().over(sib) - 1).drop("path")
-        ranked = staged(ranked, "siblings")
-
-        step = F.struct("m", F.lpad(F.hex("sib_rank"), 2, "0").alias("h"))
-        trail = lineage.select("id", "anc", "m").join(ranked.select(F.col("id").alias("anc"), "sib_rank"), "anc").groupBy("id").agg(F.array_sort(F.collect_list(step)).alias("s"))
-        trail = trail.select("id", F.concat_ws("", F.transform("s", lambda x: x["h"])).alias("rank_path"))
-        nodes = staged(paths.join(trail, "id", "left").withColumn("rank_path", F.coalesce("rank_path", F.lit(""))), "nodes")
-        terminal = nodes.where("weight is not null").select("path", "weight", "id", "rank_path")
-        terminal = global_rank(terminal, [F.length("rank_path"), "rank_path"], "key_id", rows)
-        terminal = staged(global_rank(terminal, ["rank_path"], "dfs_rank", rows), "ranks")
-        out_keys = terminal.select(F.col("path").alias("key"), "weight", "key_id", "dfs_rank", (F.length("rank_path") / 2).cast("int").alias("depth"))
+        n = ranges(spark, rows)
+        paths = branch_nodes(distinct, rows).repartitionByRange(n, "path").sortWithinPartitions("path")
+        sums = staged(paths.withColumn("range", F.spark_partition_id()).mapInArrow(walk.sums, walk.SUMS), "sums")
+        loose = (F.col("state") != walk.CLOSED) | F.col("parent").isNull()
+        edge = F.when((F.col("m") < 0) | (F.col("state") == walk.LAST), F.col("path")).alias("edge")
+        bones = sums.where(loose).select("id", "n", "m", "w", "cnt", "state", edge).repartition(1).sortWithinPartitions("id")
+        bones = staged(bones.mapInArrow(walk.skeleton, walk.SKELETON).withColumn("bone", F.lit(True)), "skeleton")
+
+        terminal = sums.where(loose).select("id", F.col("weight").isNotNull().alias("terminal"))
+        some = ["id", "m", "parent", "w", "cnt", "bone", "terminal"]
+        all_ = sums.where(~loose).select("id", "m", "parent", "w", "cnt", F.lit(False).alias("bone"), F.col("weight").isNotNull().alias("terminal"))
+        all_ = all_.unionByName(bones.join(terminal, "id").select(*some)).withColumn("w", F.col("w").cast("float"))
+        first = [F.desc("w")] if config.order == "weight" else []
+        sib = W.partitionBy("parent").orderBy(*first, "id")
+        earlier = F.coalesce(F.sum("cnt").over(sib.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier")
+        ranked = staged(all_.select(*some, (F.row_number().over(sib) - 1).alias("sib_rank"), earlier), "siblings")
+
+        node = ranked.select("id", "m", "parent", "w", "cnt", "terminal", "sib_rank", "earlier", F.lit(None).cast("string").alias("rank_path"), F.lit(None).cast("long").alias("dfs_lo"))
+        known = node.where(ranked["bone"]).repartition(1).sortWithinPartitions("id").mapInArrow(walk.places, walk.PLACES)
+        known = staged(known.select("id", "rank_path", F.coalesce("dfs_lo", F.lit(0)).alias("dfs_lo")), "skeleton-places")
+        both = node.unionByName(known, allowMissingColumns=True)
+        both = both.repartitionById(n, F.shiftright("id", walk.SHIFT).cast("int")).sortWithinPartitions("id", F.col("m").asc_nulls_first())
+        places = both.mapInArrow(walk.places, walk.PLACES)
+        nodes = staged(sums.select("id", "path", "weight").join(places, "id"), "nodes")
+
+        out_keys = nodes.where("weight is not null").select(F.col("path").alias("key"), "weight", F.col("dfs_lo").alias("dfs_rank"), "depth")
+        out_keys = global_rank(out_keys, ["depth", "dfs_rank"], "key_id", rows).select("key", "weight", "key_id", "dfs_rank", "depth")
         out_keys = keep(staged(out_keys, "dictionary-keys"))
-        span = lineage.where("weight is not null").select("id", "anc").join(terminal.select("id", "dfs_rank"), "id")
-        span = span.groupBy("anc").agg(F.min("dfs_rank").alias("dfs_lo"), F.max("dfs_rank").alias("dfs_hi")).withColumnRenamed("anc", "id")
-        at_root = F.col("n") == 0
-        bound = lambda c, of_root: F.when(at_root, F.lit(of_root if rows else None).cast("long")).otherwise(F.col(c)).alias(c)
-        out_nodes = (
-            nodes.join(ranked, "id", "left")
-            .join(span, "id", "left")
-            .join(paths.select(F.col("id").alias("parent_id"), F.col("path").alias("parent")), "parent_id", "left")
-            .select(
-                "path",
-                "parent",
-                (F.length("rank_path") / 2).cast("int").alias("depth"),
-                "sib_rank",
-                "rank_path",
-                F.when(at_root, F.lit(total).cast("float")).otherwise(F.col("subtree_weight")).alias("subtree_weight"),
-                F.col("weight").isNotNull().alias("is_terminal"),
-                bound("dfs_lo", 0),
-                bound("dfs_hi", rows - 1),
-            )
+        at_root = F.octet_length("path") == 0
+        out_nodes = nodes.select(
+            "path",
+            F.when(~at_root, prefix("path", "m")).alias("parent"),
+            "depth",
+            "sib_rank",
+            "rank_path",
+            F.when(at_root, F.lit(total).cast("float")).otherwise(F.col("w")).alias("subtree_weight"),
+            F.col("weight").isNotNull().alias("is_terminal"),
+            "dfs_lo",
+            "dfs_hi",
         )
         return Tables(out_keys, keep(staged(out_nodes, "dictionary-nodes")))
 

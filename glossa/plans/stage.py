@@ -75,6 +75,12 @@ def intermediate(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFram
                 _delete(spark, path)
 
 
+def ranges(spark: SparkSession, rows: int) -> int:
+    """How many ranges share the work on so many rows: one for few, at most spark.sql.shuffle.partitions."""
+    each = max(1, SMALL // 8)
+    return min(-(-rows // each) or 1, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def global_rank(df: DataFrame, order: list[Column | str], out: str, rows: int) -> DataFrame:
     """df with a dense 0-based rank by `order`, which must be unique.
 

@@ -181,6 +181,33 @@ def test_ranged_ranks_equal_the_single_window(spark, monkeypatch):
     assert ids(Dictionary.from_rows(spark, keys)) == plain == Model([(k.encode(), 1.0) for k in keys]).ids
 
 
+def test_a_build_keeps_one_row_a_node(spark, monkeypatch):
+    from glossa.operators import build
+    from glossa.plans import stage
+
+    rnd, rows = random.Random(3), {}
+    keys = [b"a" * n for n in range(1, 400)] + [b"a" * n + bytes(rnd.choices(b"abc", k=5)) for n in rnd.sample(range(400), 60)]
+    pairs = [(k, rnd.choice([0.0, -1.0, 0.5, 1.0, 2.0])) for k in keys]
+
+    def counted(df, name):
+        out = stage.staged(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(build, "staged", counted)
+    for small in (stage.SMALL, 10):  # nested keys in one range, and across ranges
+        monkeypatch.setattr(stage, "SMALL", small)
+        for order in ("weight", "label"):
+            model, d = Model(pairs, order), Dictionary.from_rows(spark, pairs, DictConfig(order=order))
+            assert max(rows.values()) <= len(model.nodes)
+            assert ids(d) == model.ids and [bytes(r.key) for r in d.dump().orderBy("dfs_rank").collect()] == model.preorder
+            nodes = {bytes(r.path): r for r in d.nodes.collect()}
+            assert {p: bytes(r.parent) for p, r in nodes.items() if r.parent is not None} == model.parent
+            for p, r in nodes.items():
+                assert (r.subtree_weight, r.dfs_hi - r.dfs_lo + 1) == (sum(w for k, w in pairs if k.startswith(p)), sum(k.startswith(p) for k in model.preorder))
+                assert model.preorder[r.dfs_lo].startswith(p) and len(r.rank_path) == 2 * r.depth
+
+
 def test_not_built(spark):
     with pytest.raises(ValueError):
         Dictionary.build(None)
