@@ -73,11 +73,13 @@ def longest_prefix(queries: DataFrame, keys: DataFrame, lengths: list[int] | Non
 
 
 def reach(queries: DataFrame, keys: DataFrame, locus: DataFrame, long_keys: bool = True) -> DataFrame:
-    """(query, dfs_lo, dfs_hi): the locus table, and the ranges of the queries that are longer than its prefixes.
+    """(query, dfs_lo, dfs_hi): the locus table's prefixes of lengths that queries have, and the ranges of longer queries.
 
     Those meet the keys of the same first LOCUS bytes. long_keys: whether there may be keys longer than LOCUS bytes.
+    The lengths are at most LOCUS + 1 rows, so that only prefixes that can be asked for are shuffled.
     """
-    out = locus.withColumnRenamed("prefix", "query")
+    lengths = queries.select(F.octet_length("query").alias("__n")).where(F.col("__n") <= LOCUS).distinct()
+    out = locus.join(F.broadcast(lengths), F.octet_length("prefix") == F.col("__n"), "left_semi").withColumnRenamed("prefix", "query")
     if not long_keys:
         return out
     long = queries.select("query").where(F.octet_length("query") > LOCUS).distinct().withColumn("start", prefix("query", LOCUS))

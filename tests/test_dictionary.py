@@ -181,6 +181,14 @@ def test_ranged_ranks_equal_the_single_window(spark, monkeypatch):
     assert ids(Dictionary.from_rows(spark, keys)) == plain == Model([(k.encode(), 1.0) for k in keys]).ids
 
 
+def test_counts_take_only_prefixes_of_asked_lengths(spark, words):
+    from glossa.operators.search import reach
+
+    q = queries(spark, b"ap", b"zz", b"b", None, b"x" * 300)
+    found = {bytes(r.query): r.dfs_hi - r.dfs_lo + 1 for r in reach(q, words.keys, words.locus, words.long_keys).collect()}
+    assert found == {p.encode(): sum(w.startswith(p) for w in WORDS) for p in {w[:n] for w in WORDS for n in (1, 2)}}
+
+
 def test_a_build_keeps_one_row_a_node(spark, monkeypatch):
     from glossa.operators import build
     from glossa.plans import stage
