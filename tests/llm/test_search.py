@@ -118,6 +118,73 @@ def test_blocks_below_the_threshold_are_skipped(texts, monkeypatch):
     assert len(shard.search(slots, idf, 1e9)[0]) == 0 and not read
 
 
+def indexed(texts, asked):
+    """Shards of texts, their query block with global statistics, and the mean length."""
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], names=["doc_id", "text"])
+    shards = list(S._index(iter([batch])))
+    n, words = (sum(b.column(k)[0].as_py() for b in shards) for k in (0, 1))
+    df = Counter()
+    for b in shards:
+        for f in S._frequencies(iter([b.select(["terms", "ends"])])):
+            df.update(dict(zip(f.column("term").to_numpy().view(np.uint64).tolist(), f.column("df").to_pylist())))
+    q = S.Queries([(d, texts[d]) for d in asked])
+    f = np.array([df[t] for t in q.terms.tolist()], float)
+    q.idf = np.log(1 + (n - f + 0.5) / (f + 0.5))
+    return shards, q, words / n
+
+
+def found(shards, q, mean, top=10):
+    class Shared:
+        value = q
+
+    out = []
+    for b in S._searcher(Shared, mean, top)(iter(shards)):
+        for k, _, ids, scores in zip(*(c.to_pylist() for c in b.columns)):
+            out += [{"query_id": k, "rank": i, "doc_id": d, "score": s} for i, (d, s) in enumerate(zip(ids, scores))]
+    return out
+
+
+@pytest.mark.parametrize("dense", [1e-9, 0.004, 2.0])
+def test_groups_of_queries_meet_shards_at_once(texts, monkeypatch, dense):
+    """No query looks at a shard alone, whose cost would be queries times shards; matrices of some terms, all or none lose nothing."""
+
+    def alone(*_):
+        raise AssertionError("a query by itself")
+
+    monkeypatch.setattr(S, "SHARD_DOCS", 60)
+    monkeypatch.setattr(S, "slices", lambda rows, at, limit=4000: __import__("glossa.llm.common", fromlist=["slices"]).slices(rows, at, 4000))
+    monkeypatch.setattr(S._Shard, "search", alone)
+    for k, v in (("DENSE", dense), ("GROUP", 7), ("TABLE", 4 * 64 * 5), ("AXES", 40)):
+        monkeypatch.setattr(S, k, v)
+    asked = [d for d in texts if d % 3 == 0]
+    shards, q, mean = indexed(texts, asked)
+    assert len(shards) > 2
+    same(found(shards, q, mean), brute(texts, asked, 10))
+
+
+def test_groups_and_single_queries_agree(monkeypatch):
+    """Copies of a query, ids that repeat, ties at the threshold, queries without words and shards of one document."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(rng.choice(words[: 20 + i % 381], rng.integers(1, 120))) for i in range(300)}
+    texts |= {300 + i: texts[i] for i in range(0, 60, 2)} | {400: "!!! ...", 401: "", 402: "w0", 403: "w0"}
+    monkeypatch.setattr(S, "slices", lambda rows, at: __import__("glossa.llm.common", fromlist=["slices"]).slices(rows, at, 1))
+    for size in (1, 50, 5000):
+        monkeypatch.setattr(S, "SHARD_DOCS", size)
+        shards, q, mean = indexed(texts, [d for d in texts if d % 2 == 0])
+        assert len(shards) >= len(texts) // size - 1
+        monkeypatch.setattr(S, "FEW", 1)
+        together = found(shards, q, mean, 4)
+        monkeypatch.setattr(S, "FEW", 10**9)
+        assert together == found(shards, q, mean, 4)
+        same(together, brute(texts, q.ids, 4))
+
+
+def test_queries_without_words_have_an_order(monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 4)
+    assert sorted(S.Queries([(i, "...") for i in range(50)]).ids) == list(range(50))
+
+
 def test_awkward_rows(awkward, nothing):
     rows = S.search_every(awkward, step=1).collect()
     assert {r.query_id for r in rows} >= {1, 8} and all(r.doc_id is not None for r in rows)
