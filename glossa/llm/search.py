@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, rows_of, slices, small_batches
+from .common import Words, discard, materialize, rows_of, slices, small_batches
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -46,9 +46,15 @@ def _shard(ids: list[int], lens: np.ndarray, parts: list[tuple[np.ndarray, np.nd
     return len(ids), int(lens.sum()), np.array(ids, np.int64).tobytes(), lens.astype(np.int32).tobytes(), terms.tobytes(), ends.tobytes(), doc.astype(np.int32).tobytes(), np.minimum(tf, 2**31 - 1).astype(np.int32).tobytes()
 
 
+def _short(doc: np.ndarray, n: int) -> np.ndarray:
+    """Documents' numbers below n in a type that is sorted by radix, if they fit."""
+    return doc.astype(np.uint16) if n <= 1 << 16 else doc
+
+
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and frequency of the distinct words of each document, in the order of documents and hashes."""
-    order = np.lexsort((w.hash, w.doc))
+    order = np.argsort(w.hash)
+    order = order[np.argsort(_short(w.doc[order], len(w.first) - 1), kind="stable")]
     h, d = w.hash[order], w.doc[order]
     new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))) if len(h) else np.zeros(0, np.int64)
     return h[new], d[new], np.diff(np.append(new, len(h)))
@@ -81,11 +87,25 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(_shard(ids, np.concatenate(lens), parts), types)], names=names)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for terms, ends in zip(batch.column(0), batch.column(1)):
-            e = np.frombuffer(ends.as_buffer(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_buffer(), np.int64)), pa.array(np.diff(e, prepend=0).astype(np.int64))], names=["term", "df"])
+def _frequencies(asked):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the asked terms, that are sorted: their places, and of how many documents they are words here."""
+        df = np.zeros(len(asked.value), np.int64)
+        for batch in batches:
+            for terms, ends in zip(batch.column(0), batch.column(1)):
+                place, own = _among(asked.value, np.frombuffer(terms.as_buffer(), np.uint64))
+                df[place] += np.diff(np.frombuffer(ends.as_buffer(), np.int32), prepend=0)[own]
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["k", "df"])
+
+    return count
+
+
+def _among(asked: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the terms that are asked: places among the asked ones, and among all. Both are sorted."""
+    place = np.minimum(np.searchsorted(asked, terms), max(len(asked) - 1, 0))
+    own = np.flatnonzero(asked[place] == terms) if len(asked) else np.zeros(0, np.int64)
+    return place[own], own
 
 
 class Queries:
@@ -141,10 +161,8 @@ class _Shard:
         lens = np.frombuffer(row["lens"], np.int32)
         terms = np.frombuffer(row["terms"], np.uint64)
         end = np.frombuffer(row["ends"], np.int32).astype(np.int64)
-        place = np.minimum(np.searchsorted(asked, terms), max(len(asked) - 1, 0))
-        own = np.flatnonzero(asked[place] == terms) if len(asked) else np.zeros(0, np.int64)
+        self.asked, own = _among(asked, terms)
         self.slot = np.full(len(asked), -1, np.int32)
-        self.asked = place[own]
         self.slot[self.asked] = np.arange(len(own))
         at, self.count = _spread(np.concatenate(([0], end[:-1]))[own] if len(own) else own, end[own])
         self.doc = np.frombuffer(row["docs"], np.int32)[at].astype(np.int64)
@@ -180,8 +198,7 @@ class _Shard:
     @cached_property
     def by_doc(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Terms and impacts of postings in the order of documents, and where each document's begin."""
-        doc = self.doc.astype(np.uint16) if len(self.ids) <= 1 << 16 else self.doc  # short ones are sorted by radix
-        order = np.argsort(doc, kind="stable")
+        order = np.argsort(_short(self.doc, len(self.ids)), kind="stable")
         return self.term[order], self.impact[order], np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=len(self.ids))))).tolist()
 
     @cached_property
@@ -392,26 +409,25 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     index = build_index(docs)
     n, words = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     mean = words / n if n else 0.0
-    df = materialize(index.select("terms", "ends").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), "search-df")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).where("query_id is not null and octet_length(text) > 0")
+    asked = materialize(asked, "search-asked")  # each block reads it
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / QUERY_BYTES))
     tasks = 2 * spark.sparkContext.defaultParallelism
     found = None
     for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
-        q = Queries([(r[0], r[1]) for r in rows])
-        # the block's distinct terms, at most QUERY_BYTES / 2 of them
-        terms = spark.createDataFrame(pa.table({"t": pa.array(q.terms.view(np.int64))})) if len(q.terms) else spark.createDataFrame([], "t long")
-        got = df.join(F.broadcast(terms), F.col("term") == F.col("t")).select("term", "df").toArrow()
-        at = np.searchsorted(q.terms, got.column("term").to_numpy().view(np.uint64))
+        q = Queries([(r[0], r[1]) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()])
+        terms = spark.sparkContext.broadcast(q.terms)
+        got = index.select("terms", "ends").coalesce(tasks).mapInArrow(_frequencies(terms), "k long, df long").groupBy("k").agg(F.sum("df").alias("df")).toArrow()
+        terms.unpersist()
         f = got.column("df").to_numpy().astype(np.float64)
-        q.idf[at] = np.log(1 + (n - f + 0.5) / (f + 0.5))
+        q.idf[got.column("k").to_numpy()] = np.log(1 + (n - f + 0.5) / (f + 0.5))
         shared = spark.sparkContext.broadcast(q)
         part = index.select("ids", "lens", "terms", "ends", "docs", "tfs").coalesce(tasks).mapInArrow(_searcher(shared, mean, top), "query_id long, n long, ids array<long>, scores array<double>")
         part = materialize(part.withColumn("block", F.lit(k)), "search-found")
         shared.unpersist()
         found = part if found is None else found.unionByName(part)
+    discard(asked)
     each = found.select("query_id", "block", "n", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", "block", "n", F.col("x.ids").alias("doc_id"), F.col("x.scores").alias("score"))
     by = W.partitionBy("query_id", "block", "n").orderBy(F.desc("score"), "doc_id")
     return each.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")

@@ -123,13 +123,14 @@ def indexed(texts, asked):
     batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], names=["doc_id", "text"])
     shards = list(S._index(iter([batch])))
     n, words = (sum(b.column(k)[0].as_py() for b in shards) for k in (0, 1))
-    df = Counter()
-    for b in shards:
-        for f in S._frequencies(iter([b.select(["terms", "ends"])])):
-            df.update(dict(zip(f.column("term").to_numpy().view(np.uint64).tolist(), f.column("df").to_pylist())))
     q = S.Queries([(d, texts[d]) for d in asked])
-    f = np.array([df[t] for t in q.terms.tolist()], float)
-    q.idf = np.log(1 + (n - f + 0.5) / (f + 0.5))
+
+    class Terms:
+        value = q.terms
+
+    got = next(S._frequencies(Terms)(iter([b.select(["terms", "ends"]) for b in shards])))
+    f = got.column("df").to_numpy().astype(float)
+    q.idf[got.column("k").to_numpy()] = np.log(1 + (n - f + 0.5) / (f + 0.5))
     return shards, q, words / n
 
 
@@ -185,6 +186,21 @@ def test_queries_without_words_have_an_order(monkeypatch):
     assert sorted(S.Queries([(i, "...") for i in range(50)]).ids) == list(range(50))
 
 
+def test_queries_are_read_once_for_all_blocks(spark, documents, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "QUERY_BYTES", 20_000)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    asked = documents.where("doc_id % 20 = 0 and text <> ''").select(F.col("doc_id").alias("query_id"), "text")
+    assert S.search(documents, asked.mapInArrow(count, "query_id long, text string"), 3).select("query_id").distinct().count() == read.value == asked.count()
+
+
 def test_awkward_rows(awkward, nothing):
     rows = S.search_every(awkward, step=1).collect()
     assert {r.query_id for r in rows} >= {1, 8} and all(r.doc_id is not None for r in rows)
